@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import license_scan, line_dedup, secret_scan
+from . import license_scan, line_dedup, quality_rules, secret_scan
 from .common import read
+from .text_stats import STOP_WORDS
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,6 +15,11 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats = [F.col(f"stats.{c}") for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
+    return quality_rules.judge(read(spark, sf_dir, "documents")).select("row.doc_id", *stats, "verdict.base_failed", "verdict.kept")
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(read(spark, sf_dir, "documents"))
 
@@ -24,12 +30,41 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op4_line_dedup": op4_line_dedup,
+    "op7_quality_rules": op7_quality_rules,
     "op8_license_scan": op8_license_scan,
     "op10_secret_scan": op10_secret_scan,
 }
 
 #: DuckDB.
 ORACLE_SQL = {
+    "op7_quality_rules": rf"""
+        WITH w AS (
+            SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+        lines AS (
+            SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM w),
+        line_stats AS (
+            SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE full_line) - count(DISTINCT line) FILTER (WHERE full_line) AS n_dup_lines
+            FROM (SELECT *, regexp_matches(line, '[^\x20\x09-\x0D]') AS full_line FROM lines) GROUP BY doc_id),
+        starts AS (
+            SELECT doc_id, i, array_to_string(words[i:i + 7], ' ') AS k FROM (SELECT doc_id, words, unnest(range(1, len(words) - 6)) AS i FROM w)),
+        twice AS (
+            SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, k) AS n FROM starts) WHERE n > 1),
+        covered AS (
+            SELECT doc_id, sum(least(8, coalesce(next_i - i, 8))) AS n_repeat_words FROM (SELECT *, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS next_i FROM twice) GROUP BY doc_id),
+        s AS (
+            SELECT doc_id, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars,
+                length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+                length(t) - length(regexp_replace(t, '[#*$%&|<>!=~^\\{{}}]', '', 'g')) AS n_marks,
+                length(t) - length(regexp_replace(t, '[A-ZÀ-ÖØ-Þ]', '', 'g')) AS n_upper,
+                len(list_filter(words, x -> lower(x) IN ({", ".join(f"'{x}'" for x in sorted(set(STOP_WORDS)))}))) AS n_stop,
+                len(list_filter(range(2, len(words) + 1), i -> words[i] = words[i - 1])) AS n_adjacent,
+                n_lines, n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words
+            FROM w JOIN line_stats USING (doc_id) LEFT JOIN covered USING (doc_id))
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words,
+            n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+            NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words OR word_chars < 2 * n_words OR word_chars > 20 * n_words OR 10 * n_marks > 2 * n_words
+                OR 100 * n_stop < 2 * n_words OR 10 * n_upper > 6 * word_chars OR 10 * n_adjacent > 3 * n_words OR 10 * n_dup_lines > 5 * n_lines) AS kept
+        FROM s""",
     "op4_line_dedup": r"""
         WITH lines AS (
             SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents),
