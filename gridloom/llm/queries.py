@@ -56,8 +56,8 @@ ORACLE_SQL = {
                 length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
                 length(t) - length(regexp_replace(t, '[#*$%&|<>!=~^\\{{}}]', '', 'g')) AS n_marks,
                 length(t) - length(regexp_replace(t, '[A-ZÀ-ÖØ-Þ]', '', 'g')) AS n_upper,
-                len(list_filter(words, x -> lower(x) IN ({", ".join(f"'{x}'" for x in sorted(set(STOP_WORDS)))}))) AS n_stop,
-                len(list_filter(range(2, len(words) + 1), i -> words[i] = words[i - 1])) AS n_adjacent,
+                len(list_filter(words, lambda x: lower(x) IN ({", ".join(f"'{x}'" for x in sorted(set(STOP_WORDS)))}))) AS n_stop,
+                len(list_filter(range(2, len(words) + 1), lambda i: words[i] = words[i - 1])) AS n_adjacent,
                 n_lines, n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words
             FROM w JOIN line_stats USING (doc_id) LEFT JOIN covered USING (doc_id))
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words,
