@@ -5,11 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import license_scan, line_dedup, quality_rules, secret_scan
+from . import license_scan, line_dedup, pii, quality_model, quality_rules, secret_scan
 from .common import read
 from .text_stats import STOP_WORDS
 
 
+def op1_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = quality_model.learn(docs, read(spark, sf_dir, "labels"))
+    return quality_model.score(docs, model).select("row.doc_id", "held_out", "score", "predicted")
+
+
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.find_pii(docs, pii.learn(docs))
+    counts = [F.size(f"base.{k}").cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("row.doc_id", *counts, F.sha2(pii.spelled("base"), 256).alias("base_sha256"), pii.spelled("all").alias("spans"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup_lines(read(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -29,6 +42,8 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_quality_model": op1_quality_model,
+    "op2_pii": op2_pii,
     "op4_line_dedup": op4_line_dedup,
     "op7_quality_rules": op7_quality_rules,
     "op8_license_scan": op8_license_scan,
