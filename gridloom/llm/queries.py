@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import license_scan, line_dedup, pii, quality_model, quality_rules, secret_scan
+from . import license_scan, line_dedup, packing, pii, quality_model, quality_rules, secret_scan
 from .common import read
 from .text_stats import STOP_WORDS
 
@@ -37,6 +37,10 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(read(spark, sf_dir, "documents"))
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(read(spark, sf_dir, "documents"))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan_secrets(read(spark, sf_dir, "documents")))
 
@@ -47,6 +51,7 @@ QUERIES = {
     "op4_line_dedup": op4_line_dedup,
     "op7_quality_rules": op7_quality_rules,
     "op8_license_scan": op8_license_scan,
+    "op9_packing": op9_packing,
     "op10_secret_scan": op10_secret_scan,
 }
 
