@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import license_scan, line_dedup, packing, pii, quality_model, quality_rules, secret_scan
+from . import html_text, license_scan, line_dedup, packing, pii, quality_model, quality_rules, secret_scan
 from .common import read
 from .text_stats import STOP_WORDS
 
@@ -23,6 +23,10 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", *counts, F.sha2(pii.spelled("base"), 256).alias("base_sha256"), pii.spelled("all").alias("spans"))
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(read(spark, sf_dir, "pages"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup_lines(read(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -48,6 +52,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality_model": op1_quality_model,
     "op2_pii": op2_pii,
+    "op3_html_text": op3_html_text,
     "op4_line_dedup": op4_line_dedup,
     "op7_quality_rules": op7_quality_rules,
     "op8_license_scan": op8_license_scan,
