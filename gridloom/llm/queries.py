@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, license_scan, line_dedup, packing, pii, quality_model, quality_rules, secret_scan
+from . import decontaminate, html_text, license_scan, line_dedup, packing, pii, quality_model, quality_rules, secret_scan
 from .common import read
 from .text_stats import STOP_WORDS
 
@@ -32,6 +32,10 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = [F.col(f"stats.{c}") for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
     return quality_rules.judge(read(spark, sf_dir, "documents")).select("row.doc_id", *stats, "verdict.base_failed", "verdict.kept")
@@ -54,6 +58,7 @@ QUERIES = {
     "op2_pii": op2_pii,
     "op3_html_text": op3_html_text,
     "op4_line_dedup": op4_line_dedup,
+    "op5_decontaminate": op5_decontaminate,
     "op7_quality_rules": op7_quality_rules,
     "op8_license_scan": op8_license_scan,
     "op9_packing": op9_packing,
