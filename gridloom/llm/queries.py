@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, license_scan, line_dedup, packing, pii, quality_model, quality_rules, secret_scan
+from . import decontaminate, html_text, license_scan, line_dedup, near_dup, packing, pii, quality_model, quality_rules, secret_scan
 from .common import read
 from .text_stats import STOP_WORDS
 
@@ -36,6 +36,10 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op6_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = [F.col(f"stats.{c}") for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
     return quality_rules.judge(read(spark, sf_dir, "documents")).select("row.doc_id", *stats, "verdict.base_failed", "verdict.kept")
@@ -59,6 +63,7 @@ QUERIES = {
     "op3_html_text": op3_html_text,
     "op4_line_dedup": op4_line_dedup,
     "op5_decontaminate": op5_decontaminate,
+    "op6_near_dup": op6_near_dup,
     "op7_quality_rules": op7_quality_rules,
     "op8_license_scan": op8_license_scan,
     "op9_packing": op9_packing,
