@@ -24,6 +24,13 @@ def ensure_shared_dir(spark: SparkSession) -> None:
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Hand texts to Python 1000 rows at a time, unless the session says otherwise: with 10000, a task holds some 100 MB of them on both sides."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, "1000")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared checkpoint folder and go on from there, so that it is computed once and survives lost executors."""
     ensure_shared_dir(df.sparkSession)
@@ -50,6 +57,7 @@ def map_text(docs: DataFrame, function, schema: str, key: str = "doc_id") -> Dat
             columns = list(zip(*rows, strict=True)) if rows else [[] for _ in names]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=[key, *names])
 
+    small_batches(docs.sparkSession)
     types = [{"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64(), "boolean": pa.bool_()}[c.split()[1]] for c in schema.split(",")]
     return docs.select(key, F.col("text")).mapInArrow(run, f"{key} {key_type}, {schema}")
 

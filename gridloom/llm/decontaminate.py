@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import utf8
+from .common import small_batches, utf8
 from .license_scan import tokens_of
 
 
@@ -156,6 +156,7 @@ class Items:
 def _prepared(docs: DataFrame, benchmark: DataFrame, s: Settings, block_bytes: int) -> Iterator:
     """Blocks of items with their seeds, each at most about block_bytes (or one item), as broadcast variables."""
     spark = docs.sparkSession
+    small_batches(spark)
     size = benchmark.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-size // block_bytes))
     for k in range(blocks):

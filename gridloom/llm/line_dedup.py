@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, cut, utf8
+from .common import SPACE, cut, small_batches, utf8
 
 #: Bytes that an indexed line takes at most: three arrays, and the bits of the levels with their ranks.
 ENTRY_BYTES = 24
@@ -163,6 +163,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, shard_l
     gives an empty result. The size of a text or line has no bound but memory
     for one batch of rows."""
     spark = docs.sparkSession
+    small_batches(spark)
     counted = cut(count_lines(docs, min_chars, min_docs))
     n = counted.count()
     n_shards = max(1, -(-n // shard_lines))

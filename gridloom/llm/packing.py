@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import utf8
+from .common import small_batches, utf8
 
 TIERS = (1024, 512, 256, 128)
 #: Texts above this many bytes go to the library whose time doesn't depend on a backtracking limit.
@@ -165,6 +165,7 @@ def pack_documents(docs: DataFrame, tiers: tuple[int, ...] = TIERS, step_tokens:
                     waiting = 0
         yield flush(True)
 
+    small_batches(docs.sparkSession)
     field = docs.schema["doc_id"]
     key_type = to_arrow_type(field.dataType)
     names = ["doc_id", *(c.split()[0] for c in SCHEMA.split(", "))]
