@@ -18,7 +18,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
 from ..functions import shape as sh
@@ -248,21 +248,12 @@ class NetCDF3Reader(DataSourceReader):
             yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in coordinates), pa.array(values, mask=mask)], names=names)
 
 
-class PushdownReader(NetCDF3Reader):
-    """Also takes comparisons of c0 with constants from Spark (spark.sql.python.filterPushdown.enabled); Spark tests them again."""
-
-    def pushFilters(self, filters: list[Filter]):  # noqa: N802
-        for f in filters:
-            if getattr(f, "attribute", None) == ("c0",) and self.query.noscan:
-                if isinstance(f, (GreaterThan, GreaterThanOrEqual, EqualTo)):
-                    self.low = max(self.low, f.value + isinstance(f, GreaterThan))
-                if isinstance(f, (LessThan, LessThanOrEqual, EqualTo)):
-                    self.high = min(self.high, f.value + (not isinstance(f, LessThan)))
-            yield f
-
-
 class NetCDF3(DataSource):
-    """Options: path, those of TileQuery.from_conf (variable, low, high, partition_mode, ...), block_size, skip_invalid, fill_value (such cells are null) and pushdown."""
+    """Options: path, those of TileQuery.from_conf (variable, low, high, partition_mode, ...), block_size, skip_invalid and fill_value (such cells are null).
+
+    The range of records is pruned by the options low and high, not by filters
+    that Spark pushes: in Spark 4.1 what is pushed for one query stays with the
+    DataFrame for the next one."""
 
     @classmethod
     def name(cls) -> str:
@@ -279,8 +270,7 @@ class NetCDF3(DataSource):
 
     def reader(self, schema: StructType) -> NetCDF3Reader:
         o = self.options
-        kind = PushdownReader if o.get("pushdown") == "true" else NetCDF3Reader
-        return kind(o["path"], self._query(), int(o.get("block_size") or 64 << 20), o.get("skip_invalid", "true") == "true", float(o["fill_value"]) if o.get("fill_value") else None)
+        return NetCDF3Reader(o["path"], self._query(), int(o.get("block_size") or 64 << 20), o.get("skip_invalid", "true") == "true", float(o["fill_value"]) if o.get("fill_value") else None)
 
 
 def read_array(spark: SparkSession, path: str, query: TileQuery, options: dict[str, str]) -> NDArray:
@@ -311,7 +301,7 @@ def header(dims: Sequence[tuple[str, int]], variables: Sequence[tuple[str, Seque
     word = lambda n: struct.pack(">I", n)
     name = lambda s: word(len(s.encode())) + s.encode() + b"\0" * (-len(s.encode()) % 4)
     cell = lambda kind: np.dtype(TYPES[kind][0]).itemsize
-    on_records = [bool(own) and dims[own[0]][1] == 0 for _, own, _ in variables]
+    on_records = [bool(own and dims[own[0]][1] == 0) for _, own, _ in variables]
     bytes_ = [sh.size([dims[d][1] for d in own[on:]] or [1]) * cell(kind) for (_, own, kind), on in zip(variables, on_records, strict=True)]
     padded = [b + -b % 4 for b in bytes_]
     record_bytes = bytes_[on_records.index(True)] if sum(on_records) == 1 else sum(p for p, on in zip(padded, on_records, strict=True) if on)
@@ -341,7 +331,7 @@ def write(array: NDArray, folder: str, variable: str = "value", records_per_file
     inner = shape[1:]
 
     def save(key: tuple, cells: pd.DataFrame) -> pd.DataFrame:
-        first = key[0] * records_per_file
+        first = int(key[0]) * records_per_file
         n = min(records_per_file, shape[0] - first)
         block = np.full((n, *inner), fill, ">i4")
         at = [cells[f"c{i}"].to_numpy() for i in range(len(shape))]
