@@ -1,8 +1,8 @@
 """Benchmark decontamination: rare n-gram seeds, then local alignment.
 
 A first pass counts, for every n-gram of the test items, the documents that
-hold it. Of each stretch of an item the rarest n-gram becomes a seed, so each
-item has seeds all along it, as rare as it allows. A second pass looks up the
+hold it. The rare ones become seeds; where a stretch of an item has none, its
+rarest do, so each item has seeds all along it, however often it is copied. A second pass looks up the
 seeds in all texts; where one hits, the words around it are aligned with the
 item (Smith-Waterman over words), and passages that score enough are reported,
 copies with words changed, added or left out among them.
@@ -28,9 +28,11 @@ from .license_scan import tokens_of
 
 @dataclass(frozen=True)
 class Settings:
-    """min_score: the share of the best possible alignment score. stretch: n-grams of an item of which the rarest is a seed. slack: words more on both sides of where the item would lie."""
+    """min_score: the share of the best possible alignment score. rare: the share of documents (rare_docs of them at least) up to which an n-gram is a seed; stretch: n-grams in a row of which, if none is rare, those not twice as frequent as the rarest are. slack: words more on both sides of where the item would lie."""
 
     n: int = 3
+    rare: float = 0.001
+    rare_docs: int = 20
     stretch: int = 6
     min_score: float = 0.5
     match: float = 1.0
@@ -105,8 +107,9 @@ class Items:
         ids = self.numbers(words)
         return np.concatenate([np.unique(self.hits(ids, k, n)[1]) + self.first[n] for n, k in self.keys.items()] or [np.zeros(0, np.int64)])
 
-    def choose_seeds(self, documents: dict[int, int]) -> None:
-        """documents: number of an n-gram -> documents that hold it."""
+    def choose_seeds(self, documents: dict[int, int], total: int) -> None:
+        """documents: number of an n-gram -> documents that hold it, of so many in total. What none holds can't be found."""
+        rare = max(self.s.rare_docs, self.s.rare * total)
         for n, grams in self.grams.items():
             number = {int(k): i + self.first[n] for i, k in enumerate(self.keys[n])}
             by_item: dict[int, list[tuple[int, int]]] = {}
@@ -115,9 +118,15 @@ class Items:
             chosen: dict[int, list[tuple[int, int]]] = {}
             for i, places in by_item.items():
                 rated = [(documents.get(number[k], 0), q, k) for q, k in sorted(places)]
-                picked = {min(rated[a : a + self.s.stretch]) for a in range(max(1, len(rated) - self.s.stretch + 1))}
+                picked = set()
+                for a in range(max(1, len(rated) - self.s.stretch + 1)):
+                    held = [x for x in rated[a : a + self.s.stretch] if x[0]]
+                    limit = max(rare, 2 * min((x[0] for x in held), default=0))
+                    picked.update(x for x in held if x[0] <= limit)
                 for _, q, k in picked:
                     chosen.setdefault(k, []).append((i, q))
+            if not chosen:
+                continue
             keys = np.array(sorted(chosen), np.int64)
             self.seeds[n] = keys, {j: chosen[int(k)] for j, k in enumerate(keys)}
 
@@ -158,7 +167,7 @@ def _prepared(docs: DataFrame, benchmark: DataFrame, s: Settings, block_bytes: i
     spark = docs.sparkSession
     small_batches(spark)
     size = benchmark.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    blocks = max(1, -(-size // block_bytes))
+    blocks, total = max(1, -(-size // block_bytes)), docs.count()
     for k in range(blocks):
         rows = benchmark.select("item_id", "text").where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).collect()
         items = Items(sorted(((r["item_id"], (r["text"] or "").encode()) for r in rows if r["item_id"] is not None), key=lambda x: (x[0], x[1])), s)
@@ -174,7 +183,7 @@ def _prepared(docs: DataFrame, benchmark: DataFrame, s: Settings, block_bytes: i
             yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["gram", "n"])
 
         counted = docs.select("text").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-        items.choose_seeds({r["gram"]: r["n"] for r in counted.collect()})  # a row for each n-gram of the block at most
+        items.choose_seeds({r["gram"]: r["n"] for r in counted.collect()}, total)  # a row for each n-gram of the block at most
         yield spark.sparkContext.broadcast(items)
 
 
