@@ -36,6 +36,8 @@ BOILERPLATE_NAMES = frozenset(
     "sidebar nav navbar navigation menu breadcrumb breadcrumbs footer share sharing social related recommended recommendations comment comments discussion replies respond disqus widget pagination pager "
     "toolbar masthead contentinfo complementary search copyright".split()
 )
+#: Of these, those that don't mark the layout of a page around its article, but other texts.
+OTHER_TEXTS = frozenset("comment comments discussion replies respond disqus related recommended recommendations sponsored promo promotion ad ads advert adverts advertisement advertising".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _IMPLIED_END = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "option": {"option"}}
 _STOP = frozenset(STOP_WORDS)
@@ -60,16 +62,18 @@ class Rules:
     link_density: float = 0.5
 
 
-def _marks(tag: str, attributes: str, article: bool) -> tuple[bool, bool]:
-    """Whether an element encloses boilerplate, and whether its content is hidden."""
-    boilerplate, hidden = tag in BOILERPLATE_TAGS or (tag == "header" and not article), tag in HIDDEN
-    if attributes and "=" in attributes or "hidden" in attributes:
+def _marks(tag: str, attributes: str, article: bool) -> tuple[int, bool]:
+    """What an element encloses: 0 content, 1 boilerplate unless an article begins inside, 2 boilerplate; and whether it is hidden."""
+    boilerplate, hidden = 2 * (tag in BOILERPLATE_TAGS or (tag == "header" and not article)), tag in HIDDEN
+    if "=" in attributes or "hidden" in attributes:
         for name, a, b, c in _ATTRIBUTE.findall(attributes):
             name, value = name.lower(), a or b or c
-            if name in ("class", "id", "role") and not (tag in ("html", "body", "article", "main") and name != "class"):
+            if name in ("class", "id", "role"):
                 words = {w.lower() for w in _NAME.findall(value)}
-                strong = words & BOILERPLATE_NAMES or ("header" in words and not article and tag not in HEADINGS)
-                boilerplate |= bool(strong) and tag not in ("html", "body", "main")
+                if tag in ("article", "section") and words & (OTHER_TEXTS - {"ads"}) or tag not in ("html", "body", "main", "article") and words & OTHER_TEXTS:
+                    boilerplate = 2
+                elif tag not in ("html", "body", "main", "article") and (words & BOILERPLATE_NAMES or ("header" in words and not article and tag not in HEADINGS)):
+                    boilerplate = max(boilerplate, 1)
             elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none", value)):
                 hidden = True
     return boilerplate, hidden
@@ -78,8 +82,8 @@ def _marks(tag: str, attributes: str, article: bool) -> tuple[bool, bool]:
 def blocks(page: str) -> list[Block]:
     """The page's blocks in order, without empty ones. Tags that aren't closed end where HTML lets them."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool, bool, bool, bool]] = []  # tag, boilerplate, hidden, article, link, heading
-    state = ("", False, False, False, False, False)
+    stack: list[tuple[str, int, bool, bool, bool, bool]] = []  # tag, boilerplate, hidden, article, link, heading
+    state = ("", 0, False, False, False, False)
     parts: list[str] = []
     links, first, begun = 0, state, False
 
@@ -87,7 +91,7 @@ def blocks(page: str) -> list[Block]:
         nonlocal parts, links, begun
         text = " ".join("".join(parts).split())
         if text:
-            out.append(Block(text, links, first[1], first[3], first[5]))
+            out.append(Block(text, links, bool(first[1]), first[3], first[5]))
         parts, links, begun = [], 0, False
 
     def say(text: str) -> None:
@@ -105,7 +109,7 @@ def blocks(page: str) -> list[Block]:
         nonlocal state
         for i in range(len(stack) - 1, -1, -1):
             if stack[i][0] in tags:
-                state = stack[i - 1] if i else ("", False, False, False, False, False)
+                state = stack[i - 1] if i else ("", 0, False, False, False, False)
                 del stack[i:]
                 return
             if stack[i][0] in stop:
@@ -147,7 +151,9 @@ def blocks(page: str) -> list[Block]:
         if tag in VOID or attributes.endswith("/") and tag not in BLOCKS:
             continue
         boilerplate, hidden = _marks(tag, attributes, state[3])
-        state = (tag, state[1] or boilerplate, state[2] or hidden, state[3] or tag in ("article", "main"), state[4] or tag == "a", state[5] or tag in HEADINGS)
+        opens = tag in ("article", "main")
+        around = 0 if opens and state[1] == 1 else state[1]
+        state = (tag, max(around, boilerplate), state[2] or hidden, state[3] or opens, state[4] or tag == "a", state[5] or tag in HEADINGS)
         stack.append(state)
     end_block()
     return out

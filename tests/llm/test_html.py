@@ -37,6 +37,11 @@ def test_article_alone_counts():
     assert text(page) == "Head\n\nx &lt; y éA z\n\nunknown zzz qqq www\n\nend"
 
 
+def test_names_of_the_layout_around_an_article():
+    page = f"<div class='with-sidebar'><div class='sidebar'>{GOOD} menu</div><article class='post has-ads'><p>{GOOD}</p></article><div class='comments'><article><p>{GOOD} says one</p></article></div><article class='comment'>{GOOD} says two</article></div>"
+    assert text(page) == GOOD
+
+
 def test_unclosed_and_odd_markup():
     assert text(f"<p>{GOOD}<p>{GOOD} two") == f"{GOOD}\n\n{GOOD} two"
     assert text(f"<article>{GOOD} 1 < 2 <b>bold<p>more") == f"{GOOD} 1 < 2 bold\n\nmore"
