@@ -296,22 +296,33 @@ def explain_splits(spark: SparkSession, path: str, query: TileQuery, block_bytes
 # --- Writing
 
 
-def header(dims: Sequence[tuple[str, int]], variables: Sequence[tuple[str, Sequence[int], int]], records: int = 0, version: int = 2) -> tuple[bytes, list[int], int]:
-    """A header's bytes, where each variable begins, and the distance of records. dims: (name, length, 0 for the unlimited one); variables: (name, numbers of dims, type)."""
+@dataclass(frozen=True)
+class Column1D:
+    """A coordinate variable: a dimension's name, and the attributes of its values 0, 1, 2, ..."""
+
+    name: str
+    long_name: str = ""
+    units: str = ""
+
+
+def header(dims: Sequence[tuple[str, int]], variables: Sequence[tuple], records: int = 0, version: int = 2) -> tuple[bytes, list[int], int]:
+    """A header's bytes, where each variable begins, and the distance of records. dims: (name, length, 0 for the unlimited one); variables: (name, numbers of dims, type), and a dict of text attributes if any."""
     word = lambda n: struct.pack(">I", n)
-    name = lambda s: word(len(s.encode())) + s.encode() + b"\0" * (-len(s.encode()) % 4)
+    padded_text = lambda raw: raw + b"\0" * (-len(raw) % 4)
+    name = lambda s: word(len(s.encode())) + padded_text(s.encode())
+    tagged = lambda tag, items: word(tag) + word(len(items)) + b"".join(items) if items else word(0) * 2
     cell = lambda kind: np.dtype(TYPES[kind][0]).itemsize
-    on_records = [bool(own and dims[own[0]][1] == 0) for _, own, _ in variables]
-    bytes_ = [sh.size([dims[d][1] for d in own[on:]] or [1]) * cell(kind) for (_, own, kind), on in zip(variables, on_records, strict=True)]
+    on_records = [bool(v[1] and dims[v[1][0]][1] == 0) for v in variables]
+    bytes_ = [sh.size([dims[d][1] for d in v[1][on:]] or [1]) * cell(v[2]) for v, on in zip(variables, on_records, strict=True)]
     padded = [b + -b % 4 for b in bytes_]
     record_bytes = bytes_[on_records.index(True)] if sum(on_records) == 1 else sum(p for p, on in zip(padded, on_records, strict=True) if on)
 
     def made(begins: list[int]) -> bytes:
-        out = b"CDF" + bytes([version]) + word(records) + (word(DIMENSION) + word(len(dims)) if dims else word(0) * 2) + b"".join(name(n) + word(k) for n, k in dims) + word(0) * 2
-        out += word(VARIABLE) + word(len(variables)) if variables else word(0) * 2
-        for (n, own, kind), p, at in zip(variables, padded, begins, strict=True):
-            out += name(n) + word(len(own)) + b"".join(map(word, own)) + word(0) * 2 + word(kind) + word(min(p, 2**32 - 1)) + struct.pack(">Q" if version == 2 else ">I", at)
-        return out
+        rows = []
+        for v, p, at in zip(variables, padded, begins, strict=True):
+            texts = [name(k) + word(2) + word(len(t.encode())) + padded_text(t.encode()) for k, t in (v[3] if len(v) > 3 else {}).items()]
+            rows.append(name(v[0]) + word(len(v[1])) + b"".join(map(word, v[1])) + tagged(ATTRIBUTE, texts) + word(v[2]) + word(min(p, 2**32 - 1)) + struct.pack(">Q" if version == 2 else ">I", at))
+        return b"CDF" + bytes([version]) + word(records) + tagged(DIMENSION, [name(n) + word(k) for n, k in dims]) + word(0) * 2 + tagged(VARIABLE, rows)
 
     at, begins = len(made([0] * len(variables))), [0] * len(variables)
     for turn in (False, True):  # fixed variables first, then the records
@@ -321,34 +332,44 @@ def header(dims: Sequence[tuple[str, int]], variables: Sequence[tuple[str, Seque
     return made(begins), begins, record_bytes
 
 
-def write(array: NDArray, folder: str, variable: str = "value", records_per_file: int = 1024, record_dimension: bool = True, fill: int = 0) -> DataFrame:
+def write(array: NDArray, folder: str, variable: str = "value", records_per_file: int = 1024, record_dimension: bool = True, fill: int = 0, coordinates: Sequence[Column1D] | None = None) -> DataFrame:
     """Write an INT array as files of records_per_file records each (one task each, in memory); returns (file, records) once written.
 
     Read as one array again by the multi-file mode "concat". Missing cells get
-    the fill value, and of repeated ones any stays. A task that runs again
+    the fill value, and of repeated ones any stays. coordinates names the
+    dimensions and adds a variable for each: INT along the records, FLOAT along
+    the others; the array's variable is the last one. A task that runs again
     writes the same file anew."""
     shape = array.measured_shape()
     inner = shape[1:]
 
-    def save(key: tuple, cells: pd.DataFrame) -> pd.DataFrame:
+    def save(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         first = int(key[0]) * records_per_file
         n = min(records_per_file, shape[0] - first)
         block = np.full((n, *inner), fill, ">i4")
-        at = [cells[f"c{i}"].to_numpy() for i in range(len(shape))]
-        block[(at[0] - first, *at[1:])] = cells["value"].to_numpy()
-        dims = [("d0", 0 if record_dimension else n), *((f"d{i + 1}", d) for i, d in enumerate(inner))]
-        head, begins, _ = header(dims, [(variable, range(len(shape)), 4)], n if record_dimension else 0)
+        at = [rows[f"c{i}"].to_numpy() for i in range(len(shape))]
+        block[(at[0] - first, *at[1:])] = rows["value"].to_numpy()
+        names = [c.name for c in coordinates] if coordinates else [f"d{i}" for i in range(len(shape))]
+        dims = [(names[0], 0 if record_dimension else n), *zip(names[1:], map(int, inner), strict=True)]
+        lines = [np.arange(first, first + n).astype(">i4"), *(np.arange(d).astype(">f4") for d in inner)] if coordinates else []
+        extra = [(c.name, (i,), 5 if i else 4, {k: v for k, v in (("long_name", c.long_name), ("units", c.units)) if v}) for i, c in enumerate(coordinates or ())]
+        head, _, _ = header(dims, [*extra, (variable, range(len(shape)), 4)], n if record_dimension else 0)
+        cells = block.view(np.uint8).reshape(n, -1)
+        if record_dimension and lines:  # the record's number and its cells, record by record
+            body = np.concatenate([x.view(np.uint8) for x in lines[1:]] + [np.hstack([lines[0].view(np.uint8).reshape(n, 4), cells]).ravel()])
+        else:
+            body = np.concatenate([x.view(np.uint8) for x in lines] + [cells.ravel()])
         fs, base = pafs.FileSystem.from_uri(folder) if ":" in folder else (pafs.LocalFileSystem(), folder)
         fs.create_dir(base, recursive=True)
         name, done = f"{base}/_part-{key[0]:09d}.tmp", f"{base}/part-{key[0]:09d}.nc"
         with fs.open_output_stream(name) as out:
             out.write(head)
-            out.write(block.tobytes())
+            out.write(body.tobytes())
         fs.move(name, done)
         return pd.DataFrame([{"file": done, "records": n}])
 
     numbered = array.df.withColumn("_file", sh.div("c0", records_per_file).cast("int"))
     written = numbered.groupBy("_file").applyInPandas(save, "file string, records int")
-    rows = sorted(map(tuple, written.collect()))  # a row for each file
-    return array.df.sparkSession.createDataFrame(rows, "file string, records int")
+    files = sorted(map(tuple, written.collect()))  # a row for each file
+    return array.df.sparkSession.createDataFrame(files, "file string, records int")
 

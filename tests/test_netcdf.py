@@ -89,6 +89,23 @@ def test_interleaved_variables_and_fill_value(spark, tmp_path):
         NDArray.read(spark, path, TileQuery(variable="c"))
 
 
+@pytest.mark.parametrize("records", [True, False])
+def test_coordinate_variables(spark, tmp_path, records):
+    dims = [netcdf3.Column1D("time", "days", "since midnight, 1,1,1970"), netcdf3.Column1D("lat", "latitude", "half degrees"), netcdf3.Column1D("lon", units="degrees")]
+    out = str(tmp_path / "c")
+    netcdf3.write(NDArray.from_range(spark, (5, 3, 2)), out, "wind", records_per_file=4, record_dimension=records, coordinates=dims)
+    array = NDArray.read(spark, out)
+    assert array.name == "wind" and array.shape == (5, 3, 2)
+    assert array.df.count() == 30 and array.with_flat_id().where(F.col("gid") != F.col("value")).count() == 0
+    second = netcdf3.list_files(out)[1]
+    variables = netcdf3.read_header(second)
+    assert [(v.name, v.shape, v.dims) for v in variables] == [("time", (1,), ("time",)), ("lat", (3,), ("lat",)), ("lon", (2,), ("lon",)), ("wind", (1, 3, 2), ("time", "lat", "lon"))]
+    data = open(second, "rb").read()
+    assert np.frombuffer(data, ">f4", 3, variables[1].begin).tolist() == [0.0, 1.0, 2.0]
+    assert np.frombuffer(data, ">i4", 1, variables[0].begin).tolist() == [4]
+    assert b"half degrees" in data and b"long_name" in data
+
+
 def test_missing_and_broken_files(spark, tmp_path):
     (tmp_path / "bad.nc").write_bytes(b"nothing")
     with pytest.raises(Exception, match="no NetCDF classic file"):
