@@ -213,7 +213,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, shard_l
 
         # Rows of one doc_id may have several texts; those with the same text lose the same lines.
         gone_lines = reduce(DataFrame.union, (find(g) for g in groups)).groupBy("_id", "_text").agg(F.collect_set("_line").alias("_lines"))
-        source = docs.join(gone_lines, docs["doc_id"].eqNullSafe(gone_lines["_id"]) & (F.xxhash64(docs["text"]) == gone_lines["_text"]), "left").select(*(docs[f"`{c}`"] for c in names), "_lines")
+        source = docs.join(gone_lines, docs["doc_id"].eqNullSafe(gone_lines["_id"]) & (F.xxhash64(docs["text"]) == gone_lines["_text"]), "left").select(*(docs[f"`{c}`"] for c in names), gone_lines["_lines"].alias("lines that go"))
 
         def rewrite(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:

@@ -33,6 +33,10 @@ def test_edges(spark):
         if r["doc_id"] is None:
             assert r["n_dropped"] == (1 if r["n_chars"] == 0 and r["n_dropped"] else 0)
     assert line_dedup.dedup_lines(edges.empty(spark)).collect() == []
+    key = lambda r: (r["doc_id"] or 0, r["text"], r["n_dropped"])
+    several = line_dedup.dedup_lines(docs, min_docs=3, shard_lines=1, max_index_bytes=1)
+    assert several.columns == line_dedup.dedup_lines(docs, min_docs=3).columns
+    assert sorted(map(key, several.collect())) == sorted(map(key, line_dedup.dedup_lines(docs, min_docs=3).collect()))
 
 
 @pytest.mark.parametrize("n", [0, 1, 2, 1000])
