@@ -27,7 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import SPACE, cut, small_batches, utf8
@@ -353,7 +353,8 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     group = group.select("band", "hash", "a", "pivot", "id", "class", "total", "marks", similarity.alias("similarity"), F.coalesce("extra", F.lit(0.0)).alias("extra"), (F.col("pivot") - shared).alias("lost"), (F.col("total") - shared).alias("added"))
     group = cut(group)
     several = group.groupBy("band", "hash").agg(F.max_by("class", own).alias("main"), (F.min("class") != F.max("class")).alias("several"), F.count(F.lit(1)).alias("n")).where("several AND n > 2")
-    still = cut(group.join(cut(several.select("band", "hash", "main")), ["band", "hash"]).where(~own).join(texts.select(F.col("rep").alias("id"), "bands"), "id"))
+    still = group.join(cut(several.select("band", "hash", "main")), ["band", "hash"]).where(~own).join(texts.select(F.col("rep").alias("id"), "bands"), "id")
+    still = cut(still.withColumn("same", F.collect_set("band").over(Window.partitionBy("a", "id"))))  # the bands where id meets this pivot
     t, slack = s.threshold, 1e-9
     far = (F.abs(F.col("x_similarity") - F.col("y_similarity")) > 1 - t + slack) | (F.least("x_total", "y_total") < (t - slack) * F.greatest("x_total", "y_total"))
     sides = ("id", "class", "total", "similarity", "extra", "lost", "added")
@@ -364,10 +365,9 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     needed = F.col("x_lost") + F.col("y_lost") + t * (F.col("x_added") + F.col("y_added")) - (1 - t) * F.col("pivot")
     enough = needed <= (1 + t) * (F.least("x_lost", "y_lost") + F.least("x_extra", "y_extra")) + slack
     can = still.where(t * F.col("added") <= (1 - t) * (F.col("pivot") - F.col("lost")) + (1 + t) * F.col("extra") + slack)
-    # What holds in one bucket of a pair holds in all, so the first decides.
-    before = F.zip_with(F.slice("x_bands", F.lit(1), F.col("band")), F.slice("y_bands", F.lit(1), F.col("band")), lambda p, q: p == q)
-    first = F.size(F.filter(before, lambda same: same)) == 0
-    left = side(can.where("class <> main").withColumnRenamed("bands", "x_bands"), "x", "band", "hash", "pivot", "x_bands")
+    # What holds in one bucket of a pair holds in all with the same pivot, so the first of these decides; other pivots may tell otherwise.
+    first = ~F.exists("x_same", lambda k: (k < F.col("band")) & (F.get("x_bands", k) == F.get("y_bands", k)))
+    left = side(can.where("class <> main").withColumnRenamed("bands", "x_bands").withColumnRenamed("same", "x_same"), "x", "band", "hash", "pivot", "x_bands", "x_same")
     right = side(can.withColumnRenamed("bands", "y_bands"), "y", "band", "hash", "y_bands")
     bare = left.join(right, ["band", "hash"]).where((F.col("x_class") != F.col("y_class")) & ~far & enough & first).select(*pair)
 

@@ -154,3 +154,42 @@ def test_edges(spark):
     assert near_dup.near_duplicates(edges.empty(spark)).collect() == []
     kept = near_dup.keep_one(edges.table(spark))
     assert kept.columns == edges.table(spark).columns and sum(r["doc_id"] is None for r in kept.collect()) == 2
+
+
+def edited(words, places, mark):
+    x = list(words)
+    for i in places:
+        x[i] = f"{mark}{i}"
+    return " ".join(x)
+
+
+def with_buckets(monkeypatch, buckets):
+    """Let documents meet in given buckets: doc_id -> the hash of each band."""
+    signatures = near_dup.signatures
+
+    def patched(docs, weights, s):
+        given = docs.sparkSession.createDataFrame(list(buckets.items()), "doc_id long, bands array<long>")
+        out = signatures(docs, weights, s)
+        return out.drop("bands").join(given, "doc_id").select(*out.columns)
+
+    monkeypatch.setattr(near_dup, "signatures", patched)
+
+
+def classes_of(spark, docs, s):
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(4)
+    return {r["doc_id"]: r["class_id"] for r in near_dup.near_duplicates(df, s).collect()}
+
+
+def test_a_later_bucket_with_a_nearer_pivot_counts(spark, monkeypatch):
+    docs, buckets = {}, {}
+    for k in range(30):
+        words = [f"b{k}_{i}" for i in range(504)]
+        short, d = words[:300], 4 * k
+        docs |= {d: edited(words, [20], "f"), d + 1: " ".join(words), d + 2: edited(short, [60, 100, 140], "x"), d + 3: " ".join([*short, *(f"y{k}_{i}" for i in range(30))])}
+        # The copies cut short meet the pivot d first, which lacks a word of theirs, and d + 1 next.
+        buckets |= {d: [4 * k, d, -1 - d], d + 1: [4 * k + 1, -2 - d, -1 - d], d + 2: [4 * k, -2 - d, -3 - d], d + 3: [4 * k, -2 - d, -4 - d]}
+    s = near_dup.Settings(floor=0.5)
+    with_buckets(monkeypatch, buckets)
+    expected = brute(docs, s)
+    assert expected[2] == expected[3] != expected[0] == expected[1]
+    assert classes_of(spark, docs, s) == expected
