@@ -12,8 +12,8 @@
    are compared if arithmetic doesn't rule a link out: what two texts share is
    what they share of the pivot, bounded by how much of it each has lost, and
    what both have added to it. Pairs that can be linked without a shared
-   addition are few; others must share most of their additions, and meet by
-   MARKS min-hashes of these.
+   addition are few; others must share a least weight of their additions, and
+   meet by the rarest of these (prefix filtering), so that no link is missed.
 4. Compared means: the weighted Jaccard similarity of the whole texts, at least
    ``threshold``. Classes are the connected components of these links.
 
@@ -32,9 +32,6 @@ from pyspark.sql import functions as F
 
 from .common import SPACE, cut, small_batches, utf8
 
-#: Min-hashes of the additions to a pivot.
-MARKS = 12
-
 _U = np.uint64
 _LOW32 = _U(0xFFFFFFFF)
 
@@ -269,16 +266,15 @@ def compare(pairs: DataFrame, texts: DataFrame, weights: Weights, s: Settings) -
     """For pairs (a, b) of ids, from the whole texts (doc_id, text): similarity, and b's additions to a.
 
     Additions are shingles with more weight in b than in a: extra is the surplus
-    of those that many documents share, marks are min-hashes of the others."""
+    of those that many documents share."""
     shared = pairs.sparkSession.sparkContext.broadcast(weights)
     both = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut_up, weigh = Shingler(s.words), shared.value
-        multipliers = _numbers(s.seed + 3, MARKS) | _U(1)
         last, left = None, None
         for batch in batches:
-            found, extra, marks = [], [], []
+            found, extra = [], []
             for x, y in zip(utf8(batch.column(2)), utf8(batch.column(3)), strict=True):
                 if left is None or x != last:  # rows of one a often follow each other
                     last, left = x, weigh(cut_up(x or b""))
@@ -287,12 +283,34 @@ def compare(pairs: DataFrame, texts: DataFrame, weights: Weights, s: Settings) -
                 added, surplus = additions(left, right)
                 common = np.isin(added, weigh.frequent, assume_unique=True)
                 extra.append(float(surplus[common].sum()))
-                own = added[~common]
-                marks.append((own[:, None] * multipliers).min(axis=0).view(np.int64) if len(own) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.float64()), pa.array(extra, pa.float64()), pa.array(marks, pa.list_(pa.int64()))], names=["a", "b", "similarity", "extra", "marks"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.float64()), pa.array(extra, pa.float64())], names=["a", "b", "similarity", "extra"])
 
     kind = pairs.schema["a"].dataType.simpleString()
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, f"a {kind}, b {kind}, similarity double, extra double, marks array<long>")
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, f"a {kind}, b {kind}, similarity double, extra double")
+
+
+def rare_additions(members: DataFrame, texts: DataFrame, weights: Weights, s: Settings) -> DataFrame:
+    """(a, id, class, h, w): the shingles with more weight in id's text than in its pivot a's, but frequent ones, and how much more."""
+    shared = members.sparkSession.sparkContext.broadcast(weights)
+    both = members.join(texts.select(F.col("doc_id").alias("id"), F.col("text").alias("text_b")), "id").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cut_up, weigh = Shingler(s.words), shared.value
+        last, left = None, None
+        for batch in batches:
+            shingles, surplus = [], []
+            for x, y in zip(utf8(batch.column(3)), utf8(batch.column(4)), strict=True):
+                if left is None or x != last:
+                    last, left = x, weigh(cut_up(x or b""))
+                h, w = additions(left, weigh(cut_up(y or b"")))
+                own = ~np.isin(h, weigh.frequent, assume_unique=True)
+                shingles.append(h[own].view(np.int64))
+                surplus.append(w[own])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(shingles, pa.list_(pa.int64())), pa.array(surplus, pa.list_(pa.float64()))], names=["a", "id", "class", "h", "w"])
+
+    kind = members.schema["a"].dataType.simpleString()
+    rows = cut(both.select("a", "id", "class", "text_a", "text_b").mapInArrow(run, f"a {kind}, id {kind}, class {kind}, h array<long>, w array<double>"))
+    return rows.select("a", "id", "class", F.explode(F.arrays_zip("h", "w")).alias("x")).select("a", "id", "class", "x.h", "x.w")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -348,9 +366,9 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     own = F.col("id") == F.col("a")
     similarity = F.when(own, 1.0).otherwise(F.col("similarity"))
     shared = similarity / (1 + similarity) * (F.col("pivot") + F.col("total"))
-    about = compared.select("a", F.col("b").alias("id"), "similarity", "extra", "marks")
+    about = compared.select("a", F.col("b").alias("id"), "similarity", "extra")
     group = met.join(classes, "id", "left").withColumn("class", F.coalesce("class", "id")).join(about, ["a", "id"], "left")
-    group = group.select("band", "hash", "a", "pivot", "id", "class", "total", "marks", similarity.alias("similarity"), F.coalesce("extra", F.lit(0.0)).alias("extra"), (F.col("pivot") - shared).alias("lost"), (F.col("total") - shared).alias("added"))
+    group = group.select("band", "hash", "a", "pivot", "id", "class", "total", similarity.alias("similarity"), F.coalesce("extra", F.lit(0.0)).alias("extra"), (F.col("pivot") - shared).alias("lost"), (F.col("total") - shared).alias("added"))
     group = cut(group)
     several = group.groupBy("band", "hash").agg(F.max_by("class", own).alias("main"), (F.min("class") != F.max("class")).alias("several"), F.count(F.lit(1)).alias("n")).where("several AND n > 2")
     still = group.join(cut(several.select("band", "hash", "main")), ["band", "hash"]).where(~own).join(texts.select(F.col("rep").alias("id"), "bands"), "id")
@@ -371,10 +389,18 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     right = side(can.withColumnRenamed("bands", "y_bands"), "y", "band", "hash", "y_bands")
     bare = left.join(right, ["band", "hash"]).where((F.col("x_class") != F.col("y_class")) & ~far & enough & first).select(*pair)
 
-    # With one: they meet by its marks.
-    marked = still.where("marks IS NOT NULL").dropDuplicates(["a", "id"])
-    marked = cut(marked.select("a", *sides, F.posexplode("marks").alias("place", "mark")))
-    met_again = side(marked, "x", "a", "place", "mark").join(side(marked, "y", "a", "place", "mark"), ["a", "place", "mark"]).where((F.col("x_id") < F.col("y_id")) & (F.col("x_class") != F.col("y_class")) & ~far).select(*pair)
+    # With one: of the additions that several classes hold, rarest first, each keeps those up to which the rest (its own weight counted) is
+    # enough for a link to any other, so the first that a linked pair shares is kept by both, and what both have left there bounds what they share.
+    members = cut(still.dropDuplicates(["a", "id"]).select("a", "pivot", *sides))
+    added = rare_additions(members.select("a", "id", "class"), bodies, weights, s)
+    common = added.groupBy("a", "h").agg(F.count(F.lit(1)).alias("n"), F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("a", "h", "n")
+    held = added.drop("class").join(cut(common), ["a", "h"])
+    held = held.withColumn("rest", F.sum("w").over(Window.partitionBy("a", "id").orderBy(F.desc("n"), F.desc("h")).rowsBetween(Window.unboundedPreceding, 0)))
+    least = t * F.col("added") - (1 - t) * (F.col("pivot") - F.col("lost")) - F.col("extra")
+    held = cut(held.join(members, ["a", "id"]).where(F.col("rest") + slack >= least).select("a", "h", "pivot", "rest", *sides))
+    reach = needed <= (1 + t) * (F.least("x_lost", "y_lost") + F.least("x_extra", "y_extra") + F.least("x_rest", "y_rest")) + slack
+    left, right = side(held, "x", "a", "h", "pivot", F.col("rest").alias("x_rest")), side(held, "y", "a", "h", F.col("rest").alias("y_rest"))
+    met_again = left.join(right, ["a", "h"]).where((F.col("x_id") < F.col("y_id")) & (F.col("x_class") != F.col("y_class")) & ~far & reach).select(*pair)
     more = cut(bare.unionByName(met_again).distinct())
     if not more.isEmpty():
         new = compare(more, bodies, weights, s).where(F.col("similarity") >= s.threshold).select("a", "b")

@@ -193,3 +193,16 @@ def test_a_later_bucket_with_a_nearer_pivot_counts(spark, monkeypatch):
     expected = brute(docs, s)
     assert expected[2] == expected[3] != expected[0] == expected[1]
     assert classes_of(spark, docs, s) == expected
+
+
+def test_members_that_only_a_few_additions_link(spark, monkeypatch):
+    docs, buckets = {}, {}
+    for k in range(16):
+        words, d = [f"b{k}_{i}" for i in range(504)], 3 * k
+        docs |= {d: " ".join(words), d + 1: edited(words, [20], "y"), d + 2: edited(words, range(20, 480, 40), "y")}
+        buckets |= dict.fromkeys((d, d + 1, d + 2), [d])
+    s = near_dup.Settings(floor=0.5)
+    with_buckets(monkeypatch, buckets)
+    expected = brute(docs, s)
+    assert set(expected.values()) == set(range(0, 48, 3))
+    assert classes_of(spark, docs, s) == expected
