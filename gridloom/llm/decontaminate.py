@@ -5,7 +5,9 @@ hold it. The rare ones become seeds; where a stretch of an item has none, its
 rarest do, so each item has seeds all along it, however often it is copied. A second pass looks up the
 seeds in all texts; where one hits, the words around it are aligned with the
 item (Smith-Waterman over words), and passages that score enough are reported,
-copies with words changed, added or left out among them.
+copies with words changed, added or left out among them. Enough is a share of
+the item's best score, or a passage of its own length and few edits, however
+long the item is.
 
 The items are the stated query set; they reach the tasks in blocks of bounded
 size, one pass over the documents for each block."""
@@ -14,7 +16,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +30,7 @@ from .license_scan import tokens_of
 
 @dataclass(frozen=True)
 class Settings:
-    """min_score: the share of the best possible alignment score. rare: the share of documents (rare_docs of them at least) up to which an n-gram is a seed; stretch: n-grams in a row of which, if none is rare, those not twice as frequent as the rarest are. slack: words more on both sides of where the item would lie."""
+    """min_score: the share of the best possible alignment score. rare: the share of documents (rare_docs of them at least) up to which an n-gram is a seed; stretch: n-grams in a row of which, if none is rare, those not twice as frequent as the rarest are. slack: words more on both sides of where the item would lie. passage: the score from which an alignment in which each edit costs edit counts as well, whatever its share of the item."""
 
     n: int = 3
     rare: float = 0.001
@@ -39,6 +41,8 @@ class Settings:
     mismatch: float = -0.5
     gap: float = -0.5
     slack: float = 0.3
+    passage: float = 13.0
+    edit: float = -2.0
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -64,6 +68,7 @@ class Items:
 
     def __init__(self, items: list[tuple[object, bytes]], s: Settings) -> None:
         self.s, self.ids = s, [i for i, _ in items]
+        self.strict = replace(s, mismatch=s.edit, gap=s.edit)
         split = [words_of(t) for _, t in items]
         self.vocabulary: dict[bytes, int] = {w: k for k, w in enumerate(sorted({w for x in split for w in x}))}
         self.words = [np.array([self.vocabulary[w] for w in x], np.int64) for x in split]
@@ -151,12 +156,15 @@ class Items:
             least = self.s.min_score * self.s.match * len(item)
             for a, b in spans:
                 near = ids[a:b]
-                if sum(min(c, bag.get(w, 0)) for w, c in Counter(near.tolist()).items()) * self.s.match < least:
+                if sum(min(c, bag.get(w, 0)) for w, c in Counter(near.tolist()).items()) * self.s.match < min(least, self.s.passage):
                     continue  # too few words in common for any alignment
-                score, end = align(item, near, self.s)
-                if score >= least and score > best[0]:
-                    back = align(item[::-1], near[:end][::-1], self.s)[1]
-                    best = score, a + end - back, a + end - 1
+                for s, enough in ((self.s, least), (self.strict, self.s.passage)):
+                    score, end = align(item, near, s)
+                    if score >= enough:
+                        if score > best[0]:
+                            back = align(item[::-1], near[:end][::-1], s)[1]
+                            best = score, a + end - back, a + end - 1
+                        break
             if best[0]:
                 out.append((i, best[0] / (self.s.match * len(item)), best[1], best[2]))
         return out

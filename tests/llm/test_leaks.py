@@ -67,3 +67,13 @@ def test_edges(spark):
     assert decontaminate.find_leaks(docs, bench.where("false")).collect() == []
     assert decontaminate.drop_leaks(docs, bench).columns == docs.columns
     assert decontaminate.drop_leaks(docs, bench.where("false")).count() == docs.count()
+
+
+@pytest.mark.parametrize(("size", "first", "n"), [(59, 0, 29), (59, 30, 29), (150, 60, 50), (1000, 500, 40), (400, 100, 13), (400, 100, 12)])
+def test_passages_of_longer_items(spark, size, first, n):
+    rng = random.Random(size + first)
+    item = [f"i{k}" for k in range(size)]
+    text = [*prose(rng, 200), *item[first : first + n], *prose(rng, 100)]
+    df = spark.createDataFrame([(1, " ".join(text)), (2, " ".join(prose(rng, 300)))], "doc_id long, text string")
+    found = decontaminate.find_leaks(df, spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")).collect()
+    assert [(r["doc_id"], r["item_id"], r["first_word"], r["last_word"]) for r in found] == ([(1, 7, 200, 199 + n)] if n >= 13 else [])
