@@ -145,13 +145,15 @@ class Items:
                     size = len(self.words[i])
                     slack = 2 + int(size * self.s.slack)
                     a, b = max(0, p - q - slack), min(len(ids), p - q + size + slack)
-                    spans = windows.setdefault(i, [])
-                    if spans and a <= spans[-1][1]:
-                        spans[-1][1] = max(b, spans[-1][1])
-                    else:
-                        spans.append([a, b])
+                    windows.setdefault(i, []).append([a, b])
         out = []
-        for i, spans in sorted(windows.items()):
+        for i, found in sorted(windows.items()):
+            spans: list[list[int]] = []
+            for a, b in sorted(found):
+                if spans and a <= spans[-1][1]:
+                    spans[-1][1] = max(b, spans[-1][1])
+                else:
+                    spans.append([a, b])
             item, bag, best = self.words[i], self.bags[i], (0.0, 0, 0)
             least = self.s.min_score * self.s.match * len(item)
             for a, b in spans:

@@ -77,3 +77,15 @@ def test_passages_of_longer_items(spark, size, first, n):
     df = spark.createDataFrame([(1, " ".join(text)), (2, " ".join(prose(rng, 300)))], "doc_id long, text string")
     found = decontaminate.find_leaks(df, spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")).collect()
     assert [(r["doc_id"], r["item_id"], r["first_word"], r["last_word"]) for r in found] == ([(1, 7, 200, 199 + n)] if n >= 13 else [])
+
+
+@pytest.mark.parametrize("early", [2, 5, 8, 11, 14])
+def test_windows_begin_at_the_first_place_of_a_repeated_seed(early):
+    item = [f"i{k}" for k in range(60)]
+    item[early : early + 3] = item[40:43]
+    copy = [f"c{k}" if k < 40 and (k % 3 == 1 or k > 37) else w for k, w in enumerate(item)]
+    items = decontaminate.Items([(1, " ".join(item).encode())], decontaminate.Settings())
+    items.choose_seeds(dict.fromkeys(range(100), 1), 1)
+    words = [w.encode() for w in ["before"] * 100 + copy + ["after"] * 50]
+    [(_, score, first, last)] = items.matches(words)
+    assert (first, last) == (100, 159) and score > 0.6
