@@ -78,10 +78,17 @@ def held_out(doc_id: Column) -> Column:
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000) -> Model:
-    """Fit on at most sample_rows labelled rows (those with the smallest hash of doc_id), none of them held out."""
-    chosen = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample_rows)
-    sample = with_stats(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"))  # at most sample_rows rows
+    """Fit on at most sample_rows labelled documents (those with the smallest hash of doc_id), none of them held out.
+
+    Labels other than 0 and 1, null ids and documents labelled both ways are
+    left out; a label given twice counts once. Of several texts with one doc_id
+    the first in order is learned from; a label without a document isn't.
+    Without labels the model is the base rate."""
+    usable = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    agreed = usable.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("other")).where("quality = other").drop("other")
+    chosen = agreed.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most sample_rows rows are broadcast
+    sample = with_stats(found.groupBy("doc_id", "quality").agg(F.min("text").alias("text")))
     rows = sample.select("row.quality", *(c.alias(k) for k, c in zip(RATIOS, ratios(), strict=True)), "row.doc_id").collect()
     rows.sort(key=lambda r: (r["doc_id"], *r[:-1]))
     data = np.array([r[:-1] for r in rows], float).reshape(-1, len(RATIOS) + 1)

@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_SPACE = " \t\n\x0b\f\r"
+_SYMBOLS = "#*$%&|<>"
+_MARKS = _SYMBOLS + "!=~^\\\\{}"
 _SPACE_CLASS = "[ \\t\\n\\x0B\\f\\r]"
 WINDOW = 8
 
@@ -38,31 +39,44 @@ def _covered(places: Column) -> Column:
     return F.aggregate(places, start, step, lambda a: a["n"])
 
 
+def _doubled(hashes: str, by: int) -> Column:
+    """The hash of each 2 * by words in a row, from those of by words; the last ones, which lack words, mean nothing."""
+    return F.zip_with(hashes, F.slice(hashes, by + 1, 1 << 30), lambda a, b: F.xxhash64(a, b))
+
+
 def with_stats(docs: DataFrame) -> DataFrame:
-    """Two struct columns: row (all columns of docs) and stats (STATS, all long). A null text is empty: all zero, with one line."""
-    one = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"), F.coalesce(F.col("text"), F.lit("")).alias("t"))
-    two = one.select(
-        "row", "t",
-        F.when(F.btrim("t", F.lit(_SPACE)) == "", F.array().cast("array<string>")).otherwise(F.split(F.btrim("t", F.lit(_SPACE)), f"{_SPACE_CLASS}+", -1)).alias("words"),
-        F.split("t", "\n", -1).alias("lines"),
-    )
-    three = two.select("row", "t", "words", "lines", F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"), F.filter("lines", lambda x: x.rlike("[^ \\t\\n\\x0B\\f\\r]")).alias("full_lines"))
-    n = F.size("words")
-    windows = F.when(n >= WINDOW, F.transform(F.sequence(F.lit(1), n - (WINDOW - 1)), lambda i: F.xxhash64(F.slice("hashes", i, WINDOW)))).otherwise(F.array().cast("array<bigint>"))
-    four = three.select("row", "t", "words", "hashes", "lines", "full_lines", windows.alias("windows"))
+    """Two struct columns: row (all columns of docs) and stats (STATS, all long). A null text is empty: all zero, with one line.
+
+    Windows of 8 words are hashed by doubling (1, 2, 4, 8 words), so that each
+    costs three short hashes. A condition on the result isn't pushed below the
+    projections, where it would repeat their expressions many times over: stats
+    hangs on a value that Spark may not compute twice."""
+    row = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"), F.coalesce(F.col("text"), F.lit("")).alias("t"))
+    plain = row.select("row", "t", F.btrim(F.regexp_replace("t", f"{_SPACE_CLASS}++", " "), F.lit(" ")).alias("plain"), F.split("t", "\n", -1).alias("lines"))
+    words = plain.select("row", "t", "plain", F.when(F.col("plain") == "", F.array().cast("array<string>")).otherwise(F.split("plain", " ", -1)).alias("words"), F.size("lines").alias("n_lines"), F.filter("lines", lambda x: x.rlike("[^ \\t\\n\\x0B\\f\\r]")).alias("lines"))
+    hashed = words.select("row", "t", "plain", "words", "n_lines", "lines", F.transform("words", lambda w: F.xxhash64(w)).alias("w1"))
+    for n in (1, 2, 4):
+        hashed = hashed.select(*hashed.columns, _doubled(f"w{n}", n).alias(f"w{2 * n}"))
+    windows = F.slice(f"w{WINDOW}", F.lit(1), F.greatest(F.size("words") - (WINDOW - 1), F.lit(0)))
+    hashed = hashed.select("row", "t", "plain", "words", "n_lines", "lines", "w1", windows.alias("windows"))
     repeated = F.size(F.array_distinct("windows")) < F.size("windows")
-    five = four.select("row", "t", "words", "hashes", "lines", "full_lines", F.when(repeated, F.array_sort(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))).alias("pairs"))
+    pairs = F.array_sort(F.transform("windows", lambda h, i: F.struct(h.alias("h"), (i + 1).alias("i"))))
+    only = lambda c, chars: F.regexp_replace(c, f"[^{chars}]++", "")
+    last = hashed.select("row", "t", "plain", "words", "n_lines", "lines", "w1", F.when(repeated, pairs).alias("pairs"), only("t", _MARKS).alias("marks"))
+    short = F.lit(max(len(w.encode()) for w in STOP_WORDS))
+    n = F.size("words")
     counts = {
         "n_words": n,
-        "word_chars": F.length(F.array_join("words", "")),
-        "n_symbols": F.regexp_count("t", F.lit("[#*$%&|<>]")),
-        "n_marks": F.regexp_count("t", F.lit("[#*$%&|<>!=~^\\\\{}]")),
+        "word_chars": F.length("plain") - F.greatest(n - 1, F.lit(0)),
+        "n_symbols": F.length(only("marks", _SYMBOLS)),
+        "n_marks": F.length("marks"),
         "n_upper": F.regexp_count("t", F.lit("[A-ZÀ-ÖØ-Þ]")),
-        "n_stop": F.size(F.filter("words", lambda w: F.lower(w).isin(*sorted(set(STOP_WORDS))))),
+        "n_stop": F.size(F.filter("words", lambda w: (F.octet_length(w) <= short) & F.lower(w).isin(*sorted(set(STOP_WORDS))))),
         "n_digits": F.regexp_count("t", F.lit("[0-9]")),
-        "n_lines": F.size("lines"),
-        "n_dup_lines": F.size("full_lines") - F.size(F.array_distinct("full_lines")),
+        "n_lines": F.col("n_lines"),
+        "n_dup_lines": F.size("lines") - F.size(F.array_distinct("lines")),
         "n_repeat_words": F.coalesce(_covered(_repeated_windows(F.col("pairs"))), F.lit(0)),
-        "n_adjacent": F.size(F.filter(F.transform("hashes", lambda h, i: h == F.get(F.col("hashes"), i - 1)), lambda same: same)),
+        "n_adjacent": F.size(F.filter("w1", lambda h, i: h == F.get(F.col("w1"), i - 1))),
     }
-    return five.select("row", F.struct(*(c.cast("long").alias(k) for k, c in counts.items())).alias("stats"))
+    stats = F.struct(*(c.cast("long").alias(k) for k, c in counts.items()))
+    return last.select("row", F.when(F.monotonically_increasing_id() >= 0, stats).alias("stats"))
