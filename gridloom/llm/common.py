@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -18,17 +17,29 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def ensure_shared_dir(spark: SparkSession) -> None:
-    """Make checkpoint() usable: the cluster's folder if it names one, a temporary one otherwise (tests)."""
+    """Make checkpoint() usable, in the folder that the cluster names in spark.checkpoint.dir; without one there is no place that all machines see."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        sc.setCheckpointDir(folder)
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Hand texts to Python 1000 rows at a time, unless the session says otherwise: with 10000, a task holds some 100 MB of them on both sides."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key) == "10000":
-        spark.conf.set(key, "1000")
+def small_batches(spark: SparkSession, most: int = 8 << 20) -> None:
+    """Bound what a task hands to Python at once by bytes, unless the session has a bound of its own. Results don't depend on it."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if key not in spark.conf.getAll:
+        spark.conf.set(key, str(most))
+
+
+def skew_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """left joined to right by a key of which left may have very many rows.
+
+    A second key, which the first gives, makes Spark shuffle both sides for this
+    join; only then does adaptive execution split a large partition of it."""
+    again = "_again"
+    return left.withColumn(again, F.hash(key)).join(right.withColumn(again, F.hash(key)), [key, again]).drop(again)
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -1,14 +1,14 @@
 """Near-duplicate documents: consistent weighted sampling over TF-IDF shingles.
 
-1. Shingles are five words in a row. Their document frequencies are counted
-   over all documents; only those of at least ``floor`` of the documents weigh
-   less than 1 (see Weights), so a table of them has a proven bound.
+1. Shingles are five words in a row. A shingle weighs its occurrences times the
+   mean inverse document frequency of its words (see Weights). Frequencies count
+   every document, in an array of fixed size by word hash.
 2. Improved consistent weighted sampling draws ``bands * rows`` samples from
    each document; two documents share a sample with the probability of their
    weighted Jaccard similarity.
 3. Exact copies are one text from here on. Texts that agree in all samples of a
-   band meet in its bucket. In each bucket all are compared with the smallest
-   one, the pivot. Where that leaves several groups, texts of different groups
+   band meet in its bucket. In each bucket all are compared with one of them,
+   the pivot. Where that leaves several groups, texts of different groups
    are compared if arithmetic doesn't rule a link out: what two texts share is
    what they share of the pivot, bounded by how much of it each has lost, and
    what both have added to it. Pairs that can be linked without a shared
@@ -17,8 +17,8 @@
 4. Compared means: the weighted Jaccard similarity of the whole texts, at least
    ``threshold``. Classes are the connected components of these links.
 
-Nothing of this passes through the driver but the bounded table of frequent
-shingles; pairs carry ids alone until texts are joined to them."""
+Nothing of this passes through the driver but the word frequencies, an array of
+fixed size; pairs carry numbers alone until texts are joined to them."""
 
 from __future__ import annotations
 
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, cut, small_batches, utf8
+from .common import SPACE, cut, skew_join, small_batches, utf8
 
 _U = np.uint64
 _LOW32 = _U(0xFFFFFFFF)
@@ -38,13 +38,13 @@ _LOW32 = _U(0xFFFFFFFF)
 
 @dataclass(frozen=True)
 class Settings:
-    """floor: the share of documents from which a shingle's frequency counts."""
+    """counters: the size of the array of word frequencies, a power of two."""
 
     words: int = 5
     bands: int = 16
     rows: int = 4
     threshold: float = 0.8
-    floor: float = 0.01
+    counters: int = 1 << 20
     seed: int = 1
 
 
@@ -92,9 +92,8 @@ class Shingler:
         sums = np.concatenate([np.zeros(1, _U), np.cumsum(self.letters[b] * self.powers[: len(b)], dtype=_U)])
         return _mix((sums[ends] - sums[starts]) * self.inverses[starts])
 
-    def __call__(self, text: bytes) -> np.ndarray:
-        """The hash of each shingle, in order; a text of fewer words is one shingle."""
-        w = self.words(text)
+    def shingles(self, w: np.ndarray) -> np.ndarray:
+        """The hash of each shingle of these words, in order; fewer words are one shingle."""
         if not len(w):
             return w
         n = min(self.n, len(w))
@@ -103,24 +102,38 @@ class Shingler:
             total += w[k : k + len(total)] * self.places[k]
         return _mix(total + _U(n))
 
+    def __call__(self, text: bytes) -> np.ndarray:
+        return self.shingles(self.words(text))
+
 
 @dataclass(frozen=True)
 class Weights:
-    """TF-IDF. A shingle in a share p of the documents has the factor ln(1 + 1/p) / ln(1 + 1/floor), at most 1; its weight is that times its occurrences.
+    """TF-IDF in whole units. A word in n of N documents has the level round(2 ln(1 + N / n)), 1 at least; a shingle weighs its occurrences times the rounded mean level of its words.
+
+    n is read from a counter that words of one hash share, so it may be too
+    large: by the documents of all words over the number of counters on the mean,
+    which lowers the level of the rarest words alone. The levels of words, not
+    the frequency of the shingle itself, weigh it: a text that many documents
+    copy would devalue its own shingles against each copy's edits.
+
+    levels: one for each counter."""
 
-    frequent: the sorted hashes of shingles with p > floor, at most (shingles of a mean document) / floor; factors: theirs."""
+    levels: np.ndarray
+    words: int = 5
+
+    def of(self, cut_up: Shingler, text: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct shingles of a text, sorted, and their weights."""
+        w = cut_up.words(text)
+        if not len(w):
+            return w, np.zeros(0)
+        h, first, n = np.unique(cut_up.shingles(w), return_index=True, return_counts=True)
+        k = min(self.words, len(w))
+        sums = np.concatenate([[0], np.cumsum(self.levels[counter_of(w, len(self.levels))], dtype=np.int64)])
+        return h, (n * ((2 * (sums[first + k] - sums[first]) + k) // (2 * k))).astype(float)
 
-    frequent: np.ndarray
-    factors: np.ndarray
 
-    def __call__(self, shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct shingles, sorted, and their weights."""
-        h, n = np.unique(shingles, return_counts=True)
-        w = n.astype(float)
-        if len(self.frequent) and len(h):
-            at = np.minimum(np.searchsorted(self.frequent, h), len(self.frequent) - 1)
-            w = np.where(self.frequent[at] == h, w * self.factors[at], w)
-        return h, w
+def counter_of(words: np.ndarray, counters: int) -> np.ndarray:
+    return (words >> _U(65 - counters.bit_length())).astype(np.int64)
 
 
 class Sampler:
@@ -132,13 +145,21 @@ class Sampler:
     a table of 65,536 draws, at a place that the shingle and the sample give;
     shingles at one place with equal a are told apart by further bits of their
     hash. A draw is a 64-bit number: a in the upper half (in an order-preserving
-    form), shingle and t in the lower."""
+    form; it tells t, too), the shingle in the lower. Weights are whole numbers,
+    so a is looked up for the TABLED smallest ones."""
+
+    TABLED = 32
 
     def __init__(self, samples: int, seed: int) -> None:
         self.multipliers = _numbers(seed, samples) | _U(1)
         u = ((_numbers(seed + 1, 5 << 16) >> _U(11)).astype(float) + 0.5).reshape(5, -1) / 2**53
         self.r, self.log_c, self.b = -np.log(u[0] * u[1]), np.log(-np.log(u[2] * u[3])), u[4]
-        self.ones = self._ordered(self.log_c - self.r * (1 - self.b))  # S = 1, so t = 0
+        everything = np.arange(1 << 16)
+        self.table = np.concatenate([self._a(everything, np.log(max(k, 1))) for k in range(self.TABLED + 1)])
+
+    def _a(self, at: np.ndarray, log_weight) -> np.ndarray:
+        r, b = self.r[at], self.b[at]
+        return self._ordered(self.log_c[at] - r * (np.floor(log_weight / r + b) - b) - r)
 
     @staticmethod
     def _ordered(x: np.ndarray) -> np.ndarray:
@@ -147,18 +168,16 @@ class Sampler:
 
     def __call__(self, h: np.ndarray, w: np.ndarray) -> np.ndarray:
         out = np.full(len(self.multipliers), ~_U(0))
-        one = w == 1.0
-        plain, others, logs = h[one], h[~one], np.log(w[~one])
-        for i in range(0, len(plain), 2048):  # bounded memory for long texts
-            x = plain[i : i + 2048, None] * self.multipliers
-            np.minimum(out, (self.ones[(x >> _U(48)).view(np.int64)] | ((x >> _U(16)) & _LOW32)).min(axis=0), out=out)
+        small = w <= self.TABLED
+        plain, rows, others, logs = h[small], w[small].astype(np.int64) << 16, h[~small], np.log(w[~small])
+        for i in range(0, len(plain), 1024):  # bounded memory for long texts
+            x = plain[i : i + 1024, None] * self.multipliers
+            a = self.table[(x >> _U(48)).view(np.int64) + rows[i : i + 1024, None]]
+            np.minimum(out, (a | ((x >> _U(16)) & _LOW32)).min(axis=0), out=out)
         for i in range(0, len(others), 1024):
             x = others[i : i + 1024, None] * self.multipliers
-            at = (x >> _U(48)).view(np.int64)
-            r, b = self.r[at], self.b[at]
-            t = np.floor(logs[i : i + 1024, None] / r + b)
-            low = ((x >> _U(16)) + t.astype(np.int64).view(_U) * _U(0x9E3779B1)) & _LOW32
-            np.minimum(out, (self._ordered(self.log_c[at] - r * (t - b) - r) | low).min(axis=0), out=out)
+            a = self._a((x >> _U(48)).view(np.int64), logs[i : i + 1024, None])
+            np.minimum(out, (a | ((x >> _U(16)) & _LOW32)).min(axis=0), out=out)
         return out
 
 
@@ -183,64 +202,29 @@ def additions(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]
 # --- Statistics over all documents
 
 
-def learn_weights(docs: DataFrame, s: Settings, block_shingles: int = 1_000_000, block_docs: int = 400) -> Weights:
-    """Exact document frequencies of all shingles above the floor.
-
-    First, blocks of documents report shingles that reach half the floor among
-    them; what a block doesn't report adds less than half the floor in total, so
-    every shingle above the floor is reported at least half of it. At most
-    (shingles of a mean document) / (floor / 2) can be; these are counted in a
-    second pass. A block has block_shingles and block_docs at least (fewer
-    documents would report nearly all they have), or eight times block_shingles."""
-    half = s.floor / 2
-
-    def report(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut_up = Shingler(s.words)
-        held, n, size = [], 0, 0
-
-        def flush() -> pa.RecordBatch:
-            h, k = np.unique(np.concatenate(held) if held else np.zeros(0, _U), return_counts=True)
-            often = k >= half * n
-            return pa.RecordBatch.from_arrays([pa.array(h[often].view(np.int64)), pa.array(k[often].astype(np.int64))], names=["h", "n"])
-
-        for batch in batches:
-            for text in utf8(batch.column(0)):
-                h = np.unique(cut_up(text or b""))
-                held.append(h)
-                n, size = n + 1, size + len(h)
-                if size >= block_shingles and (n >= block_docs or size >= 8 * block_shingles):
-                    yield flush()
-                    held, n, size = [], 0, 0
-        yield flush()
-
-    texts = docs.select("text")
-    total = texts.count()
-    reported = texts.mapInArrow(report, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") > half * total)
-    candidates = np.sort(np.array([r["h"] for r in reported.select("h").collect()], np.int64).view(_U))
-    if not len(candidates):
-        return Weights(candidates, np.zeros(0))
-    shared = docs.sparkSession.sparkContext.broadcast(candidates)
+def learn_weights(docs: DataFrame, s: Settings) -> Weights:
+    """Levels from the documents that hold each word: one pass, and one number for each counter to the driver."""
+    size = s.counters
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut_up, known = Shingler(s.words), shared.value
-        seen = np.zeros(len(known), np.int64)
+        cut_up, seen, total = Shingler(s.words), np.zeros(size, np.int64), 0
         for batch in batches:
             for text in utf8(batch.column(0)):
-                h = np.unique(cut_up(text or b""))
-                at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                seen[at[known[at] == h]] += 1
+                seen[np.unique(counter_of(cut_up.words(text or b""), size))] += 1
+                total += 1
         some = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(seen[some])], names=["i", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([-1, *some], pa.int64()), pa.array([total, *seen[some]], pa.int64())], names=["i", "n"])
 
-    counted = texts.mapInArrow(count, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).collect()  # a row for each candidate at most
-    n = np.zeros(len(candidates))
-    n[[r["i"] for r in counted]] = [r["n"] for r in counted]
-    often = n > s.floor * total
-    return Weights(candidates[often], np.log1p(total / n[often]) / np.log1p(1 / s.floor))
+    counted = docs.select("text").mapInArrow(count, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).toArrow()  # 1 + counters rows at most
+    at, seen = (counted.column(c).to_numpy() for c in ("i", "n"))
+    n = np.ones(size)
+    n[at[at >= 0]] = seen[at >= 0]
+    total = seen[at < 0].sum()
+    return Weights(np.maximum(1, np.round(2 * np.log1p(total / n))).astype(np.uint8), s.words)
 
 
 def signatures(docs: DataFrame, weights: Weights, s: Settings) -> DataFrame:
-    """(doc_id, total weight, bands: a hash of each band's samples). A text without words has no bands."""
+    """(doc_id, x1, x2, total weight, bands: a hash of each band's samples). A text without words has no bands."""
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,68 +233,74 @@ def signatures(docs: DataFrame, weights: Weights, s: Settings) -> DataFrame:
         for batch in batches:
             totals, bands = [], []
             for text in utf8(batch.column(1)):
-                h, w = weigh(cut_up(text or b""))
+                h, w = weigh.of(cut_up, text or b"")
                 totals.append(float(w.sum()))
                 bands.append(_mix((_mix(sample(h, w)).reshape(s.bands, s.rows) * factors).sum(axis=1, dtype=_U)).view(np.int64) if len(h) else [])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(totals, pa.float64()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "x1", "x2", "total", "bands"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
+    return _with_hashes(docs).select("doc_id", "text", "x1", "x2").mapInArrow(run, f"doc_id {kind}, x1 long, x2 long, total double, bands array<long>")
+
+
+def _with_hashes(docs: DataFrame, seed: int = 1) -> DataFrame:
+    """docs with x1 and x2, 128 bits that stand for a text; null counts as empty."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select("doc_id", "text", F.xxhash64(text).alias("x1"), F.xxhash64(F.lit(s.seed), text).alias("x2")).mapInArrow(run, f"doc_id {kind}, x1 long, x2 long, total double, bands array<long>")
+    return docs.withColumns({"x1": F.xxhash64(text), "x2": F.xxhash64(F.lit(seed), text)})
 
 
 # --- Pairs
 
+#: Texts that meet a pivot's text in one group of rows; a pivot of more has several groups.
+GROUP = 256
+
 
-def compare(pairs: DataFrame, texts: DataFrame, weights: Weights, s: Settings) -> DataFrame:
-    """For pairs (a, b) of ids, from the whole texts (doc_id, text): similarity, and b's additions to a.
+def beside_pivots(pairs: DataFrame, bodies: DataFrame, weights: Weights, s: Settings, found, schema: str) -> DataFrame:
+    """found(pivot, text) for each pair (a, b) of numbers, from the whole texts in bodies (id, text): a, b and its columns.
 
-    Additions are shingles with more weight in b than in a: extra is the surplus
-    of those that many documents share."""
+    A pivot's text stands once before each group of at most about GROUP others,
+    not in each row, and is cut up once."""
     shared = pairs.sparkSession.sparkContext.broadcast(weights)
-    both = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
+    groups = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("long").alias("groups"))
+    dealt = skew_join(pairs, groups, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("groups")).alias("part"))
+    texts = bodies.select(F.col("id").alias("b"), "text")
+    others = skew_join(dealt, texts, "b").select("a", "part", "b", "text")
+    pivots = groups.join(bodies.withColumnRenamed("id", "a"), "a").select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("part"), F.lit(None).cast("long").alias("b"), "text")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut_up, weigh = Shingler(s.words), shared.value
-        last, left = None, None
+        cut_up, weigh, pivot = Shingler(s.words), shared.value, None
         for batch in batches:
-            found, extra = [], []
-            for x, y in zip(utf8(batch.column(2)), utf8(batch.column(3)), strict=True):
-                if left is None or x != last:  # rows of one a often follow each other
-                    last, left = x, weigh(cut_up(x or b""))
-                right = weigh(cut_up(y or b""))
-                found.append(weighted_jaccard(left, right))
-                added, surplus = additions(left, right)
-                common = np.isin(added, weigh.frequent, assume_unique=True)
-                extra.append(float(surplus[common].sum()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.float64()), pa.array(extra, pa.float64())], names=["a", "b", "similarity", "extra"])
-
-    kind = pairs.schema["a"].dataType.simpleString()
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, f"a {kind}, b {kind}, similarity double, extra double")
-
-
-def rare_additions(members: DataFrame, texts: DataFrame, weights: Weights, s: Settings) -> DataFrame:
-    """(a, id, class, h, w): the shingles with more weight in id's text than in its pivot a's, but frequent ones, and how much more."""
-    shared = members.sparkSession.sparkContext.broadcast(weights)
-    both = members.join(texts.select(F.col("doc_id").alias("id"), F.col("text").alias("text_b")), "id").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
+            ids, rows = [], []
+            for a, b, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), utf8(batch.column(2)), strict=True):
+                own = weigh.of(cut_up, text or b"")
+                if b is None:
+                    pivot = own
+                else:
+                    ids.append((a, b))
+                    rows.append(found(pivot, own))
+            columns = [*zip(*ids, strict=True)] or [[], []]
+            values = [*zip(*rows, strict=True)] or [[] for _ in kinds]
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns), *(pa.array(v, k) for v, k in zip(values, kinds, strict=True))], names=names)
+
+    names = ["a", "b", *(c.split()[0] for c in schema.split(", "))]
+    kinds = [{"double": pa.float64(), "array<long>": pa.list_(pa.int64()), "array<double>": pa.list_(pa.float64())}[c.split()[1]] for c in schema.split(", ")]
+    laid = others.unionByName(pivots).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
+    return laid.select("a", "b", "text").mapInArrow(run, f"a long, b long, {schema}")
+
+
+def compare(pairs: DataFrame, bodies: DataFrame, weights: Weights, s: Settings) -> DataFrame:
+    """(a, b, similarity) of pairs (a, b)."""
+    return beside_pivots(pairs, bodies, weights, s, lambda x, y: (weighted_jaccard(x, y),), "similarity double")
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut_up, weigh = Shingler(s.words), shared.value
-        last, left = None, None
-        for batch in batches:
-            shingles, surplus = [], []
-            for x, y in zip(utf8(batch.column(3)), utf8(batch.column(4)), strict=True):
-                if left is None or x != last:
-                    last, left = x, weigh(cut_up(x or b""))
-                h, w = additions(left, weigh(cut_up(y or b"")))
-                own = ~np.isin(h, weigh.frequent, assume_unique=True)
-                shingles.append(h[own].view(np.int64))
-                surplus.append(w[own])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(shingles, pa.list_(pa.int64())), pa.array(surplus, pa.list_(pa.float64()))], names=["a", "id", "class", "h", "w"])
 
-    kind = members.schema["a"].dataType.simpleString()
-    rows = cut(both.select("a", "id", "class", "text_a", "text_b").mapInArrow(run, f"a {kind}, id {kind}, class {kind}, h array<long>, w array<double>"))
-    return rows.select("a", "id", "class", F.explode(F.arrays_zip("h", "w")).alias("x")).select("a", "id", "class", "x.h", "x.w")
+def added_shingles(pairs: DataFrame, bodies: DataFrame, weights: Weights, s: Settings) -> DataFrame:
+    """(a, id, h, w): the shingles with more weight in id's text than in its pivot a's, and how much more; pairs: (a, b)."""
+
+    def found(x, y):
+        h, w = additions(x, y)
+        return h.view(np.int64), w
+
+    rows = cut(beside_pivots(pairs, bodies, weights, s, found, "h array<long>, w array<double>"))
+    return rows.select("a", F.col("b").alias("id"), F.explode(F.arrays_zip("h", "w")).alias("x")).select("a", "id", "x.h", "x.w")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -329,60 +319,59 @@ def components(edges: DataFrame) -> DataFrame:
     while not done(now):
         around = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = around.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = around.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = skew_join(around, least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        small = skew_join(large, least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         now = cut(small.distinct())
     return now.select(F.col("u").alias("id"), F.col("v").alias("class"))
 
 
-def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """(doc_id, class_id) for each row of docs: class_id is the smallest doc_id of its class of near duplicates, its own if it has none.
+def linked_texts(docs: DataFrame, s: Settings = Settings()) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Three relations.
 
-    Equal texts are in one class (null counts as empty); so are texts linked, if
-    only through others, by a weighted Jaccard similarity of at least the
-    threshold. A text without words is like its exact copies alone. Rows with
-    one doc_id are one document. A row with a null doc_id has a null class. An
-    empty table gives an empty result. Only doc_id and text are read."""
+    signed: (doc_id, x1, x2) of each row of docs with a doc_id; x1 and x2 stand for its text.
+    texts: (id, rep, x1, x2, component): each distinct text, the smallest doc_id that holds it, and a number of its class.
+    links: (a, b, similarity): texts found to be near duplicates, a and b as in texts.id; these links connect each class."""
     small_batches(docs.sparkSession)
     ids = docs.select("doc_id", "text")
     weights = learn_weights(ids, s)
     signed = cut(signatures(ids.where("doc_id IS NOT NULL"), weights, s))
     texts = signed.groupBy("x1", "x2").agg(F.min("doc_id").alias("rep"), F.first("total").alias("total"), F.first("bands").alias("bands"))
-    texts = cut(texts)
+    texts = cut(texts.withColumn("id", F.monotonically_increasing_id()))
 
     # What is joined to hot buckets is cut first: Spark splits a large partition of a join only where both sides are shuffled for it.
-    rows = texts.select(F.col("rep").alias("id"), "total", F.posexplode("bands").alias("band", "hash"))
-    buckets = rows.groupBy("band", "hash").agg(F.min("id").alias("a"), F.min_by("total", "id").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = cut(rows.join(cut(buckets.drop("n")), ["band", "hash"]))  # id, total, band, hash, a, pivot: the weight of a
-    pairs = met.where("id <> a").select("a", F.col("id").alias("b")).distinct()
-    involved = met.select(F.col("id").alias("doc_id")).distinct()
-    bodies = cut(ids.join(involved, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    rows = texts.select("id", "rep", "total", F.posexplode("bands").alias("band", "hash"))
+    buckets = rows.groupBy("band", "hash").agg(F.min(F.struct("rep", "id", "total")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    buckets = cut(buckets.select("band", "hash", F.col("first.id").alias("a"), F.col("first.total").alias("pivot")))
+    met = cut(rows.drop("rep").join(buckets, ["band", "hash"]))  # id, total, band, hash, a, pivot: the weight of a
+    pairs = cut(met.where("id <> a").select("a", F.col("id").alias("b")).distinct())
+    involved = skew_join(texts, met.select("id").distinct(), "id").select("id", F.col("rep").alias("doc_id"), "x1", "x2")
+    bodies = cut(_with_hashes(ids).join(involved, ["doc_id", "x1", "x2"]).select("id", "text").dropDuplicates(["id"]))
     compared = cut(compare(pairs, bodies, weights, s))
-    links = compared.where(F.col("similarity") >= s.threshold).select("a", "b")
-    classes = components(links)
+    links = compared.where(F.col("similarity") >= s.threshold)
+    classes = components(links.select("a", "b"))
 
     # Buckets that are still several groups: lost and added are the weights of what a text lacks of the pivot and has besides.
     own = F.col("id") == F.col("a")
     similarity = F.when(own, 1.0).otherwise(F.col("similarity"))
     shared = similarity / (1 + similarity) * (F.col("pivot") + F.col("total"))
-    about = compared.select("a", F.col("b").alias("id"), "similarity", "extra")
+    about = compared.select("a", F.col("b").alias("id"), "similarity")
     group = met.join(classes, "id", "left").withColumn("class", F.coalesce("class", "id")).join(about, ["a", "id"], "left")
-    group = group.select("band", "hash", "a", "pivot", "id", "class", "total", similarity.alias("similarity"), F.coalesce("extra", F.lit(0.0)).alias("extra"), (F.col("pivot") - shared).alias("lost"), (F.col("total") - shared).alias("added"))
+    group = group.select("band", "hash", "a", "pivot", "id", "class", "total", similarity.alias("similarity"), (F.col("pivot") - shared).alias("lost"), (F.col("total") - shared).alias("added"))
     group = cut(group)
     several = group.groupBy("band", "hash").agg(F.max_by("class", own).alias("main"), (F.min("class") != F.max("class")).alias("several"), F.count(F.lit(1)).alias("n")).where("several AND n > 2")
-    still = group.join(cut(several.select("band", "hash", "main")), ["band", "hash"]).where(~own).join(texts.select(F.col("rep").alias("id"), "bands"), "id")
+    still = group.join(cut(several.select("band", "hash", "main")), ["band", "hash"]).where(~own).join(texts.select("id", "bands"), "id")
     still = cut(still.withColumn("same", F.collect_set("band").over(Window.partitionBy("a", "id"))))  # the bands where id meets this pivot
-    t, slack = s.threshold, 1e-9
-    far = (F.abs(F.col("x_similarity") - F.col("y_similarity")) > 1 - t + slack) | (F.least("x_total", "y_total") < (t - slack) * F.greatest("x_total", "y_total"))
-    sides = ("id", "class", "total", "similarity", "extra", "lost", "added")
+    t, slack = s.threshold, 1e-6
+    far = (F.abs(F.col("x_similarity") - F.col("y_similarity")) > 1 - t + 1e-9) | (F.least("x_total", "y_total") < (t - 1e-9) * F.greatest("x_total", "y_total"))
+    sides = ("id", "class", "total", "similarity", "lost", "added")
     side = lambda df, k, *keys: df.select(*keys, *(F.col(c).alias(f"{k}_{c}") for c in sides))
     pair = (F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b"))
 
-    # Without a shared addition (but frequent ones), at best min(lost) of what is lost is lost by both.
+    # Without a shared addition, at best min(lost) of what is lost is lost by both.
     needed = F.col("x_lost") + F.col("y_lost") + t * (F.col("x_added") + F.col("y_added")) - (1 - t) * F.col("pivot")
-    enough = needed <= (1 + t) * (F.least("x_lost", "y_lost") + F.least("x_extra", "y_extra")) + slack
-    can = still.where(t * F.col("added") <= (1 - t) * (F.col("pivot") - F.col("lost")) + (1 + t) * F.col("extra") + slack)
+    enough = needed <= (1 + t) * F.least("x_lost", "y_lost") + slack
+    can = still.where(t * F.col("added") <= (1 - t) * (F.col("pivot") - F.col("lost")) + slack)
     # What holds in one bucket of a pair holds in all with the same pivot, so the first of these decides; other pivots may tell otherwise.
     first = ~F.exists("x_same", lambda k: (k < F.col("band")) & (F.get("x_bands", k) == F.get("y_bands", k)))
     left = side(can.where("class <> main").withColumnRenamed("bands", "x_bands").withColumnRenamed("same", "x_same"), "x", "band", "hash", "pivot", "x_bands", "x_same")
@@ -392,27 +381,49 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     # With one: of the additions that several classes hold, rarest first, each keeps those up to which the rest (its own weight counted) is
     # enough for a link to any other, so the first that a linked pair shares is kept by both, and what both have left there bounds what they share.
     members = cut(still.dropDuplicates(["a", "id"]).select("a", "pivot", *sides))
-    added = rare_additions(members.select("a", "id", "class"), bodies, weights, s)
+    added = skew_join(added_shingles(members.select("a", F.col("id").alias("b")), bodies, weights, s), members.select("id", "class").distinct(), "id")
     common = added.groupBy("a", "h").agg(F.count(F.lit(1)).alias("n"), F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("a", "h", "n")
     held = added.drop("class").join(cut(common), ["a", "h"])
     held = held.withColumn("rest", F.sum("w").over(Window.partitionBy("a", "id").orderBy(F.desc("n"), F.desc("h")).rowsBetween(Window.unboundedPreceding, 0)))
-    least = t * F.col("added") - (1 - t) * (F.col("pivot") - F.col("lost")) - F.col("extra")
+    least = t * F.col("added") - (1 - t) * (F.col("pivot") - F.col("lost"))
     held = cut(held.join(members, ["a", "id"]).where(F.col("rest") + slack >= least).select("a", "h", "pivot", "rest", *sides))
-    reach = needed <= (1 + t) * (F.least("x_lost", "y_lost") + F.least("x_extra", "y_extra") + F.least("x_rest", "y_rest")) + slack
+    reach = needed <= (1 + t) * (F.least("x_lost", "y_lost") + F.least("x_rest", "y_rest")) + slack
     left, right = side(held, "x", "a", "h", "pivot", F.col("rest").alias("x_rest")), side(held, "y", "a", "h", F.col("rest").alias("y_rest"))
     met_again = left.join(right, ["a", "h"]).where((F.col("x_id") < F.col("y_id")) & (F.col("x_class") != F.col("y_class")) & ~far & reach).select(*pair)
     more = cut(bare.unionByName(met_again).distinct())
     if not more.isEmpty():
-        new = compare(more, bodies, weights, s).where(F.col("similarity") >= s.threshold).select("a", "b")
-        classes = components(classes.select(F.col("id").alias("a"), F.col("class").alias("b")).unionByName(new))
+        new = cut(compare(more, bodies, weights, s).where(F.col("similarity") >= s.threshold))
+        links = links.unionByName(new)
+        classes = components(classes.select(F.col("id").alias("a"), F.col("class").alias("b")).unionByName(new.select("a", "b")))
+    named = texts.select("id", "rep", "x1", "x2").join(classes, "id", "left").select("id", "rep", "x1", "x2", F.coalesce("class", "id").alias("component"))
+    return signed.select("doc_id", "x1", "x2"), named, links
+
+
+def _classes(docs: DataFrame, s: Settings) -> DataFrame:
+    """(doc_id, x1, x2, class_id, n_links) of each row with a doc_id."""
+    signed, texts, links = linked_texts(docs, s)
+    smallest = texts.groupBy("component").agg(F.min("rep").alias("class_id"))
+    degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
+    labelled = skew_join(texts, smallest, "component").join(degree, "id", "left").select("x1", "x2", "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return signed.join(labelled, ["x1", "x2"])
 
-    labelled = texts.join(classes, texts["rep"] == classes["id"], "left").select("x1", "x2", F.coalesce("class", "rep").alias("class_id"))
-    out = signed.select("doc_id", "x1", "x2").join(labelled, ["x1", "x2"]).select("doc_id", "class_id")
-    nulls = docs.where("doc_id IS NULL").select("doc_id", F.col("doc_id").alias("class_id"))
-    return out.unionByName(nulls)
+
+def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
+    """(doc_id, class_id, n_links) for each row of docs: class_id is the smallest doc_id of its class of near duplicates, its own if it has none; n_links counts the other texts that its text was compared with and is linked to.
+
+    Equal texts are in one class (null counts as empty); so are texts linked, if
+    only through others, by a weighted Jaccard similarity of at least the
+    threshold. A text without words is like its exact copies alone. Rows of one
+    doc_id with several texts are classed each by its own text, and don't join
+    those texts' classes. A row with a null doc_id has a null class. An
+    empty table gives an empty result. Only doc_id and text are read."""
+    nulls = docs.where("doc_id IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    return _classes(docs, s).select("doc_id", "class_id", "n_links").unionByName(nulls)
 
 
 def keep_one(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """The rows of docs, unchanged, without those of which a near duplicate with a smaller doc_id stays."""
-    gone = near_duplicates(docs, s).where("doc_id <> class_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*(f"`{c}`" for c in docs.columns))
+    """The rows of docs, unchanged, without those of which a near duplicate with a smaller doc_id stays. Rows with a null doc_id stay."""
+    gone = _classes(docs, s).where("doc_id <> class_id").select("doc_id", "x1", "x2").distinct()
+    names = [f"`{c}`" for c in docs.columns]
+    row = docs.select(F.struct(*names).alias("row"), "doc_id", "text")
+    return _with_hashes(row).join(gone, ["doc_id", "x1", "x2"], "left_anti").select("row.*")

@@ -24,13 +24,13 @@ def brute(docs, s):
         for x in plain_shingles(t or ""):
             bag[x] = bag.get(x, 0) + 1
         bags[d] = bag
-    df = {}
-    for bag in bags.values():
-        for x in bag:
-            df[x] = df.get(x, 0) + 1
-    n = len(docs)
-    factor = {x: min(1.0, math.log1p(n / k) / math.log1p(1 / s.floor)) if k > s.floor * n else 1.0 for x, k in df.items()}
-    weights = {d: {x: k * factor[x] for x, k in bag.items()} for d, bag in bags.items()}
+    held, n = {}, len(docs)
+    for t in docs.values():
+        for x in set((t or "").lower().split()):
+            held[x] = held.get(x, 0) + 1
+    level = {x: max(1, round(2 * math.log1p(n / k))) for x, k in held.items()}
+    mean = lambda levels: (2 * sum(levels) + len(levels)) // (2 * len(levels))
+    weights = {d: {x: k * mean([level[w] for w in x.split()]) for x, k in bag.items()} for d, bag in bags.items()}
     parent = {d: d for d in docs}
 
     def root(x):
@@ -77,7 +77,7 @@ def corpus(seed=3):
 
 @pytest.mark.parametrize("seed", [3, 4])
 def test_classes_against_all_pairs(spark, seed):
-    docs, s = corpus(seed), near_dup.Settings(floor=0.2)
+    docs, s = corpus(seed), near_dup.Settings()
     df = spark.createDataFrame([(k, v) for k, v in docs.items()], "doc_id long, text string").repartition(4)
     got = {r["doc_id"]: r["class_id"] for r in near_dup.near_duplicates(df, s).collect()}
     assert got == brute(docs, s)
@@ -87,16 +87,20 @@ def test_classes_against_all_pairs(spark, seed):
 
 def test_frequencies_are_exact_and_split_invariant(spark):
     docs = corpus()
-    s = near_dup.Settings(floor=0.1)
+    s = near_dup.Settings()
     df = spark.createDataFrame([(k, v) for k, v in docs.items()], "doc_id long, text string")
     one = near_dup.learn_weights(df.coalesce(1), s)
-    many = near_dup.learn_weights(df.repartition(5), s, block_shingles=200, block_docs=7)
-    assert len(one.frequent) and (one.frequent == many.frequent).all() and (one.factors == many.factors).all()
-    counts = {}
+    assert (one.levels == near_dup.learn_weights(df.repartition(5), s).levels).all()
+    held = {}
     for t in docs.values():
-        for x in set(plain_shingles(t or "")):
-            counts[x] = counts.get(x, 0) + 1
-    assert len(one.frequent) == sum(k > s.floor * len(docs) for k in counts.values())
+        for x in set((t or "").lower().split()):
+            held[x] = held.get(x, 0) + 1
+    cut_up = near_dup.Shingler()
+    for x, n in held.items():
+        assert one.levels[near_dup.counter_of(cut_up.words(x.encode()), s.counters)[0]] == max(1, round(2 * math.log1p(len(docs) / n))), x
+    # Few counters make frequencies too high, never too low.
+    few = near_dup.learn_weights(df, near_dup.Settings(counters=64))
+    assert all(few.levels[near_dup.counter_of(cut_up.words(x.encode()), 64)[0]] <= max(1, round(2 * math.log1p(len(docs) / n))) for x, n in held.items())
 
 
 def test_shingles():
@@ -115,11 +119,11 @@ def test_samples_agree_as_often_as_the_similarity():
     sample = near_dup.Sampler(4096, 1)
     for share in (0.3, 0.8):
         h = near_dup._numbers(9, 600)
-        w = rng.choice([1.0, 1.0, 0.4, 3.0], 600)
+        w = rng.choice([5.0, 5.0, 2.0, 15.0, 40.0], 600)
         n = int(600 * share)
         v = w.copy()
         v[n:] = 0
-        v[: n // 3] *= 1.5
+        v[: n // 3] *= 2
         a, b = (h, w), (h[v > 0], v[v > 0])
         a, b = ((x[0][np.argsort(x[0])], x[1][np.argsort(x[0])]) for x in (a, b))
         expected = np.minimum(w, v).sum() / np.maximum(w, v).sum()
@@ -150,6 +154,7 @@ def test_edges(spark):
     out = near_dup.near_duplicates(edges.table(spark)).collect()
     assert len(out) == len(edges.TEXTS)
     classes = {(r["doc_id"], r["class_id"]) for r in out}
+    assert all(r["n_links"] >= 0 for r in out)
     assert {(1, 1), (2, 1), (3, 3), (4, 4), (5, 4), (6, 6), (None, None), (9, 9), (10, 10)} <= classes
     assert near_dup.near_duplicates(edges.empty(spark)).collect() == []
     kept = near_dup.keep_one(edges.table(spark))
@@ -188,7 +193,7 @@ def test_a_later_bucket_with_a_nearer_pivot_counts(spark, monkeypatch):
         docs |= {d: edited(words, [20], "f"), d + 1: " ".join(words), d + 2: edited(short, [60, 100, 140], "x"), d + 3: " ".join([*short, *(f"y{k}_{i}" for i in range(30))])}
         # The copies cut short meet the pivot d first, which lacks a word of theirs, and d + 1 next.
         buckets |= {d: [4 * k, d, -1 - d], d + 1: [4 * k + 1, -2 - d, -1 - d], d + 2: [4 * k, -2 - d, -3 - d], d + 3: [4 * k, -2 - d, -4 - d]}
-    s = near_dup.Settings(floor=0.5)
+    s = near_dup.Settings()
     with_buckets(monkeypatch, buckets)
     expected = brute(docs, s)
     assert expected[2] == expected[3] != expected[0] == expected[1]
@@ -201,7 +206,7 @@ def test_members_that_only_a_few_additions_link(spark, monkeypatch):
         words, d = [f"b{k}_{i}" for i in range(504)], 3 * k
         docs |= {d: " ".join(words), d + 1: edited(words, [20], "y"), d + 2: edited(words, range(20, 480, 40), "y")}
         buckets |= dict.fromkeys((d, d + 1, d + 2), [d])
-    s = near_dup.Settings(floor=0.5)
+    s = near_dup.Settings()
     with_buckets(monkeypatch, buckets)
     expected = brute(docs, s)
     assert set(expected.values()) == set(range(0, 48, 3))

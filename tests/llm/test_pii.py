@@ -66,7 +66,7 @@ def python_spans(text, judge):
 
 
 WRITTEN = [
-    "mail ann.lee [at] example [dot] org or x@y.org, call 001 (555) 010-9999 or (555) 010-9999 now; 10[.]0[.]0[.]255 and 300[.]1[.]1[.]1", "card 4111.1111.1111.1111 not 4111.1111.1111.1112, é a(at)b(dot)com", "+1/555/010/9999 then 192 . 168 . 1 . 20 and 1.2.3.4",
+    "mail ann.lee [at] example [dot] org or x@y.org, call 001 (555) 010-9999 or (555) 010-9999 now; 10[.]0[.]0[.]255 and 300[.]1[.]1[.]1", "card 4111.1111.1111.1111 not 4111.1111.1111.1112, é ann.lee(at)example(dot)com", "+1/555/010/9999 then 192 . 168 . 1 . 20 and 1.2.3.4",
     "0007687199101951 9807915762804490 | 00 12", "ann@b.c ann [at] b.c ann@b.c", "5 (at) 2.50", "",
 ]
 
