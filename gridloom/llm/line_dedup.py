@@ -1,21 +1,21 @@
 """Line deduplication through a sharded minimal perfect hash.
 
-A first pass counts, for each distinct line, the documents that hold it. Lines
-held by at least ``min_docs`` documents go into shards; each shard is a minimal
-perfect hash (levels of bit arrays) that numbers its lines without gaps and
-points into compact arrays: a fingerprint, the document count and the largest
-document id. A second pass splits the texts again and probes these arrays; no
-row for each line is joined to anything.
-
-The probe broadcasts the shards. Their size is known before (``ENTRY_BYTES`` a
-line), and beyond ``max_index_bytes`` the documents are probed against one
-bounded group of shards after another.
-"""
+1. Each text is cut into lines once; hashes of its long lines, with the document
+   and the line's number, are written to the shared folder.
+2. Distinct documents are counted for each line. Lines of at least ``min_docs``
+   go into shards; each shard is a minimal perfect hash (levels of bit arrays)
+   that numbers its lines without gaps and points into compact arrays: a
+   fingerprint, the document count and the largest document id.
+3. The hashes are dealt to their shards and probe these arrays; a shard of many
+   hashes is dealt out several times. What has to go, (document, line number),
+   meets the texts again by document.
+
+Shards have a bounded size and there are as many as it takes; nothing passes
+through the driver but the number of repeated lines."""
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -24,10 +24,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, cut, small_batches, utf8
+from .common import SPACE, cut, skew_join, small_batches, utf8
 
-#: Bytes that an indexed line takes at most: three arrays, and the bits of the levels with their ranks.
-ENTRY_BYTES = 24
+#: A document without an id, below all others.
+NO_ID = -(2**63)
+#: Hashes that meet a shard in one group of rows.
+GROUP = 1 << 20
 #: Bits in a level for each line that reaches it.
 GAMMA = 2
 #: Levels before the remaining lines are listed plainly.
@@ -46,21 +48,36 @@ def line_keys(text: bytes, min_chars: int) -> tuple[list[bytes], list[tuple[int,
     return lines, found
 
 
-def count_lines(docs: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
-    """(h1, h2, n_docs, last_doc) of each line key held by at least min_docs documents."""
+def hash_lines(docs: DataFrame, min_chars: int) -> DataFrame:
+    """(h1, h2, doc, text, line) of each line whose key has min_chars code points; text is a hash of the whole text."""
 
     def emit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, hashes = [], []
-            for doc, text in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), strict=True):
-                own = {(a, b) for _, a, b in line_keys(text or b"", min_chars)[1]}
-                ids += [doc] * len(own)
-                hashes += own
+            hashes, rows, numbers = [], [], []
+            for row, text in enumerate(utf8(batch.column(1))):
+                for i, a, b in line_keys(text or b"", min_chars)[1]:
+                    hashes.append((a, b))
+                    rows.append(row)
+                    numbers.append(i)
             h = np.array(hashes, np.uint64).reshape(-1, 2).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(ids, pa.int64())], names=["h1", "h2", "doc_id"])
+            at = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(h[:, 0]), pa.array(h[:, 1]), batch.column(0).take(at), batch.column(2).take(at), pa.array(numbers, pa.int32())], names=["h1", "h2", "doc", "text", "line"])
 
-    lines = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(emit, "h1 long, h2 long, doc_id long")
-    return lines.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("last_doc")).where(F.col("n_docs") >= min_docs)
+    return _keyed(docs).mapInArrow(emit, "h1 long, h2 long, doc long, text long, line int")
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(_id_of().alias("doc"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("x"))
+
+
+def _id_of():
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
+
+
+def count_lines(lines: DataFrame, min_docs: int) -> DataFrame:
+    """(h1, h2, n_docs, last_doc) of each line held by at least min_docs documents; rows of one doc_id are one document."""
+    once = lines.select("h1", "h2", "doc").distinct()
+    return once.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc").alias("last_doc")).where(F.col("n_docs") >= min_docs)
 
 
 def _mix(h1: np.ndarray, h2: np.ndarray, level: int) -> np.ndarray:
@@ -127,27 +144,42 @@ def build_index(counted: DataFrame, n_shards: int) -> DataFrame:
     """One row of arrays for each shard."""
 
     def build(key: tuple, lines: pd.DataFrame) -> pd.DataFrame:
-        row = Shard.build(lines["h1"].to_numpy().view(np.uint64), lines["h2"].to_numpy().view(np.uint64), lines["n_docs"].to_numpy(), lines["last_doc"].fillna(-(2**63)).to_numpy())
+        row = Shard.build(lines["h1"].to_numpy().view(np.uint64), lines["h2"].to_numpy().view(np.uint64), lines["n_docs"].to_numpy(), lines["last_doc"].to_numpy())
         return pd.DataFrame([{"shard": key[0], **row}])
 
     return counted.withColumn("shard", F.pmod("h1", F.lit(n_shards)).cast("int")).groupBy("shard").applyInPandas(build, _BLOB)
 
 
-def _repeated(shards, n_shards: int, hashes: list[tuple[int, int]], docs: list[int | None]) -> np.ndarray:
-    """Whether each (line, document) has to go."""
-    h = np.array(hashes, np.uint64).reshape(-1, 2)
-    owner = np.array([-(2**63) if d is None else d for d in docs], np.int64)
-    shard, out = h[:, 0].view(np.int64) % n_shards, np.zeros(len(h), bool)
-    order = np.argsort(shard, kind="stable")
-    edges = np.searchsorted(shard[order], np.arange(n_shards + 1))
-    for k, index in shards.items():
-        own = order[edges[k] : edges[k + 1]]
-        number = index.probe(h[own, 0], h[own, 1])
-        out[own] = (number >= 0) & (index.last_docs[number] != owner[own]) if len(index.prints) else False
-    return out
-
+def find_repeated(lines: DataFrame, index: DataFrame, n_shards: int) -> DataFrame:
+    """(doc, text, lines: numbers of those that go), from the hashes of all lines and the shards' arrays."""
+    shard = F.pmod("h1", F.lit(n_shards)).cast("int")
+    groups = lines.groupBy(shard.alias("shard")).agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("long").alias("groups"))
+    arrays = [c.split()[0] for c in _BLOB.split(", ")][1:]
+    none = lambda names: [F.lit(None).cast(index.schema[c].dataType).alias(c) for c in names]
+    dealt = skew_join(lines.withColumn("shard", shard), groups.join(index.select("shard"), "shard"), "shard")  # a shard without repeated lines has no row
+    probes = dealt.select("shard", F.pmod(F.xxhash64("doc", "line"), F.col("groups")).alias("part"), "h1", "h2", "doc", "text", "line", *none(arrays))
+    shards = index.join(groups, "shard").select("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("part"), *(F.lit(None).cast(t).alias(c) for c, t in (("h1", "long"), ("h2", "long"), ("doc", "long"), ("text", "long"), ("line", "int"))), *arrays)
 
-def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, shard_lines: int = 1 << 16, max_index_bytes: int = 64 << 20, details: bool = True) -> DataFrame:
+    def probe(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = None
+        for batch in batches:
+            heads = np.flatnonzero(np.array(batch.column("entries").is_valid()))
+            edges = [0, *heads.tolist(), batch.num_rows]
+            for a, b in zip(edges, edges[1:], strict=False):
+                piece = batch.slice(a, b - a)
+                if piece.num_rows and piece.column("entries")[0].is_valid:  # a shard comes before what probes it
+                    own = Shard(piece.slice(0, 1).to_pylist()[0])
+                    piece = piece.slice(1)
+                h1, h2, doc = (piece.column(c).to_numpy() for c in ("h1", "h2", "doc"))
+                number = own.probe(h1.view(np.uint64), h2.view(np.uint64)) if len(h1) else np.zeros(0, np.int64)
+                gone = np.flatnonzero((number >= 0) & (own.last_docs[number] != doc)) if len(h1) and len(own.prints) else []
+                yield pa.RecordBatch.from_arrays([piece.column(c).take(pa.array(gone, pa.int64())) for c in ("doc", "text", "line")], names=["doc", "text", "line"])
+
+    laid = probes.unionByName(shards).repartition("shard", "part").sortWithinPartitions("shard", "part", F.col("entries").desc_nulls_last())
+    return laid.mapInArrow(probe, "doc long, text long, line int").groupBy("doc", "text").agg(F.collect_set("line").alias("lines"))
+
+
+def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, shard_lines: int = 1 << 16, details: bool = True) -> DataFrame:
     """Drop lines that many documents share, keeping each in one document.
 
     A line's key is the line without ASCII white space at its ends, A-Z in
@@ -157,81 +189,39 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, shard_l
     adds ``n_lines`` and ``n_dropped`` (a column of docs with such a name is
     replaced).
 
-    A null or empty text is one empty line, and comes out as "". Each row
-    counts as a document: repeated rows with one doc_id all keep the line if
-    that is the largest. A null doc_id is below all others. An empty table
-    gives an empty result. The size of a text or line has no bound but memory
-    for one batch of rows."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    counted = cut(count_lines(docs, min_chars, min_docs))
-    n = counted.count()
-    n_shards = max(1, -(-n // shard_lines))
+    A null or empty text is one empty line, and comes out as "". Rows with one
+    doc_id are one document: they count once, and all keep the line if that id is
+    the largest. Rows without a doc_id are one document below all others. An
+    empty table gives an empty result. The size of a text or line has no bound
+    but memory for one batch of rows."""
+    small_batches(docs.sparkSession)
+    lines = cut(hash_lines(docs, min_chars))
+    counted = cut(count_lines(lines, min_docs))
+    n_shards = max(1, -(-counted.count() // shard_lines))
     index = cut(build_index(counted, n_shards))
-    passes = max(1, -(-n * ENTRY_BYTES // max_index_bytes))
-    groups = []
-    for i in range(passes):  # bounded by max_index_bytes each
-        rows = index.where(F.col("shard") % passes == i).collect()
-        groups.append(spark.sparkContext.broadcast([r.asDict() for r in rows]))
+    gone = find_repeated(lines, index, n_shards).select(F.struct("doc", "text").alias("key of row"), F.col("lines").alias("lines that go"))
     names = docs.columns
     kept = [c for c in names if not (details and c in ("n_lines", "n_dropped"))]
+    keyed = docs.withColumn("key of row", F.struct(_id_of().alias("doc"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text")))
+    source = keyed.join(gone, "key of row", "left").select(*(f"`{c}`" for c in names), "lines that go")
+    text_at = names.index("text")
+
+    def rewrite(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [(t or b"").split(b"\n") for t in utf8(batch.column(text_at))]
+            gone = {r: set(x) for r, x in enumerate(batch.column(len(names)).to_pylist()) if x}
+            yield _rewritten(batch, texts, gone, kept, details)
 
-    def lines_of(batch: pa.RecordBatch, text_at: int, id_at: int):
-        texts = [line_keys(t or b"", min_chars) for t in utf8(batch.column(text_at))]
-        ids = batch.column(id_at).to_pylist()
-        at = [(row, i) for row, (_, keys) in enumerate(texts) for i, _, _ in keys]
-        return texts, at, [(a, b) for _, keys in texts for _, a, b in keys], [ids[row] for row, _ in at]
-
-    def load(group) -> dict[int, Shard]:
-        return {r["shard"]: Shard(r) for r in group.value}
-
-    if passes == 1:
-        single = groups[0]
-
-        def rewrite(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            shards = load(single)
-            for batch in batches:
-                texts, at, hashes, owners = lines_of(batch, text_at, id_at)
-                gone: dict[int, set[int]] = {}
-                for k in np.flatnonzero(_repeated(shards, n_shards, hashes, owners)):
-                    gone.setdefault(at[k][0], set()).add(at[k][1])
-                yield _rewritten(batch, texts, gone, kept, details)
-
-        source = docs
-    else:
-
-        def find(group):
-            def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                shards = load(group)
-                for batch in batches:
-                    _, at, hashes, owners = lines_of(batch, 1, 0)
-                    bad = [at[k] for k in np.flatnonzero(_repeated(shards, n_shards, hashes, owners))]
-                    ids, keys = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-                    yield pa.RecordBatch.from_arrays([pa.array([ids[r] for r, _ in bad], pa.int64()), pa.array([keys[r] for r, _ in bad], pa.int64()), pa.array([i for _, i in bad], pa.int32())], names=["_id", "_text", "_line"])
-
-            return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text")).mapInArrow(run, "_id long, _text long, _line int")
-
-        # Rows of one doc_id may have several texts; those with the same text lose the same lines.
-        gone_lines = reduce(DataFrame.union, (find(g) for g in groups)).groupBy("_id", "_text").agg(F.collect_set("_line").alias("_lines"))
-        source = docs.join(gone_lines, docs["doc_id"].eqNullSafe(gone_lines["_id"]) & (F.xxhash64(docs["text"]) == gone_lines["_text"]), "left").select(*(docs[f"`{c}`"] for c in names), gone_lines["_lines"].alias("lines that go"))
-
-        def rewrite(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                texts = [line_keys(t or b"", min_chars) for t in utf8(batch.column(text_at))]
-                gone = {r: set(x) for r, x in enumerate(batch.column(len(names)).to_pylist()) if x}
-                yield _rewritten(batch, texts, gone, kept, details)
-
-    text_at, id_at = names.index("text"), names.index("doc_id")
     fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept] + ["n_lines long", "n_dropped long"] * details
     return source.mapInArrow(rewrite, ", ".join(fields))
 
 
 def _rewritten(batch: pa.RecordBatch, texts: list, gone: dict[int, set[int]], kept: list[str], details: bool) -> pa.RecordBatch:
-    new = [b"\n".join([x for i, x in enumerate(lines) if i not in gone[r]] if r in gone else lines).decode() for r, (lines, _) in enumerate(texts)]
+    new = [b"\n".join([x for i, x in enumerate(lines) if i not in gone[r]] if r in gone else lines).decode() for r, lines in enumerate(texts)]
     columns = {c: batch.column(batch.schema.get_field_index(c)) for c in kept}
     columns["text"] = pa.array(new, pa.string())
     if "n_chars" in columns and pa.types.is_integer(columns["n_chars"].type):
         columns["n_chars"] = pa.array([len(x) for x in new], columns["n_chars"].type)
     if details:
-        columns |= {"n_lines": pa.array([len(x) for x, _ in texts], pa.int64()), "n_dropped": pa.array([len(gone.get(r, ())) for r in range(len(texts))], pa.int64())}
+        columns |= {"n_lines": pa.array([len(x) for x in texts], pa.int64()), "n_dropped": pa.array([len(gone.get(r, ())) for r in range(len(texts))], pa.int64())}
     return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))

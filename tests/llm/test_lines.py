@@ -7,8 +7,9 @@ import edges
 from gridloom.llm import line_dedup
 
 
-@pytest.mark.parametrize("options", [{}, {"shard_lines": 3}, {"shard_lines": 2, "max_index_bytes": 60}], ids=["one", "shards", "passes"])
-def test_against_brute_force(spark, options):
+@pytest.mark.parametrize("options", [{}, {"shard_lines": 3}, {"shard_lines": 2, "group": 3}], ids=["one", "shards", "groups"])
+def test_against_brute_force(spark, options, monkeypatch):
+    monkeypatch.setattr(line_dedup, "GROUP", options.pop("group", line_dedup.GROUP))
     shared = [f"This is line number {i} of those that many documents share, {i}." for i in range(9)]
     docs = {d: "\n".join(f"{' ' * (d % 3)}{shared[(d * k) % 9].upper() if d % 2 else shared[(d * k) % 9]}\t" for k in range(1, 5)) + f"\nshort\nshort\nown line {d}" for d in range(40)}
     docs |= {100: None, 101: "", 102: shared[0] + "\n" + shared[0] + "\n\n", 103: "é" * 39 + "\n" + "É" * 40, **{104 + i: "É" * 40 + "\n" + "é" * 40 for i in range(5)}}
@@ -34,11 +35,24 @@ def test_edges(spark):
             assert r["n_dropped"] == (1 if r["n_chars"] == 0 and r["n_dropped"] else 0)
     assert line_dedup.dedup_lines(edges.empty(spark)).collect() == []
     key = lambda r: (r["doc_id"] or 0, r["text"], r["n_dropped"])
-    several = line_dedup.dedup_lines(docs, min_docs=3, shard_lines=1, max_index_bytes=1)
+    several = line_dedup.dedup_lines(docs, min_docs=3, shard_lines=1)
     assert several.columns == line_dedup.dedup_lines(docs, min_docs=3).columns
     assert sorted(map(key, several.collect())) == sorted(map(key, line_dedup.dedup_lines(docs, min_docs=3).collect()))
 
 
+def test_repeated_rows_are_one_document(spark):
+    """As the SQL has it: distinct ids count, and a document's rows share their fate."""
+    line = "A line of at least forty code points, which several rows hold."
+    few = [(1, line)] * 4 + [(2, line)]
+    many = [(d, f"{line}\nown {d}") for d in (3, 3, 4, 5, 6, 7, 7)]
+    for rows in (few, many, few + many):
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+        out = sorted((r["doc_id"], r["n_dropped"], r["text"]) for r in line_dedup.dedup_lines(df).collect())
+        last = max(d for d, _ in rows) if len({d for d, _ in rows}) >= 5 else None
+        gone = lambda d: last is not None and d != last
+        assert out == sorted((d, int(gone(d)), "\n".join(x for x in t.split("\n") if not (gone(d) and x == line))) for d, t in rows)
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 1000])
 def test_perfect_hash(n):
     rng = np.random.default_rng(n)
