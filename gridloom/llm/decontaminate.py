@@ -30,7 +30,7 @@ from .license_scan import tokens_of
 
 @dataclass(frozen=True)
 class Settings:
-    """min_score: the share of the best possible alignment score. rare: the share of documents (rare_docs of them at least) up to which an n-gram is a seed; stretch: n-grams in a row of which, if none is rare, those not twice as frequent as the rarest are. slack: words more on both sides of where the item would lie. passage: the score from which an alignment in which each edit costs edit counts as well, whatever its share of the item."""
+    """min_score: the share of the best possible alignment score. rare: the share of documents (rare_docs of them at least) up to which an n-gram is a seed; stretch: n-grams in a row of which, if none is rare, those not twice as frequent as the rarest are. slack: words more on both sides of where the item would lie, as a share of its length; with 1, no alignment that is enough reaches beyond, since each word added costs half of what a word of the item brings. passage: the score from which an alignment in which each edit costs edit counts as well, whatever its share of the item."""
 
     n: int = 3
     rare: float = 0.001
@@ -40,7 +40,7 @@ class Settings:
     match: float = 1.0
     mismatch: float = -0.5
     gap: float = -0.5
-    slack: float = 0.3
+    slack: float = 1.0
     passage: float = 13.0
     edit: float = -2.0
 

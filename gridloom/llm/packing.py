@@ -11,7 +11,10 @@ tokens, so memory is bounded and nothing is shuffled. Within a block:
 3. The last piece of a block goes on into the next block; only the last one of
    a task may leave a window with padding, which then has the smallest tier
    that holds it.
-4. Windows of one size form step groups of ``step_tokens`` tokens.
+4. Windows of one size form step groups of ``step_tokens`` tokens. The windows
+   of a block are dealt to its groups by their cost, the dearest first, each to
+   the group that costs least so far; a window's cost is the sum of the squared
+   lengths of its pieces, as attention within documents has it.
 
 Every window but the last of a task has exactly the length of its tier."""
 
@@ -19,6 +22,8 @@ from __future__ import annotations
 
 import base64
 import bisect
+import heapq
+import json
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -31,36 +36,37 @@ from pyspark.sql.pandas.types import to_arrow_type
 from .common import small_batches, utf8
 
 TIERS = (1024, 512, 256, 128)
-#: Texts above this many bytes go to the library whose time doesn't depend on a backtracking limit.
-LONG_TEXT = 1 << 20
 SCHEMA = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier long, step_group long"
 
 
 class Encoder:
-    """Texts to ids of a byte-level BPE vocabulary: the ids of ``tokenizers`` with its json file.
+    """Texts to ids of a byte-level BPE vocabulary: the ids that ``tokenizers`` gives with its json file as loaded, added tokens in a text included.
 
     Ranks of the same vocabulary in tiktoken's form give the same ids in a
-    quarter of the time (a test compares them); texts above LONG_TEXT bytes go
-    to ``tokenizers`` itself."""
+    quarter of the time (a test compares them). A text with a run of white space
+    too long for tiktoken's pattern (a million characters) makes it fail, and
+    ``tokenizers`` itself encodes that text."""
 
     def __init__(self, vocabulary: str | None = None, ranks: str | None = None) -> None:
         import public_tokenizers
         import tiktoken
         from tokenizers import Tokenizer
 
+        vocabulary = vocabulary or public_tokenizers.path("byte_bpe_50k.json")
         with open(ranks or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as lines:
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
-        self.load = lambda: Tokenizer.from_file(vocabulary or public_tokenizers.path("byte_bpe_50k.json"))
+        with open(vocabulary, encoding="utf-8") as file:
+            added = {t["content"]: t["id"] for t in json.load(file).get("added_tokens", ())}
+        self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens=added)
+        self.load = lambda: Tokenizer.from_file(vocabulary)
         self.slow = None
 
     def __call__(self, text: bytes) -> np.ndarray:
-        if len(text) <= LONG_TEXT:
-            return np.array(self.fast.encode_ordinary(text.decode()), "<u4")
-        if self.slow is None:
-            self.slow = self.load()
-            self.slow.encode_special_tokens = True
-        return np.array(self.slow.encode(text.decode(), add_special_tokens=False).ids, "<u4")
+        try:
+            return np.array(self.fast.encode(text.decode(), allowed_special="all"), "<u4")
+        except ValueError:
+            self.slow = self.slow or self.load()
+            return np.array(self.slow.encode(text.decode(), add_special_tokens=False).ids, "<u4")
 
 
 class Packer:
@@ -68,8 +74,8 @@ class Packer:
 
     def __init__(self, first_sequence: int, tiers: tuple[int, ...] = TIERS, step_tokens: int = 8192) -> None:
         self.tiers, self.step_tokens = tuple(sorted(tiers, reverse=True)), step_tokens
-        self.sequence, self.open = first_sequence, {t: (None, 0) for t in self.tiers}
-        self.steps = first_sequence
+        self.sequence = self.steps = first_sequence
+        self.windows: dict[int, list[tuple[int, list[tuple]]]] = {t: [] for t in self.tiers}  # tier -> (cost, rows) of windows without a step group
         self.out: list[tuple] = []
         self.pieces: dict[int, list[tuple]] = {t: [] for t in self.tiers}  # tier -> (length, order, doc, start, ids, doc_tokens), sorted
         self.order = 0
@@ -88,17 +94,27 @@ class Packer:
         bisect.insort(self.pieces[tier], (len(ids), self.order, doc, start, ids, doc_tokens), key=lambda p: p[:2])
 
     def _emit(self, tier: int, parts: list[tuple]) -> None:
-        step, used = self.open[tier]
-        if step is None or used + tier > self.step_tokens:
-            step, used = self.steps, 0
-            self.steps += 1
-        self.open[tier] = (step, used + tier)
-        offset = 0
+        offset, rows = 0, []
         for doc, start, ids, doc_tokens in parts:
-            self.out.append((doc, start, len(ids), zlib.crc32(ids.tobytes()), doc_tokens, self.sequence, offset, tier, step))
+            rows.append((doc, start, len(ids), zlib.crc32(ids.tobytes()), doc_tokens, self.sequence, offset, tier))
             offset += len(ids)
+        self.windows[tier].append((sum(r[2] ** 2 for r in rows), rows))
         self.sequence += 1
 
+    def _deal(self, last: bool) -> None:
+        """Give windows their step groups; unless last, those that don't fill a group wait on."""
+        for tier, waiting in self.windows.items():
+            size = max(1, self.step_tokens // tier)
+            groups = -(-len(waiting) // size) if last else len(waiting) // size
+            now, self.windows[tier] = waiting[: groups * size], waiting[groups * size :]
+            loads = [(0, 0, self.steps + k) for k in range(groups)]  # cost, windows, group
+            self.steps += groups
+            for cost, rows in sorted(now, key=lambda w: -w[0]):
+                load, n, group = heapq.heappop(loads)
+                self.out += [(*r, group) for r in rows]
+                if n + 1 < size:
+                    heapq.heappush(loads, (load + cost, n + 1, group))
+
     def _take(self, tiers: tuple[int, ...], most: int) -> tuple | None:
         """The largest waiting piece of at most so many tokens."""
         for t in tiers:
@@ -108,7 +124,11 @@ class Packer:
         return None
 
     def pack(self, last: bool) -> None:
-        """Pack all waiting pieces; unless last, one window's worth may wait on."""
+        """Pack all waiting pieces; unless last, one window's worth and an open step group may wait on."""
+        self._fill(last)
+        self._deal(last)
+
+    def _fill(self, last: bool) -> None:
         for i, tier in enumerate(self.tiers):
             while self.pieces[tier]:
                 size, parts, gap = tier, [], tier

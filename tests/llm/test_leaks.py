@@ -89,3 +89,47 @@ def test_windows_begin_at_the_first_place_of_a_repeated_seed(early):
     words = [w.encode() for w in ["before"] * 100 + copy + ["after"] * 50]
     [(_, score, first, last)] = items.matches(words)
     assert (first, last) == (100, 159) and score > 0.6
+
+
+def edited(rng, words, rate, kind):
+    out = []
+    for w in words:
+        k = (kind if kind != "mixed" else rng.choice(("changed", "added", "dropped"))) if rng.random() < rate else ""
+        out += {"": [w], "changed": [rng.choice(VOCABULARY)], "added": [w, *prose(rng, rng.choice((1, 1, 2, 6)))], "dropped": []}[k]
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_all_that_full_alignment_finds(seed):
+    """Random items with repeated phrases, their copies edited in all ways: every pair at or above the bar by Smith-Waterman over the whole text is found, with its score."""
+    rng, s = random.Random(seed), decontaminate.Settings()
+    items = []
+    for n in (20, 20, 25, 30, 40, 60, 80, 120, 200, 300):
+        x = prose(rng, n)
+        for _ in range(n // 12):
+            a, b = rng.randrange(n - 3), rng.randrange(n - 3)
+            x[a : a + 3] = x[b : b + 3]
+        items.append(x)
+    texts = []
+    for rate in (0.1, 0.2, 0.3, 0.4):
+        for kind in ("changed", "added", "dropped", "mixed"):
+            for x in items:
+                texts.append([w.encode() for w in [*prose(rng, 60), *edited(rng, x, rate, kind), *prose(rng, 60)]])
+    found = decontaminate.Items([(i, " ".join(x).encode()) for i, x in enumerate(items)], s)
+    held = {}
+    for t in texts:
+        for g in found.held(t).tolist():
+            held[g] = held.get(g, 0) + 1
+    found.choose_seeds(held, len(texts))
+    n = 0
+    for k, t in enumerate(texts):
+        i, ids = k % len(items), found.numbers(t)
+        whole = decontaminate.align(found.words[i], ids, s)[0]
+        strict = decontaminate.align(found.words[i], ids, found.strict)[0]
+        got = {m[0]: m[1] for m in found.matches(t)}
+        if whole >= s.min_score * len(items[i]):
+            n += 1
+            assert abs(got[i] - whole / len(items[i])) < 1e-9
+        elif strict >= s.passage:
+            assert i in got
+    assert n > 60
