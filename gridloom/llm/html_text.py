@@ -17,7 +17,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import utf8
+from .common import small_batches, utf8
 from .text_stats import STOP_WORDS
 
 _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)", re.S)
@@ -214,5 +214,6 @@ def extract(pages: DataFrame, rules: Rules = Rules()) -> DataFrame:
             texts = [main_text((x or b"").decode(), rules) for x in utf8(batch.column(2))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
+    small_batches(pages.sparkSession)
     key, url = (pages.schema[c].dataType.simpleString() for c in ("page_id", "url"))
     return pages.select("page_id", "url", "html").mapInArrow(run, f"page_id {key}, url {url}, text string, n_chars long")

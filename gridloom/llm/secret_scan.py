@@ -1,8 +1,9 @@
 """Secret detection: keywords first, anchored expressions next, checksums last.
 
 An Aho-Corasick automaton finds keywords (in either case) in one pass over a
-text. Only where a keyword ends or begins is an expression tried, anchored
-there. Formats with a checksum of their own (access tokens that end in a CRC-32
+text. Only where a keyword begins, or in the words near one, is an expression
+tried, anchored there; a private key's span runs to its END line. The strict hex
+pattern, which has no keyword, is the one that reads the whole text. Formats with a checksum of their own (access tokens that end in a CRC-32
 in base 62, keys in Base58Check, signed web tokens) must pass it.
 """
 
@@ -28,14 +29,18 @@ _ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 _HEX = re.compile(rb"[0-9a-f]{32,}")
 _CHECKED = re.compile(rb"(?:gh[pousr]|npm)_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])")
 _WEB = re.compile(rb"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+")
-_WALLET = re.compile(rb"(?<![1-9A-HJ-NP-Za-km-z])[5KL][1-9A-HJ-NP-Za-km-z]{50,51}(?![1-9A-HJ-NP-Za-km-z])")
-_PRIVATE = re.compile(rb"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----")
+_WALLET = re.compile(rb"[5KL][1-9A-HJ-NP-Za-km-z]{50,51}(?![1-9A-HJ-NP-Za-km-z])")
+_PRIVATE = re.compile(rb"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----(?:[A-Za-z0-9+/=\s:,-]*?-----END \1-----|[A-Za-z0-9+/=\s]*+)")
 _BASE62 = b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 _BASE58 = b"123456789ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz"
+#: How far from a keyword a wallet key may begin.
+NEAR = 200
+_WORD58 = re.compile(rb"[1-9A-HJ-NP-Za-km-z]+")
 #: Keyword (lower case) -> kind whose expression is tried where the keyword begins.
 _KEYWORDS = {
     **dict.fromkeys(("password", "passwd", "secret", "token", "apikey", "api_key"), "assign"), "akia": "access",
     **dict.fromkeys(("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "npm_"), "checked_token"), "eyj": "web_token", "-----begin": "private_key",
+    **dict.fromkeys(("key", "wallet", "bitcoin", "btc", "wif", "private", "privkey", "import"), "wallet_key"),
 }
 
 
@@ -82,9 +87,12 @@ def _automaton() -> ahocorasick.Automaton:
 
 def find_secrets(text: bytes, words: ahocorasick.Automaton) -> list[tuple[str, int, int]]:
     """(kind, start, end) in bytes, unordered. Matches of a kind don't overlap, leftmost first; one that fails its check still uses up its place."""
-    found, last = [], {}
+    found, last, near = [], {}, []
     for end, (length, kind) in words.iter(text.lower().decode("latin-1")):  # bytes.lower() keeps all places
         start = end - length + 1
+        if kind == "wallet_key":
+            near.append(start)
+            continue
         if start < last.get(kind, 0):
             continue
         rule, good = _RULES[kind]
@@ -93,7 +101,12 @@ def find_secrets(text: bytes, words: ahocorasick.Automaton) -> list[tuple[str, i
             if good(m):
                 found.append((kind, m.start(), m.end()))
     found += [("hex", m.start(), m.end()) for m in _HEX.finditer(text)]
-    found += [("wallet_key", m.start(), m.end()) for m in _WALLET.finditer(text) if _wallet_ok(m)]
+    done = 0
+    for at in near:  # in order
+        for w in _WORD58.finditer(text, max(done, at - NEAR), min(len(text), at + NEAR + 52)):
+            done = max(done, w.start() + 1)
+            if 51 <= len(w[0]) <= 52 and (w.start() == 0 or not _WORD58.match(text, w.start() - 1)) and (m := _WALLET.match(text, w.start())) and _wallet_ok(m):
+                found.append(("wallet_key", m.start(), m.end()))
     return found
 
 
