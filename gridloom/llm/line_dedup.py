@@ -29,7 +29,9 @@ from .common import SPACE, cut, skew_join, small_batches, utf8
 #: A document without an id, below all others.
 NO_ID = -(2**63)
 #: Hashes that meet a shard in one group of rows.
-GROUP = 1 << 20
+GROUP = 1 << 18
+#: Shards whose numbers of groups (16 bytes each) are broadcast; those of more are joined.
+MOST_BROADCAST = 1 << 18
 #: Bits in a level for each line that reaches it.
 GAMMA = 2
 #: Levels before the remaining lines are listed plainly.
@@ -156,7 +158,8 @@ def find_repeated(lines: DataFrame, index: DataFrame, n_shards: int) -> DataFram
     groups = lines.groupBy(shard.alias("shard")).agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("long").alias("groups"))
     arrays = [c.split()[0] for c in _BLOB.split(", ")][1:]
     none = lambda names: [F.lit(None).cast(index.schema[c].dataType).alias(c) for c in names]
-    dealt = skew_join(lines.withColumn("shard", shard), groups.join(index.select("shard"), "shard"), "shard")  # a shard without repeated lines has no row
+    known, numbered = groups.join(index.select("shard"), "shard"), lines.withColumn("shard", shard)  # a shard without repeated lines has no row
+    dealt = numbered.join(F.broadcast(known), "shard") if n_shards <= MOST_BROADCAST else skew_join(numbered, known, "shard")
     probes = dealt.select("shard", F.pmod(F.xxhash64("doc", "line"), F.col("groups")).alias("part"), "h1", "h2", "doc", "text", "line", *none(arrays))
     shards = index.join(groups, "shard").select("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("part"), *(F.lit(None).cast(t).alias(c) for c, t in (("h1", "long"), ("h2", "long"), ("doc", "long"), ("text", "long"), ("line", "int"))), *arrays)
 

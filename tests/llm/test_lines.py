@@ -7,9 +7,11 @@ import edges
 from gridloom.llm import line_dedup
 
 
-@pytest.mark.parametrize("options", [{}, {"shard_lines": 3}, {"shard_lines": 2, "group": 3}], ids=["one", "shards", "groups"])
+@pytest.mark.parametrize("options", [{}, {"shard_lines": 3}, {"shard_lines": 2, "group": 3}, {"shard_lines": 2, "group": 5, "most": 0}], ids=["one", "shards", "groups", "joined"])
 def test_against_brute_force(spark, options, monkeypatch):
-    monkeypatch.setattr(line_dedup, "GROUP", options.pop("group", line_dedup.GROUP))
+    options = dict(options)
+    for name in ("GROUP", "MOST_BROADCAST"):
+        monkeypatch.setattr(line_dedup, name, options.pop(name.split("_")[0].lower(), getattr(line_dedup, name)))
     shared = [f"This is line number {i} of those that many documents share, {i}." for i in range(9)]
     docs = {d: "\n".join(f"{' ' * (d % 3)}{shared[(d * k) % 9].upper() if d % 2 else shared[(d * k) % 9]}\t" for k in range(1, 5)) + f"\nshort\nshort\nown line {d}" for d in range(40)}
     docs |= {100: None, 101: "", 102: shared[0] + "\n" + shared[0] + "\n\n", 103: "é" * 39 + "\n" + "É" * 40, **{104 + i: "É" * 40 + "\n" + "é" * 40 for i in range(5)}}
