@@ -15,6 +15,7 @@ through the driver but the number of repeated lines."""
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -36,7 +37,7 @@ MOST_BROADCAST = 1 << 18
 GAMMA = 2
 #: Levels before the remaining lines are listed plainly.
 LEVELS = 40
-_BLOB = "shard int, entries long, words binary, ranks binary, starts array<long>, sizes array<long>, prints binary, counts binary, last_docs binary, rest_h1 binary, rest_h2 binary"
+
 
 
 def line_keys(text: bytes, min_chars: int) -> tuple[list[bytes], list[tuple[int, int, int]]]:
@@ -143,42 +144,41 @@ class Shard:
 
 
 def build_index(counted: DataFrame, n_shards: int) -> DataFrame:
-    """One row of arrays for each shard."""
+    """(shard, arrays: those of Shard.build(), pickled as one value) of each shard."""
 
     def build(key: tuple, lines: pd.DataFrame) -> pd.DataFrame:
         row = Shard.build(lines["h1"].to_numpy().view(np.uint64), lines["h2"].to_numpy().view(np.uint64), lines["n_docs"].to_numpy(), lines["last_doc"].to_numpy())
-        return pd.DataFrame([{"shard": key[0], **row}])
+        return pd.DataFrame([{"shard": key[0], "arrays": pickle.dumps(row)}])
 
-    return counted.withColumn("shard", F.pmod("h1", F.lit(n_shards)).cast("int")).groupBy("shard").applyInPandas(build, _BLOB)
+    return counted.withColumn("shard", F.pmod("h1", F.lit(n_shards)).cast("int")).groupBy("shard").applyInPandas(build, "shard int, arrays binary")
 
 
 def find_repeated(lines: DataFrame, index: DataFrame, n_shards: int) -> DataFrame:
     """(doc, text, lines: numbers of those that go), from the hashes of all lines and the shards' arrays."""
     shard = F.pmod("h1", F.lit(n_shards)).cast("int")
     groups = lines.groupBy(shard.alias("shard")).agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("long").alias("groups"))
-    arrays = [c.split()[0] for c in _BLOB.split(", ")][1:]
-    none = lambda names: [F.lit(None).cast(index.schema[c].dataType).alias(c) for c in names]
     known, numbered = groups.join(index.select("shard"), "shard"), lines.withColumn("shard", shard)  # a shard without repeated lines has no row
     dealt = numbered.join(F.broadcast(known), "shard") if n_shards <= MOST_BROADCAST else skew_join(numbered, known, "shard")
-    probes = dealt.select("shard", F.pmod(F.xxhash64("doc", "line"), F.col("groups")).alias("part"), "h1", "h2", "doc", "text", "line", *none(arrays))
-    shards = index.join(groups, "shard").select("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("part"), *(F.lit(None).cast(t).alias(c) for c, t in (("h1", "long"), ("h2", "long"), ("doc", "long"), ("text", "long"), ("line", "int"))), *arrays)
+    probes = dealt.select("shard", F.pmod(F.xxhash64("doc", "line"), F.col("groups")).alias("part"), "h1", "h2", "doc", "text", "line", F.lit(None).cast("binary").alias("arrays"))
+    shards = index.join(groups, "shard").select("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("part"), *(F.lit(None).cast(t).alias(c) for c, t in (("h1", "long"), ("h2", "long"), ("doc", "long"), ("text", "long"), ("line", "int"))), "arrays")
 
     def probe(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = None
         for batch in batches:
-            heads = np.flatnonzero(np.array(batch.column("entries").is_valid()))
+            heads = np.flatnonzero(np.array(batch.column("arrays").is_valid()))
             edges = [0, *heads.tolist(), batch.num_rows]
             for a, b in zip(edges, edges[1:], strict=False):
                 piece = batch.slice(a, b - a)
-                if piece.num_rows and piece.column("entries")[0].is_valid:  # a shard comes before what probes it
-                    own = Shard(piece.slice(0, 1).to_pylist()[0])
+                if piece.num_rows and piece.column("arrays")[0].is_valid:  # a shard comes before what probes it
+                    own = Shard(pickle.loads(piece.column("arrays")[0].as_py()))
                     piece = piece.slice(1)
                 h1, h2, doc = (piece.column(c).to_numpy() for c in ("h1", "h2", "doc"))
                 number = own.probe(h1.view(np.uint64), h2.view(np.uint64)) if len(h1) else np.zeros(0, np.int64)
                 gone = np.flatnonzero((number >= 0) & (own.last_docs[number] != doc)) if len(h1) and len(own.prints) else []
                 yield pa.RecordBatch.from_arrays([piece.column(c).take(pa.array(gone, pa.int64())) for c in ("doc", "text", "line")], names=["doc", "text", "line"])
 
-    laid = probes.unionByName(shards).repartition("shard", "part").sortWithinPartitions("shard", "part", F.col("entries").desc_nulls_last())
+    laid = probes.unionByName(shards).repartition("shard", "part").sortWithinPartitions("shard", "part", F.col("arrays").isNull())
+    laid = laid.select("h1", "h2", "doc", "text", "line", "arrays")
     return laid.mapInArrow(probe, "doc long, text long, line int").groupBy("doc", "text").agg(F.collect_set("line").alias("lines"))
 
 
