@@ -33,13 +33,13 @@ def small_batches(spark: SparkSession, most: int = 8 << 20) -> None:
         spark.conf.set(key, str(most))
 
 
-def skew_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+def skew_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
     """left joined to right by a key of which left may have very many rows.
 
     A second key, which the first gives, makes Spark shuffle both sides for this
     join; only then does adaptive execution split a large partition of it."""
     again = "_again"
-    return left.withColumn(again, F.hash(key)).join(right.withColumn(again, F.hash(key)), [key, again]).drop(again)
+    return left.withColumn(again, F.hash(key)).join(right.withColumn(again, F.hash(key)), [key, again], how).drop(again)
 
 
 def cut(df: DataFrame) -> DataFrame:

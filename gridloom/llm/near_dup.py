@@ -351,6 +351,16 @@ def linked_texts(docs: DataFrame, s: Settings = Settings()) -> tuple[DataFrame,
     links = compared.where(F.col("similarity") >= s.threshold)
     classes = components(links.select("a", "b"))
 
+    # Copies edited each in its own way are less like each other than like what they come from: of those that met a pivot, the one most like it
+    # is compared with those of other classes, so that few classes are left for what follows.
+    labelled = skew_join(compared, classes.withColumnRenamed("id", "b"), "b", "left").select("a", "b", "similarity", F.coalesce("class", "b").alias("class"))
+    nearest = compared.groupBy("a").agg(F.max_by("b", F.struct("similarity", -F.col("b"))).alias("near"))
+    nearest = skew_join(nearest.withColumnRenamed("near", "id"), classes, "id", "left").select("a", F.col("id").alias("near"), F.coalesce("class", "id").alias("main"))
+    again = cut(skew_join(labelled, nearest, "a").where("class <> main").select(F.col("near").alias("a"), "b").distinct())
+    central = cut(compare(again, bodies, weights, s).where(F.col("similarity") >= s.threshold))
+    links = links.unionByName(central)
+    classes = components(classes.select(F.col("id").alias("a"), F.col("class").alias("b")).unionByName(central.select("a", "b")))
+
     # Buckets that are still several groups: lost and added are the weights of what a text lacks of the pivot and has besides.
     own = F.col("id") == F.col("a")
     similarity = F.when(own, 1.0).otherwise(F.col("similarity"))
@@ -381,15 +391,19 @@ def linked_texts(docs: DataFrame, s: Settings = Settings()) -> tuple[DataFrame,
     # With one: of the additions that several classes hold, rarest first, each keeps those up to which the rest (its own weight counted) is
     # enough for a link to any other, so the first that a linked pair shares is kept by both, and what both have left there bounds what they share.
     members = cut(still.dropDuplicates(["a", "id"]).select("a", "pivot", *sides))
+    # A pair meets once for each pivot: at the first shingle, in that order, that both keep.
     added = skew_join(added_shingles(members.select("a", F.col("id").alias("b")), bodies, weights, s), members.select("id", "class").distinct(), "id")
     common = added.groupBy("a", "h").agg(F.count(F.lit(1)).alias("n"), F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("a", "h", "n")
     held = added.drop("class").join(cut(common), ["a", "h"])
     held = held.withColumn("rest", F.sum("w").over(Window.partitionBy("a", "id").orderBy(F.desc("n"), F.desc("h")).rowsBetween(Window.unboundedPreceding, 0)))
     least = t * F.col("added") - (1 - t) * (F.col("pivot") - F.col("lost"))
-    held = cut(held.join(members, ["a", "id"]).where(F.col("rest") + slack >= least).select("a", "h", "pivot", "rest", *sides))
+    held = held.join(members, ["a", "id"]).where(F.col("rest") + slack >= least)
+    earlier = Window.partitionBy("a", "id").orderBy("n", "h").rowsBetween(Window.unboundedPreceding, -1)
+    held = cut(held.withColumn("before", F.collect_list("h").over(earlier)).select("a", "h", "pivot", "rest", "before", *sides))
     reach = needed <= (1 + t) * (F.least("x_lost", "y_lost") + F.least("x_rest", "y_rest")) + slack
-    left, right = side(held, "x", "a", "h", "pivot", F.col("rest").alias("x_rest")), side(held, "y", "a", "h", F.col("rest").alias("y_rest"))
-    met_again = left.join(right, ["a", "h"]).where((F.col("x_id") < F.col("y_id")) & (F.col("x_class") != F.col("y_class")) & ~far & reach).select(*pair)
+    own_too = lambda k: (F.col("rest").alias(f"{k}_rest"), F.col("before").alias(f"{k}_before"))
+    left, right = side(held, "x", "a", "h", "pivot", *own_too("x")), side(held, "y", "a", "h", *own_too("y"))
+    met_again = left.join(right, ["a", "h"]).where((F.col("x_id") < F.col("y_id")) & ~F.arrays_overlap("x_before", "y_before") & (F.col("x_class") != F.col("y_class")) & ~far & reach).select(*pair)
     more = cut(bare.unionByName(met_again).distinct())
     if not more.isEmpty():
         new = cut(compare(more, bodies, weights, s).where(F.col("similarity") >= s.threshold))
