@@ -6,7 +6,6 @@ with both dimensions split, a dense array of four dimensions."""
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 from uuid import uuid4
 
@@ -109,7 +108,10 @@ def _as_netcdf(spark: SparkSession, sf_dir: str) -> str:
     """V written as files of 100 records in the shared folder."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared:
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        sc.setCheckpointDir(shared)
     folder = f"{sc.getCheckpointDir()}/netcdf-{uuid4().hex}"
     netcdf3.write(embeddings(spark, sf_dir), folder, "embedding", records_per_file=100)
     return folder
@@ -176,7 +178,7 @@ def tile_catalog(spark, sf_dir):
     return lineitem(spark, sf_dir).tile(L_TILE).catalog()
 
 
-@query("text_lines", f"SELECT 'quantity: groupID = [' || g0 || ',' || g1 || ']' || chr(9) || value AS line FROM ({_sql('L', L_TILE, MAX)})")
+@query("text_lines", f"SELECT 'quantity: groupID = [' || g0 || ', ' || g1 || ']' || chr(9) || value AS line FROM ({_sql('L', L_TILE, MAX)})")
 def text_lines(spark, sf_dir):
     array = lineitem(spark, sf_dir)
     return text.as_lines(array.tile(L_TILE).max(), array.name)
@@ -192,9 +194,8 @@ def _by_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("multi_file_combine", _sql("L", L_TILE, f"{MAX}, count(*) AS n", "TRUE"))
 def multi_file_combine(spark, sf_dir):
-    cells = _by_flag(spark, sf_dir)
-    files = [NDArray(cells.where(F.col("file") == f).drop("file"), 2) for f in ("A", "N", "R")]
-    return multifile.combine(files).tile(L_TILE).agg(F.max("value").alias("value"), F.count("value").alias("n"))
+    overlaid = NDArray(_by_flag(spark, sf_dir).drop("file"), 2)  # one scan; whatever files there are, all keep their own coordinates
+    return overlaid.tile(L_TILE).agg(F.max("value").alias("value"), F.count("value").alias("n"))
 
 
 @query(

@@ -7,10 +7,13 @@ array, one for each range of records."""
 
 from __future__ import annotations
 
+import fnmatch
 import glob
 import os
+import re
 import struct
 from collections.abc import Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
@@ -136,6 +139,15 @@ def read_header(path: str) -> list[Variable]:
 def list_files(path: str) -> list[str]:
     """Files of a path, a folder, or a pattern, in order; hidden ones aren't data."""
     if "://" in path or path.startswith("file:"):
+        pattern = re.search(r"[^/]*[*?\[].*$", path)
+        if pattern:  # in any store: the folder before the first part with a pattern is listed, and what is below matched part by part
+            folder = path[: pattern.start()].rstrip("/")
+            fs, base = pafs.FileSystem.from_uri(folder)
+            parts = pattern[0].split("/")
+            below = [i for i in fs.get_file_info(pafs.FileSelector(base, recursive=len(parts) > 1)) if i.type == pafs.FileType.File]
+            inner = [i.path[len(base.rstrip("/")) + 1 :] for i in below]
+            fits = lambda name: len(name) == len(parts) and all(map(fnmatch.fnmatchcase, name, parts)) and name[-1][0] not in "._"
+            return sorted(f"{folder}/{x}" for x in inner if fits(x.split("/")))
         fs, inner = pafs.FileSystem.from_uri(path)
         info = fs.get_file_info(inner)
         if info.type != pafs.FileType.Directory:
@@ -164,15 +176,23 @@ class Piece(InputPartition):
 
 
 def located(path: str, query: TileQuery, skip_invalid: bool = True) -> list[tuple[str, Variable, int]]:
-    """(file, variable, records before it); files that aren't NetCDF are skipped or fail."""
-    out, before = [], 0
-    for f in list_files(path):
+    """(file, variable, records before it); files that aren't NetCDF are skipped or fail. Headers are read 32 at a time."""
+
+    def header_of(f: str) -> list[Variable] | HeaderError:
         try:
-            v = choose(read_header(f), query.variable)
-        except HeaderError:
+            return read_header(f)
+        except HeaderError as e:
+            return e
+
+    out, before, files = [], 0, list_files(path)
+    with ThreadPoolExecutor(32) as pool:
+        headers = list(pool.map(header_of, files))
+    for f, found in zip(files, headers, strict=True):
+        if isinstance(found, HeaderError):
             if skip_invalid:
                 continue
-            raise
+            raise found
+        v = choose(found, query.variable)
         out.append((f, v, before if query.multi_file_mode == "concat" else 0))
         before += v.shape[0]
     if not out:

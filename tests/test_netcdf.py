@@ -106,6 +106,16 @@ def test_coordinate_variables(spark, tmp_path, records):
     assert b"half degrees" in data and b"long_name" in data
 
 
+def test_patterns_in_any_store(spark, folder, tmp_path):
+    assert netcdf3.list_files(f"file://{folder}/part-*.nc") == [f"file://{x}" for x in netcdf3.list_files(f"{folder}/part-*.nc")]
+    assert NDArray.read(spark, f"file://{folder}/*.nc", TileQuery(variable="wind")).df.count() == 1920
+    for day in ("d1", "d2"):
+        (tmp_path / day).mkdir()
+        (tmp_path / day / "a.nc").write_bytes(b"")
+        (tmp_path / day / "_b.nc").write_bytes(b"")
+    assert netcdf3.list_files(f"file://{tmp_path}/d?/*.nc") == [f"file://{tmp_path}/d{k}/a.nc" for k in (1, 2)]
+
+
 def test_missing_and_broken_files(spark, tmp_path):
     (tmp_path / "bad.nc").write_bytes(b"nothing")
     with pytest.raises(Exception, match="no NetCDF classic file"):
@@ -118,7 +128,7 @@ def test_command_line(spark, folder, tmp_path):
     out = tmp_path / "out"
     assert main(["average", folder, str(out), "-D", "variable_name=wind", "-D", "extraction_shape=2,3,5,2"], spark) == 0
     lines = [x for p in out.glob("part-*") for x in p.read_text().splitlines()]
-    assert len(lines) == 32 and "wind: groupID = [1,1,1,1]\t790" in lines
+    assert len(lines) == 32 and "wind: groupID = [1, 1, 1, 1]\t790" in lines
     assert main(["identity", folder, str(tmp_path / "none")], spark) == 2
     assert main(["identity", folder, str(tmp_path / "m"), "-D", "operator=simpleMedian", "-D", "extraction_shape=8,6,10,4"], spark) == 0
-    assert [p.read_text() for p in (tmp_path / "m").glob("part-*") if p.read_text()] == ["wind: groupID = [0,0,0,0]\t960\n"]
+    assert [p.read_text() for p in (tmp_path / "m").glob("part-*") if p.read_text()] == ["wind: groupID = [0, 0, 0, 0]\t960\n"]
