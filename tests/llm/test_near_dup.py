@@ -26,11 +26,11 @@ def brute(docs, s):
         bags[d] = bag
     held, n = {}, len(docs)
     for t in docs.values():
-        for x in set((t or "").lower().split()):
+        for x in {w.decode() for w in (t or "").encode().lower().split()}:
             held[x] = held.get(x, 0) + 1
     level = {x: max(1, round(2 * math.log1p(n / k))) for x, k in held.items()}
     mean = lambda levels: (2 * sum(levels) + len(levels)) // (2 * len(levels))
-    weights = {d: {x: k * mean([level[w] for w in x.split()]) for x, k in bag.items()} for d, bag in bags.items()}
+    weights = {d: {x: k * mean([level[w] for w in x.split(" ")]) for x, k in bag.items()} for d, bag in bags.items()}
     parent = {d: d for d in docs}
 
     def root(x):
