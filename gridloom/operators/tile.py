@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -103,6 +103,11 @@ class TiledArray:
         """n_cells and is_full of each tile that has cells."""
         return self.agg(*self._extras(True))
 
+    def tile_counts(self) -> DataFrame:
+        """One row: n_cells, n_full and n_not_full, the tiles that have all their cells and those that have some."""
+        tiles = self.completeness()
+        return tiles.agg(F.coalesce(F.sum("n_cells"), F.lit(0)).alias("n_cells"), F.count_if("is_full").alias("n_full"), F.count_if(~F.col("is_full")).alias("n_not_full"))
+
     def null_scan(self) -> DataFrame:
         """Reads all cells and gives one constant row, or none if there are no cells: what the scan alone costs."""
         seen = self.array.df.agg(F.count("value").alias("n"), *(F.max(d) for d in self.array.dims))
@@ -123,7 +128,17 @@ class TiledArray:
         return by_name[operator]()
 
 
-def run_query(array: NDArray, query: TileQuery) -> DataFrame:
-    """A whole query: records, tiles, operator, and the number of partitions of the result."""
+def run_query(array: NDArray, query: TileQuery, seen: Observation | None = None) -> DataFrame:
+    """A whole query: records, tiles, operator, and the order or the number of partitions of the result.
+
+    seen, if given, has n_cells and n_invalid (those outside the range of
+    records) of all cells read once the result has been computed. Filters aren't
+    pushed below it, and cells of records that the scan leaves out aren't seen:
+    read the array with noscan=False to count these, too."""
+    if seen is not None:
+        inside = F.col("c0").between(query.low, query.high - 1)
+        array = replace(array, df=array.df.observe(seen, F.count(F.lit(1)).alias("n_cells"), F.count_if(~inside).alias("n_invalid")))
     out = array.where_records(query.low, query.high).tile(query.extraction_shape).run(query.operator)
+    if query.ordered:
+        return out.orderBy(*(c for c in out.columns if c != "value"))
     return out.repartition(query.num_partitions) if query.num_partitions > 1 else out

@@ -14,7 +14,8 @@ class TileQuery:
     """Which variable, which records, which tiles, which operator.
 
     variable: "" is the last one in a file. low and high: records low <= c0 < high.
-    extraction_shape: None is one cell for each tile. sample_ratio, placement_mode,
+    extraction_shape: None is one cell for each tile. ordered: results come in the
+    order of their tile's index, over all partitions. sample_ratio, placement_mode,
     use_combiner, holistic and logfile are accepted and change nothing: Spark
     places tasks, always aggregates partially and finishes tiles exactly."""
 
@@ -34,6 +35,7 @@ class TileQuery:
     use_combiner: bool = True
     holistic: bool = False
     logfile: str = ""
+    ordered: bool = False
 
     def __post_init__(self) -> None:
         if self.extraction_shape is not None and any(e < 1 for e in self.extraction_shape):

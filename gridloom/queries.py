@@ -104,15 +104,19 @@ def _vector_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.to_chunks(v, (V_TILE[0], v.measured_shape()[1]))
 
 
-def _as_netcdf(spark: SparkSession, sf_dir: str) -> str:
-    """V written as files of 100 records in the shared folder."""
+def _shared_folder(spark: SparkSession, name: str) -> str:
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
         if not shared:
             raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         sc.setCheckpointDir(shared)
-    folder = f"{sc.getCheckpointDir()}/netcdf-{uuid4().hex}"
+    return f"{sc.getCheckpointDir()}/{name}-{uuid4().hex}"
+
+
+def _as_netcdf(spark: SparkSession, sf_dir: str) -> str:
+    """V written as files of 100 records in the shared folder."""
+    folder = _shared_folder(spark, "netcdf")
     netcdf3.write(embeddings(spark, sf_dir), folder, "embedding", records_per_file=100)
     return folder
 
@@ -120,6 +124,21 @@ def _as_netcdf(spark: SparkSession, sf_dir: str) -> str:
 _tiles()
 
 
+def _middle_third(spark: SparkSession, sf_dir: str, mode: str) -> DataFrame:
+    """Tiles of the second of two variables over the middle third of the records, read from files with the range pruned."""
+    v = embeddings(spark, sf_dir)
+    shape = v.measured_shape()
+    both = NDArray(v.df.withColumn("negated", -F.col("value")), 2, shape)
+    folder = _shared_folder(spark, "netcdf")
+    netcdf3.write(both, folder, "embedding", records_per_file=100, record_dimension=mode == "record", others=["negated"])
+    settings = TileQuery(variable="negated", low=shape[0] // 3, high=shape[0] * 2 // 3, extraction_shape=V_TILE, partition_mode=mode, operator="max")
+    return run_query(NDArray.read(spark, folder, settings, {"block_size": str(1 << 14)}), settings)
+
+
+for _mode in ("record", "proportional", "calculated"):
+    query(f"netcdf_range_{_mode}", _sql("V", V_TILE, "max(-value) AS value", "c0 >= (SELECT (max(vec_id) + 1) // 3 FROM embeddings) AND c0 < (SELECT (max(vec_id) + 1) * 2 // 3 FROM embeddings)"))(lambda spark, d, m=_mode: _middle_third(spark, d, m))
+
+
 @query("tile_average_double", _sql("V", V_TILE, "round(avg(value), 6) AS value"))
 def tile_average_double(spark, sf_dir):
     return embeddings(spark, sf_dir).tile(V_TILE).average_double().withColumn("value", F.round("value", 6))
@@ -184,6 +203,26 @@ def text_lines(spark, sf_dir):
     return text.as_lines(array.tile(L_TILE).max(), array.name)
 
 
+@query("command_line", f"SELECT 'embedding: groupID = [' || g0 || ', ' || g1 || ']' || chr(9) || value AS line FROM ({_sql('V', V_TILE, MEDIAN)})")
+def command_line(spark, sf_dir):
+    """The lines that the command writes for NetCDF files."""
+    from .__main__ import main
+
+    out = _shared_folder(spark, "lines")
+    main(["median", _as_netcdf(spark, sf_dir), out, "-D", "variable_name=embedding", "-D", f"extraction_shape={','.join(map(str, V_TILE))}"], spark)
+    return spark.read.text(out).withColumnRenamed("value", "line")
+
+
+@query("ordered_tiles", _sql("L", L_TILE, AVERAGE, f"c0 >= {LOW}") + " ORDER BY g0, g1")
+def ordered_tiles(spark, sf_dir):
+    return run_query(lineitem(spark, sf_dir), TileQuery(operator="average", low=LOW, extraction_shape=L_TILE, ordered=True))
+
+
+@query("tile_counts", f"SELECT sum(n_cells)::BIGINT AS n_cells, count(*) FILTER (is_full) AS n_full, count(*) FILTER (NOT is_full) AS n_not_full FROM ({_sql('W', ODD_TILE, COUNTS.format(n=108))})")
+def tile_counts(spark, sf_dir):
+    return four(spark, sf_dir).tile(ODD_TILE).tile_counts()
+
+
 # --- Several files: lineitem's return flags as files
 
 

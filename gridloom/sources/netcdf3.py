@@ -271,6 +271,9 @@ class NetCDF3Reader(DataSourceReader):
 class NetCDF3(DataSource):
     """Options: path, those of TileQuery.from_conf (variable, low, high, partition_mode, ...), block_size, skip_invalid and fill_value (such cells are null).
 
+    A variable along the unlimited dimension lies in the file with gaps, so for
+    it the mode "calculated", which cuts at the file's blocks, is "proportional".
+
     The range of records is pruned by the options low and high, not by filters
     that Spark pushes: in Spark 4.1 what is pushed for one query stays with the
     DataFrame for the next one."""
@@ -315,6 +318,9 @@ def explain_splits(spark: SparkSession, path: str, query: TileQuery, block_bytes
 
 # --- Writing
 
+#: Bytes of cells in one file, which one task holds in memory.
+FILE_BYTES = 64 << 20
+
 
 @dataclass(frozen=True)
 class Column1D:
@@ -352,33 +358,38 @@ def header(dims: Sequence[tuple[str, int]], variables: Sequence[tuple], records:
     return made(begins), begins, record_bytes
 
 
-def write(array: NDArray, folder: str, variable: str = "value", records_per_file: int = 1024, record_dimension: bool = True, fill: int = 0, coordinates: Sequence[Column1D] | None = None) -> DataFrame:
-    """Write an INT array as files of records_per_file records each (one task each, in memory); returns (file, records) once written.
+def write(array: NDArray, folder: str, variable: str = "value", records_per_file: int | None = None, record_dimension: bool = True, fill: int = 0, coordinates: Sequence[Column1D] | None = None, others: Sequence[str] = ()) -> DataFrame:
+    """Write an INT array as files of records_per_file records each (one task each, in memory), by default as many as FILE_BYTES hold; returns (file, records) once written.
 
     Read as one array again by the multi-file mode "concat". Missing cells get
     the fill value, and of repeated ones any stays. coordinates names the
     dimensions and adds a variable for each: INT along the records, FLOAT along
-    the others; the array's variable is the last one. A task that runs again
+    the others. others are INT columns of the array's cells beside value, a
+    variable each; the array's variable is the last one. A task that runs again
     writes the same file anew."""
     shape = array.measured_shape()
     inner = shape[1:]
+    if records_per_file is None:
+        records_per_file = max(1, FILE_BYTES // max(1, 4 * sh.size(inner) * (1 + len(others))))
+    stored = [*((name, name) for name in others), (variable, "value")]
 
     def save(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         first = int(key[0]) * records_per_file
         n = min(records_per_file, shape[0] - first)
-        block = np.full((n, *inner), fill, ">i4")
         at = [rows[f"c{i}"].to_numpy() for i in range(len(shape))]
-        block[(at[0] - first, *at[1:])] = rows["value"].to_numpy()
+        blocks = [np.full((n, *inner), fill, ">i4") for _ in stored]
+        for block, (_, column) in zip(blocks, stored, strict=True):
+            block[(at[0] - first, *at[1:])] = rows[column].to_numpy()
         names = [c.name for c in coordinates] if coordinates else [f"d{i}" for i in range(len(shape))]
         dims = [(names[0], 0 if record_dimension else n), *zip(names[1:], map(int, inner), strict=True)]
         lines = [np.arange(first, first + n).astype(">i4"), *(np.arange(d).astype(">f4") for d in inner)] if coordinates else []
         extra = [(c.name, (i,), 5 if i else 4, {k: v for k, v in (("long_name", c.long_name), ("units", c.units)) if v}) for i, c in enumerate(coordinates or ())]
-        head, _, _ = header(dims, [*extra, (variable, range(len(shape)), 4)], n if record_dimension else 0)
-        cells = block.view(np.uint8).reshape(n, -1)
-        if record_dimension and lines:  # the record's number and its cells, record by record
-            body = np.concatenate([x.view(np.uint8) for x in lines[1:]] + [np.hstack([lines[0].view(np.uint8).reshape(n, 4), cells]).ravel()])
+        head, _, _ = header(dims, [*extra, *((name, range(len(shape)), 4) for name, _ in stored)], n if record_dimension else 0)
+        raw = lambda x: x.reshape(n, -1).view(np.uint8)
+        if record_dimension:  # the record's number and its cells of each variable, record by record
+            body = np.concatenate([x.view(np.uint8) for x in lines[1:]] + [np.hstack([raw(x) for x in (*lines[:1], *blocks)]).ravel()])
         else:
-            body = np.concatenate([x.view(np.uint8) for x in lines] + [cells.ravel()])
+            body = np.concatenate([x.view(np.uint8) for x in lines] + [raw(x).ravel() for x in blocks])
         fs, base = pafs.FileSystem.from_uri(folder) if ":" in folder else (pafs.LocalFileSystem(), folder)
         fs.create_dir(base, recursive=True)
         name, done = f"{base}/_part-{key[0]:09d}.tmp", f"{base}/part-{key[0]:09d}.nc"

@@ -124,6 +124,32 @@ def test_missing_and_broken_files(spark, tmp_path):
         NDArray.read(spark, str(tmp_path), options={"skip_invalid": "false"})
 
 
+def test_several_variables_in_a_file(spark, tmp_path):
+    cells = NDArray.from_range(spark, (7, 3, 2))
+    both = NDArray(cells.df.withColumn("twice", F.col("value") * 2), 3, (7, 3, 2))
+    for records in (True, False):
+        out = str(tmp_path / str(records))
+        netcdf3.write(both, out, "once", records_per_file=4, record_dimension=records, others=["twice"], coordinates=[netcdf3.Column1D(x) for x in "tyx"])
+        for name, factor in (("once", 1), ("twice", 2)):
+            array = NDArray.read(spark, out, TileQuery(variable=name, low=2, high=6, partition_mode="calculated"), {"block_size": "40"})
+            assert array.df.count() == 24 and array.with_flat_id().where(F.col("gid") * factor != F.col("value")).count() == 0
+
+
+def test_files_are_bounded_by_bytes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(netcdf3, "FILE_BYTES", 100)
+    assert [r["records"] for r in netcdf3.write(NDArray.from_range(spark, (7, 3, 2)), str(tmp_path), "v").collect()] == [4, 3]
+
+
+def test_generate(spark, tmp_path):
+    assert main(["generate", str(tmp_path / "a"), "--shape", "6,3,4"], spark) == 0
+    array = NDArray.read(spark, str(tmp_path / "a"))
+    assert array.name == "windspeed1" and array.shape == (6, 3, 4)
+    assert array.with_flat_id().where(F.col("gid") != F.col("value")).count() == 0
+    assert main(["generate", str(tmp_path / "b"), "--shape", "20,30,10", "--gaussian", "5", "--variable", "w"], spark) == 0
+    found = NDArray.read(spark, str(tmp_path / "b"), TileQuery(variable="w")).df.agg(F.avg("value").alias("mean"), F.min("value").alias("least")).first()
+    assert found["least"] == 0 and 29 < found["mean"] < 34  # 40 * sqrt(2 / pi) = 31.9, fractions dropped
+
+
 def test_command_line(spark, folder, tmp_path):
     out = tmp_path / "out"
     assert main(["average", folder, str(out), "-D", "variable_name=wind", "-D", "extraction_shape=2,3,5,2"], spark) == 0

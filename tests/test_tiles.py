@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from gridloom import NDArray, TileQuery
@@ -131,3 +132,23 @@ def test_slice_and_flat_id(w):
     part = w.slice((1, 2, 3, 0), (2, 1, 2, 4))
     assert part.df.count() == 16
     assert part.with_flat_id().where(F.col("gid") != F.col("value")).count() == 0
+
+
+def test_ordered_results(spark):
+    array = NDArray.from_range(spark, (40, 7), partitions=5)
+    got = run_query(array, TileQuery(operator="max", extraction_shape=(3, 2), ordered=True)).collect()
+    keys = [(r["g0"], r["g1"]) for r in got]
+    assert keys == sorted(keys) and len(set(keys)) == 14 * 4
+
+
+def test_cells_outside_the_range_are_counted(spark):
+    array, seen = NDArray.from_range(spark, (40, 7)), Observation("cells")
+    out = run_query(array, TileQuery(operator="average", low=10, high=25, extraction_shape=(5, 7)), seen)
+    assert len(out.collect()) == 3
+    assert seen.get == {"n_cells": 280, "n_invalid": 175}
+
+
+def test_tile_counts(spark):
+    array = NDArray.from_range(spark, (10, 7))
+    assert tuple(array.tile((3, 7)).tile_counts().first()) == (70, 3, 1)
+    assert tuple(array.where_records(90).tile((3, 7)).tile_counts().first()) == (0, 0, 0)
