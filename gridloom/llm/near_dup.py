@@ -38,7 +38,7 @@ _LOW32 = _U(0xFFFFFFFF)
 
 @dataclass(frozen=True)
 class Settings:
-    """counters: the size of the array of word frequencies, a power of two."""
+    """bands: 64 at most. counters: the size of the array of word frequencies, a power of two."""
 
     words: int = 5
     bands: int = 16
@@ -47,6 +47,10 @@ class Settings:
     counters: int = 1 << 20
     seed: int = 1
 
+    def __post_init__(self) -> None:
+        if not 1 <= self.bands <= 64:
+            raise ValueError(f"1 to 64 bands are possible, not {self.bands}")
+
 
 def _mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads their bits."""
@@ -370,8 +374,9 @@ def linked_texts(docs: DataFrame, s: Settings = Settings()) -> tuple[DataFrame,
     group = group.select("band", "hash", "a", "pivot", "id", "class", "total", similarity.alias("similarity"), (F.col("pivot") - shared).alias("lost"), (F.col("total") - shared).alias("added"))
     group = cut(group)
     several = group.groupBy("band", "hash").agg(F.max_by("class", own).alias("main"), (F.min("class") != F.max("class")).alias("several"), F.count(F.lit(1)).alias("n")).where("several AND n > 2")
-    still = group.join(cut(several.select("band", "hash", "main")), ["band", "hash"]).where(~own).join(texts.select("id", "bands"), "id")
-    still = cut(still.withColumn("same", F.collect_set("band").over(Window.partitionBy("a", "id"))))  # the bands where id meets this pivot
+    still = group.join(cut(several.select("band", "hash", "main")), ["band", "hash"]).where(~own)
+    bit = F.expr("shiftleft(1L, band)")
+    still = cut(still.withColumn("same", F.bit_or(bit).over(Window.partitionBy("a", "id"))))  # a bit for each band where id meets this pivot
     t, slack = s.threshold, 1e-6
     far = (F.abs(F.col("x_similarity") - F.col("y_similarity")) > 1 - t + 1e-9) | (F.least("x_total", "y_total") < (t - 1e-9) * F.greatest("x_total", "y_total"))
     sides = ("id", "class", "total", "similarity", "lost", "added")
@@ -383,9 +388,10 @@ def linked_texts(docs: DataFrame, s: Settings = Settings()) -> tuple[DataFrame,
     enough = needed <= (1 + t) * F.least("x_lost", "y_lost") + slack
     can = still.where(t * F.col("added") <= (1 - t) * (F.col("pivot") - F.col("lost")) + slack)
     # What holds in one bucket of a pair holds in all with the same pivot, so the first of these decides; other pivots may tell otherwise.
-    first = ~F.exists("x_same", lambda k: (k < F.col("band")) & (F.get("x_bands", k) == F.get("y_bands", k)))
-    left = side(can.where("class <> main").withColumnRenamed("bands", "x_bands").withColumnRenamed("same", "x_same"), "x", "band", "hash", "pivot", "x_bands", "x_same")
-    right = side(can.withColumnRenamed("bands", "y_bands"), "y", "band", "hash", "y_bands")
+    # A pivot has one bucket in each band, so two texts that both meet it there are in the same.
+    first = F.col("x_same").bitwiseAND(F.col("y_same")).bitwiseAND(bit - 1) == 0
+    left = side(can.where("class <> main").withColumnRenamed("same", "x_same"), "x", "band", "hash", "pivot", "x_same")
+    right = side(can.withColumnRenamed("same", "y_same"), "y", "band", "hash", "y_same")
     bare = left.join(right, ["band", "hash"]).where((F.col("x_class") != F.col("y_class")) & ~far & enough & first).select(*pair)
 
     # With one: of the additions that several classes hold, rarest first, each keeps those up to which the rest (its own weight counted) is

@@ -211,3 +211,8 @@ def test_members_that_only_a_few_additions_link(spark, monkeypatch):
     expected = brute(docs, s)
     assert set(expected.values()) == set(range(0, 48, 3))
     assert classes_of(spark, docs, s) == expected
+
+
+def test_more_bands_than_bits():
+    with pytest.raises(ValueError, match="64 bands"):
+        near_dup.Settings(bands=65)
