@@ -5,6 +5,7 @@ shuffle there is, on the tile's columns."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Observation, Window
@@ -13,6 +14,7 @@ from pyspark.sql import types as T
 
 from ..functions import shape as sh
 from ..plans.config import TileQuery
+from ..sources.folders import shared_folder
 from .array import NDArray
 
 
@@ -69,13 +71,14 @@ class TiledArray:
         grouped = self.array.df.select(gid, "value").groupBy("gid").agg(F.max("value").alias("value"))
         return grouped.select("gid", *(c.alias(k) for k, c in zip(self.keys, sh.inflated_columns(shape, "gid"), strict=True)), "value")
 
-    def median(self, details: bool = False, full_tiles_only: bool = False, plan: str = "percentile") -> DataFrame:
+    def median(self, details: bool = False, full_tiles_only: bool = False, plan: str = "percentile", counters: int = 4096) -> DataFrame:
         """The upper median: of n values in order, the one at n DIV 2.
 
         plan "percentile" holds a tile's distinct values in memory while it
         aggregates; "histogram" counts (tile, value) first and finds the middle
         of sorted counts, which can spill, for very large tiles; "collect" sorts
-        the collected values."""
+        the collected values; "refine", for whole numbers, keeps so many counters
+        for a tile whatever its cells, and reads the array several times."""
         kind = self.array.df.schema["value"].dataType
         if plan == "percentile":
             out = self.agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY value DESC)").cast(kind).alias("value"), *self._extras(True))
@@ -83,18 +86,53 @@ class TiledArray:
             values = F.sort_array(F.collect_list("value"))
             out = self.agg(F.get(values, F.call_function("div", F.size(values), F.lit(2)).cast("int")).alias("value"), *self._extras(True))
         elif plan == "histogram":
-            counts = self.agg_by_value()
-            tile = Window.partitionBy(*self.keys)
-            up_to = tile.orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-            ranked = counts.withColumn("seen", F.sum("n").over(up_to)).withColumn("n_cells", F.sum("n").over(tile))
-            middle = F.call_function("div", F.col("n_cells"), F.lit(2))
-            found = ranked.where((F.col("seen") > middle) & (F.col("seen") - F.col("n") <= middle))
-            out = found.select(*self.keys, "value", "n_cells", (F.col("n_cells") == sh.size(self.extraction)).alias("is_full"))
+            out = upper_middle(self.agg_by_value(), self.keys).withColumn("is_full", F.col("n_cells") == sh.size(self.extraction))
+        elif plan == "refine":
+            out = self._refined(counters).withColumn("is_full", F.col("n_cells") == sh.size(self.extraction))
         else:
             raise ValueError(f"no such plan: {plan}")
         out = out.where("is_full") if full_tiles_only else out
         return out if details else out.select(*self.keys, "value")
 
+    def _refined(self, counters: int) -> DataFrame:
+        """(tile, value, n_cells): the upper median by refining ranges of values.
+
+        A tile begins with the range of its values. Each pass cuts the range into
+        at most so many equal parts, counts the cells in each, and goes on with
+        the part that holds the middle, until that has one value: three passes
+        at most for INT with 4096 counters, beside the one for the ranges. A task
+        holds counters of the tiles that it reads alone, and gives these to the
+        shuffle, not cells. Ranges are kept in the shared folder between passes;
+        Spark broadcasts them to the cells if their files are small enough for
+        that, and else joins them by tile."""
+        kind = self.array.df.schema["value"].dataType
+        if not isinstance(kind, T.IntegralType):
+            raise ValueError(f"the plan refine needs whole numbers, not {kind.simpleString()}")
+        wide = "decimal(20,0)" if isinstance(kind, T.LongType) else "bigint"  # the width of a range of BIGINT has no BIGINT
+        cells = self.cells.where("value IS NOT NULL").select(*self.keys, F.col("value").cast(wide).alias("value"))
+        spark = cells.sparkSession
+
+        def kept(df: DataFrame) -> DataFrame:
+            folder = shared_folder(spark, "ranges")
+            df.write.parquet(folder)
+            return spark.read.parquet(folder)
+
+        state = ("low", "high", "at", "n_cells")
+        first = cells.groupBy(*self.keys).agg(F.min("value").alias("low"), F.max("value").alias("high"), F.count(F.lit(1)).alias("n_cells"))
+        now = kept(first.withColumn("at", F.call_function("div", F.col("n_cells"), F.lit(2))))  # at: the place of the middle in the range
+        found = now.where("low = high")
+        left = now.where("low < high")
+        while not left.isEmpty():
+            width = (F.call_function("div", F.col("high") - F.col("low"), F.lit(counters)) + 1).cast(wide)
+            inside = cells.join(left.withColumn("width", width), self.keys).where(F.col("value").between(F.col("low"), F.col("high")))
+            counted = inside.groupBy(*self.keys, "at", "n_cells", F.call_function("div", F.col("value") - F.col("low"), F.col("width")).alias("part")).agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
+            upto = F.sum("n").over(Window.partitionBy(*self.keys).orderBy("part"))
+            ranked = counted.withColumn("upto", upto).where((F.col("upto") > F.col("at")) & (F.col("upto") - F.col("n") <= F.col("at")))
+            now = kept(ranked.withColumn("at", F.col("at") - (F.col("upto") - F.col("n"))).select(*self.keys, *state))
+            found = found.unionByName(now.where("low = high"))
+            left = now.where("low < high")
+        return found.select(*self.keys, F.col("low").cast(kind).alias("value"), "n_cells")
+
     def agg_by_value(self) -> DataFrame:
         """(tile, value, n): how often each value occurs."""
         return self.cells.groupBy(*self.keys, "value").agg(F.count(F.lit(1)).alias("n"))
@@ -120,25 +158,40 @@ class TiledArray:
         corner = [c.alias(f"corner{i}") for i, c in enumerate(sh.corner_columns(self.keys, self.extraction))]
         return tiles.select(*self.keys, *corner, sh.flat_column(shape, self.keys).alias("gid"))
 
-    def run(self, operator: str) -> DataFrame:
+    def run(self, operator: str, details: bool = False) -> DataFrame:
         """One of plans.config.OPERATORS."""
         by_name = {"average": self.average, "max": self.max, "simplemax": self.max, "median": self.median, "simplemedian": self.median, "nulltest": self.null_scan}
         if operator not in by_name:
             raise ValueError(f"no such operator: {operator!r}; there are {', '.join(by_name)}")
-        return by_name[operator]()
+        return by_name[operator](details=True) if details and operator != "nulltest" else by_name[operator]()
+
+
+def upper_middle(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, value, n_cells) of (keys, value, n): the upper median of values that occur n times each. Sorted counts can spill."""
+    tile = Window.partitionBy(*keys)
+    up_to = tile.orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = counts.withColumn("seen", F.sum("n").over(up_to)).withColumn("n_cells", F.sum("n").over(tile))
+    middle = F.call_function("div", F.col("n_cells"), F.lit(2))
+    return ranked.where((F.col("seen") > middle) & (F.col("seen") - F.col("n") <= middle)).select(*keys, "value", "n_cells")
 
 
-def run_query(array: NDArray, query: TileQuery, seen: Observation | None = None) -> DataFrame:
+def run_query(array: NDArray, query: TileQuery, seen: Observation | None = None, tiles: Observation | None = None) -> DataFrame:
     """A whole query: records, tiles, operator, and the order or the number of partitions of the result.
 
     seen, if given, has n_cells and n_invalid (those outside the range of
     records) of all cells read once the result has been computed. Filters aren't
     pushed below it, and cells of records that the scan leaves out aren't seen:
-    read the array with noscan=False to count these, too."""
+    read the array with noscan=False to count these, too. tiles, if given, has
+    n_tiles, n_full and n_not_full of the result in the same run."""
     if seen is not None:
         inside = F.col("c0").between(query.low, query.high - 1)
         array = replace(array, df=array.df.observe(seen, F.count(F.lit(1)).alias("n_cells"), F.count_if(~inside).alias("n_invalid")))
-    out = array.where_records(query.low, query.high).tile(query.extraction_shape).run(query.operator)
+    tiled = array.where_records(query.low, query.high).tile(query.extraction_shape)
+    if tiles is None or query.operator == "nulltest":
+        out = tiled.run(query.operator)
+    else:
+        out = tiled.run(query.operator, details=True).observe(tiles, F.count(F.lit(1)).alias("n_tiles"), F.count_if("is_full").alias("n_full"), F.count_if(~F.col("is_full")).alias("n_not_full"))
+        out = out.drop("n_cells", "is_full")
     if query.ordered:
         return out.orderBy(*(c for c in out.columns if c != "value"))
     return out.repartition(query.num_partitions) if query.num_partitions > 1 else out

@@ -14,6 +14,7 @@ class TileQuery:
     """Which variable, which records, which tiles, which operator.
 
     variable: "" is the last one in a file. low and high: records low <= c0 < high.
+    slice_corner and slice_shape: a rectangle, of which alone a source reads.
     extraction_shape: None is one cell for each tile. ordered: results come in the
     order of their tile's index, over all partitions. sample_ratio, placement_mode,
     use_combiner, holistic and logfile are accepted and change nothing: Spark
@@ -36,8 +37,12 @@ class TileQuery:
     holistic: bool = False
     logfile: str = ""
     ordered: bool = False
+    slice_corner: tuple[int, ...] | None = None
+    slice_shape: tuple[int, ...] | None = None
 
     def __post_init__(self) -> None:
+        if (self.slice_corner is None) != (self.slice_shape is None) or len(self.slice_corner or ()) != len(self.slice_shape or ()):
+            raise ValueError(f"a slice needs a corner and a shape of one rank: {self.slice_corner}, {self.slice_shape}")
         if self.extraction_shape is not None and any(e < 1 for e in self.extraction_shape):
             raise ValueError(f"extraction_shape needs positive sizes: {self.extraction_shape}")
 
@@ -75,7 +80,7 @@ def _count(raw: str) -> int:
 
 
 _PARSERS = {f.name: {"str": str, "int": int, "float": float, "bool": _truth}.get(f.type, str) for f in fields(TileQuery)} | {
-    "extraction_shape": lambda raw: tuple(int(x) for x in raw.split(",")) if raw else None,
+    **dict.fromkeys(("extraction_shape", "slice_corner", "slice_shape"), lambda raw: tuple(int(x) for x in raw.split(",")) if raw else None),
     "operator": lambda raw: raw.lower() if raw.lower() in OPERATORS else "",
     "partition_mode": _one_of(("proportional", "record", "calculated"), "proportional"),
     "placement_mode": _one_of(("roundrobin", "sampling", "implicit"), "roundrobin"),

@@ -52,11 +52,15 @@ def by_blocks(shape: Sequence[int], begin: int, cell_bytes: int, block_bytes: in
         cell = end
 
 
-def clip_records(r: Rectangle, low: int, high: int) -> Rectangle | None:
-    """The part of a rectangle with low <= record < high."""
-    (c, *cs), (s, *ss) = r
-    a, b = max(c, low), min(c + s, high)
-    return ((a, *cs), (b - a, *ss)) if a < b else None
+def clip(r: Rectangle, window: Sequence[tuple[int, int]]) -> Rectangle | None:
+    """What a rectangle shares with (first, end) of each dimension; dimensions that window doesn't have stay whole."""
+    corner, shape = list(r[0]), list(r[1])
+    for i, (first, end) in enumerate(window):
+        a, b = max(corner[i], first), min(corner[i] + shape[i], end)
+        if a >= b:
+            return None
+        corner[i], shape[i] = a, b - a
+    return tuple(corner), tuple(shape)
 
 
 def record_plan(spark: SparkSession, shape: Sequence[int], step: int) -> DataFrame:

@@ -7,18 +7,18 @@ with both dimensions split, a dense array of four dimensions."""
 from __future__ import annotations
 
 from collections.abc import Callable
-from uuid import uuid4
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import shape as sh
-from .operators import chunks, multifile
+from .operators import blocks, chunks, multifile
 from .operators.array import NDArray
 from .operators.tile import run_query
 from .plans import partition
 from .plans.config import TileQuery
 from .sources import netcdf3, text
+from .sources.folders import shared_folder
 
 L_TILE, V_TILE, T_TILE, W_TILE, ODD_TILE = (100, 2), (10, 8), (6, 10), (2, 3, 5, 2), (3, 4, 3, 3)
 LOW, HIGH = 100, 2000
@@ -104,19 +104,9 @@ def _vector_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.to_chunks(v, (V_TILE[0], v.measured_shape()[1]))
 
 
-def _shared_folder(spark: SparkSession, name: str) -> str:
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if not shared:
-            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
-        sc.setCheckpointDir(shared)
-    return f"{sc.getCheckpointDir()}/{name}-{uuid4().hex}"
-
-
 def _as_netcdf(spark: SparkSession, sf_dir: str) -> str:
     """V written as files of 100 records in the shared folder."""
-    folder = _shared_folder(spark, "netcdf")
+    folder = shared_folder(spark, "netcdf")
     netcdf3.write(embeddings(spark, sf_dir), folder, "embedding", records_per_file=100)
     return folder
 
@@ -129,7 +119,7 @@ def _middle_third(spark: SparkSession, sf_dir: str, mode: str) -> DataFrame:
     v = embeddings(spark, sf_dir)
     shape = v.measured_shape()
     both = NDArray(v.df.withColumn("negated", -F.col("value")), 2, shape)
-    folder = _shared_folder(spark, "netcdf")
+    folder = shared_folder(spark, "netcdf")
     netcdf3.write(both, folder, "embedding", records_per_file=100, record_dimension=mode == "record", others=["negated"])
     settings = TileQuery(variable="negated", low=shape[0] // 3, high=shape[0] * 2 // 3, extraction_shape=V_TILE, partition_mode=mode, operator="max")
     return run_query(NDArray.read(spark, folder, settings, {"block_size": str(1 << 14)}), settings)
@@ -139,6 +129,71 @@ for _mode in ("record", "proportional", "calculated"):
     query(f"netcdf_range_{_mode}", _sql("V", V_TILE, "max(-value) AS value", "c0 >= (SELECT (max(vec_id) + 1) // 3 FROM embeddings) AND c0 < (SELECT (max(vec_id) + 1) * 2 // 3 FROM embeddings)"))(lambda spark, d, m=_mode: _middle_third(spark, d, m))
 
 
+# --- Blocks: no cell is a row. Files of 100 records; tiles of ten records end where files and blocks do, tiles of seven don't
+
+
+EDGE_TILE = (7, 5)
+
+
+def _blocks(spark: SparkSession, sf_dir: str, tile: tuple[int, ...], operator: str) -> DataFrame:
+    settings = TileQuery(extraction_shape=tile, partition_mode="proportional", query_dependent=True)
+    return blocks.BlockArray.read(spark, _as_netcdf(spark, sf_dir), settings, {"block_size": str(1 << 14)}).tile(tile).run(operator)
+
+
+for _operator, _aggregate in (("average", AVERAGE), ("max", MAX), ("median", MEDIAN)):
+    query(f"netcdf_block_{_operator}", _sql("V", V_TILE, _aggregate))(lambda spark, d, o=_operator: _blocks(spark, d, V_TILE, o))
+    query(f"netcdf_block_edges_{_operator}", _sql("V", EDGE_TILE, _aggregate))(lambda spark, d, o=_operator: _blocks(spark, d, EDGE_TILE, o))
+
+
+def _window_sql() -> str:
+    return "c0 >= (SELECT (max(vec_id) + 1) // 4 FROM embeddings) AND c0 < (SELECT (max(vec_id) + 1) // 4 + (max(vec_id) + 1) // 2 FROM embeddings) AND c1 BETWEEN 5 AND 24"
+
+
+def _window(spark: SparkSession, sf_dir: str, **more) -> tuple[str, TileQuery]:
+    """V as files, and a slice of it: half of the records, from a quarter on, and twenty of the places."""
+    records = embeddings(spark, sf_dir).measured_shape()[0]
+    return _as_netcdf(spark, sf_dir), TileQuery(slice_corner=(records // 4, 5), slice_shape=(records // 2, 20), partition_mode="proportional", **more)
+
+
+@query("netcdf_slice", f"SELECT c0::INTEGER AS c0, c1::INTEGER AS c1, value FROM ({CELLS['V']}) WHERE {_window_sql()}")
+def netcdf_slice(spark, sf_dir):
+    return NDArray.read(spark, *_window(spark, sf_dir)).df
+
+
+@query("netcdf_slice_median", _sql("V", V_TILE, MEDIAN, _window_sql()))
+def netcdf_slice_median(spark, sf_dir):
+    return blocks.BlockArray.read(spark, *_window(spark, sf_dir, extraction_shape=V_TILE)).tile(V_TILE).run("median")
+
+
+@query("netcdf_manifest", f"SELECT c0 // 100 AS number, 'part-' || lpad((c0 // 100)::VARCHAR, 9, '0') || '.nc' AS file, 'embedding' AS name, count(DISTINCT c0) AS records, min(c0) AS start, count(*) AS n_cells FROM ({CELLS['V']}) GROUP BY 1")
+def netcdf_manifest(spark, sf_dir):
+    found = netcdf3.manifest(spark, _as_netcdf(spark, sf_dir))
+    cells = F.aggregate("shape", F.lit(1).cast("long"), lambda a, b: a * b)
+    return found.select("number", F.substring_index("file", "/", -1).alias("file"), "name", "records", "start", cells.alias("n_cells"))
+
+
+@query("netcdf_offsets", f"SELECT c0::INTEGER AS c0, c1::INTEGER AS c1, value FROM ({CELLS['V']})")
+def netcdf_offsets(spark, sf_dir):
+    """The cells of V, each read again at the place in its file that the source gives for it."""
+    cells = netcdf3.cells_with_offsets(spark, _as_netcdf(spark, sf_dir), TileQuery(partition_mode="proportional"))
+    return netcdf3.values_at(cells, "int").select("c0", "c1", F.col("found").alias("value"))
+
+
+@query("tile_median_by_refining", _sql("L", L_TILE, MEDIAN))
+def tile_median_by_refining(spark, sf_dir):
+    return lineitem(spark, sf_dir).tile(L_TILE).median(plan="refine", counters=8)
+
+
+@query("median_counters", f"SELECT count(*) AS n_tiles, count(*) FILTER (is_full) AS n_full, count(*) FILTER (NOT is_full) AS n_not_full, sum(value)::BIGINT AS total FROM ({_sql('W', ODD_TILE, MEDIAN + ', ' + COUNTS.format(n=108))})")
+def median_counters(spark, sf_dir):
+    """What one run of the median counts beside its result, and the sum of the result as it was written."""
+    seen = Observation()
+    folder = shared_folder(spark, "medians")
+    run_query(four(spark, sf_dir), TileQuery(operator="median", extraction_shape=ODD_TILE), tiles=seen).write.parquet(folder)
+    counted = seen.get
+    return spark.read.parquet(folder).agg(*(F.lit(counted[n]).cast("long").alias(n) for n in ("n_tiles", "n_full", "n_not_full")), F.sum("value").alias("total"))
+
+
 @query("tile_average_double", _sql("V", V_TILE, "round(avg(value), 6) AS value"))
 def tile_average_double(spark, sf_dir):
     return embeddings(spark, sf_dir).tile(V_TILE).average_double().withColumn("value", F.round("value", 6))
@@ -203,16 +258,26 @@ def text_lines(spark, sf_dir):
     return text.as_lines(array.tile(L_TILE).max(), array.name)
 
 
-@query("command_line", f"SELECT 'embedding: groupID = [' || g0 || ', ' || g1 || ']' || chr(9) || value AS line FROM ({_sql('V', V_TILE, MEDIAN)})")
-def command_line(spark, sf_dir):
-    """The lines that the command writes for NetCDF files."""
+def _command(spark: SparkSession, sf_dir: str, tool: str, *more: str) -> DataFrame:
+    """The lines that a command writes for NetCDF files."""
     from .__main__ import main
 
-    out = _shared_folder(spark, "lines")
-    main(["median", _as_netcdf(spark, sf_dir), out, "-D", "variable_name=embedding", "-D", f"extraction_shape={','.join(map(str, V_TILE))}"], spark)
+    out = shared_folder(spark, "lines")
+    settings = ["variable_name=embedding", f"extraction_shape={','.join(map(str, V_TILE))}", *more]
+    main([tool, _as_netcdf(spark, sf_dir), out, *(x for s in settings for x in ("-D", s))], spark)
     return spark.read.text(out).withColumnRenamed("value", "line")
 
 
+def _command_sql(aggregate: str, where: str = "TRUE") -> str:
+    return f"SELECT 'embedding: groupID = [' || g0 || ', ' || g1 || ']' || chr(9) || value AS line FROM ({_sql('V', V_TILE, aggregate, where)})"
+
+
+query("command_line", _command_sql(MEDIAN))(lambda spark, d: _command(spark, d, "median"))
+query("command_average", _command_sql(AVERAGE))(lambda spark, d: _command(spark, d, "average"))
+query("command_max", _command_sql(MAX, "c0 >= 100 AND c0 < 400"))(lambda spark, d: _command(spark, d, "max", "low_filter=100", "high_filter=400"))
+query("command_identity", _command_sql(MAX))(lambda spark, d: _command(spark, d, "identity", "operator=simpleMax"))
+
+
 @query("ordered_tiles", _sql("L", L_TILE, AVERAGE, f"c0 >= {LOW}") + " ORDER BY g0, g1")
 def ordered_tiles(spark, sf_dir):
     return run_query(lineitem(spark, sf_dir), TileQuery(operator="average", low=LOW, extraction_shape=L_TILE, ordered=True))
@@ -231,9 +296,20 @@ def _by_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "lineitem").select(*columns, F.col("l_returnflag").alias("file"))
 
 
-@query("multi_file_combine", _sql("L", L_TILE, f"{MAX}, count(*) AS n", "TRUE"))
+FLAG_CELLS = """SELECT a.c0, a.c1, coalesce(b.value, 0) AS value
+    FROM (SELECT file, c0, unnest(range(0, d1)) AS c1 FROM (SELECT file, d1, unnest(range(0, d0)) AS c0 FROM (SELECT l_returnflag AS file, max(l_orderkey) + 1 AS d0, max(l_linenumber) + 1 AS d1 FROM lineitem GROUP BY 1))) AS a
+    LEFT JOIN (SELECT l_returnflag AS file, l_orderkey AS c0, l_linenumber AS c1, max(CAST(trunc(l_quantity) AS INTEGER)) AS value FROM lineitem GROUP BY 1, 2, 3) AS b ON a.file = b.file AND a.c0 = b.c0 AND a.c1 = b.c1"""
+
+
+@query("multi_file_combine", f"SELECT CAST(c0 // {L_TILE[0]} AS INTEGER) AS g0, CAST(c1 // {L_TILE[1]} AS INTEGER) AS g1, max(value) AS value, count(*) AS n FROM ({FLAG_CELLS}) GROUP BY 1, 2")
 def multi_file_combine(spark, sf_dir):
-    overlaid = NDArray(_by_flag(spark, sf_dir).drop("file"), 2)  # one scan; whatever files there are, all keep their own coordinates
+    """A NetCDF file for each return flag (the largest quantity of each order and line number, 0 where there is none), read as one array with the files overlaid."""
+    cells = _by_flag(spark, sf_dir).groupBy("file", "c0", "c1").agg(F.max("value").alias("value"))
+    folder = shared_folder(spark, "flags")
+    for flag in [r["file"] for r in cells.select("file").distinct().orderBy("file").collect()]:  # a handful of return flags
+        own = NDArray(cells.where(F.col("file") == flag).drop("file"), 2)
+        netcdf3.write(own, f"{folder}/{flag}", "quantity", records_per_file=own.measured_shape()[0])
+    overlaid = NDArray.read(spark, f"{folder}/*/part-*.nc", TileQuery(variable="quantity", multi_file_mode="combine", partition_mode="proportional"))
     return overlaid.tile(L_TILE).agg(F.max("value").alias("value"), F.count("value").alias("n"))
 
 

@@ -1,161 +1,43 @@
-"""NetCDF classic files (CDF-1, CDF-2) as a Spark data source.
+"""NetCDF classic files as a Spark data source and sink.
 
-A reader parses headers only when it plans; tasks seek to their rectangles and
-give Arrow batches of cells. Paths go through pyarrow's file systems, so they
-may be in any store that those reach. write() makes such files from a dense
-array, one for each range of records."""
+A manifest lists the files of a path with their geometry and the records before
+each; headers are parsed in tasks, once, and the manifest serves all reads. The
+reader's tasks seek to their rectangles and give Arrow batches of cells, or of
+blocks (a rectangle's values in one row). Only the byte runs of the records and
+of the slice that a query asks for are read. The writer streams records into
+files that appear when the whole write has been done."""
 
 from __future__ import annotations
 
-import fnmatch
-import glob
-import os
-import re
-import struct
-from collections.abc import Iterator, Sequence
+import json
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from uuid import uuid4
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.dataset as pads
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 from ..functions import shape as sh
 from ..operators.array import NDArray
 from ..plans import partition as plan
-from ..plans.config import TileQuery
-
-# From the published format: type number -> NumPy type of the file, SQL type.
-TYPES = {1: (">i1", "tinyint"), 2: ("S1", "tinyint"), 3: (">i2", "smallint"), 4: (">i4", "int"), 5: (">f4", "float"), 6: (">f8", "double")}
-DIMENSION, VARIABLE, ATTRIBUTE = 10, 11, 12
-BATCH_CELLS = 1 << 18
-
-
-@dataclass(frozen=True)
-class Variable:
-    name: str
-    shape: tuple[int, ...]
-    dims: tuple[str, ...]
-    kind: int
-    begin: int
-    record_bytes: int | None  # distance of records, for variables on the unlimited dimension
-
-    @property
-    def cell_bytes(self) -> int:
-        return np.dtype(TYPES[self.kind][0]).itemsize
+from ..plans.config import INT_MAX, TileQuery
+from .cdf import TYPES, HeaderError, Variable, header, list_files, open_file, parse_header, read_header, read_rectangle, reads, split, store_of
+from .folders import shared_folder
 
+__all__ = ["Column1D", "HeaderError", "NetCDF3", "Variable", "explain_splits", "header", "cells_with_offsets", "list_files", "manifest", "parse_header", "read_array", "read_blocks", "read_header", "values_at", "write"]
 
-class HeaderError(ValueError):
-    """The bytes aren't a NetCDF classic header."""
-
+#: Cells of one batch, and of one block.
+BATCH_CELLS = 1 << 18
 
-class _Cursor:
-    def __init__(self, data: bytes) -> None:
-        self.data, self.at = data, 0
 
-    def take(self, n: int) -> bytes:
-        if self.at + n > len(self.data):
-            raise EOFError
-        self.at += n
-        return self.data[self.at - n : self.at]
-
-    def number(self) -> int:
-        return struct.unpack(">I", self.take(4))[0]
-
-    def padded(self, n: int) -> bytes:
-        out = self.take(n)
-        self.take(-n % 4)
-        return out
-
-    def name(self) -> str:
-        return self.padded(self.number()).decode()
-
-    def listed(self, tag: int) -> range:
-        found, n = self.number(), self.number()
-        if found not in (0, tag) or (found == 0 and n):
-            raise HeaderError(f"list tag {found}, not {tag}")
-        return range(n)
-
-    def attributes(self) -> None:
-        for _ in self.listed(ATTRIBUTE):
-            self.name()
-            kind, n = self.number(), self.number()
-            if kind not in TYPES:
-                raise HeaderError(f"type {kind}")
-            self.padded(n * np.dtype(TYPES[kind][0]).itemsize)
-
-
-def parse_header(data: bytes) -> list[Variable]:
-    """The variables of a header; EOFError if data ends before it does."""
-    c = _Cursor(data)
-    magic = c.take(4)
-    if magic[:3] != b"CDF" or magic[3] not in (1, 2):
-        raise HeaderError("not a NetCDF classic file")
-    records = c.number()
-    dims = [(c.name(), c.number()) for _ in c.listed(DIMENSION)]
-    c.attributes()
-    raw = []
-    for _ in c.listed(VARIABLE):
-        name = c.name()
-        own = [c.number() for _ in range(c.number())]
-        c.attributes()
-        kind, stored = c.number(), c.number()
-        begin = struct.unpack(">Q", c.take(8))[0] if magic[3] == 2 else c.number()
-        if kind not in TYPES or any(d >= len(dims) for d in own):
-            raise HeaderError(f"variable {name}")
-        raw.append((name, own, kind, stored, begin))
-    on_records = [r for r in raw if r[1] and dims[r[1][0]][1] == 0]
-    single = len(on_records) == 1  # then its records aren't padded
-    length = lambda r: sh.size([dims[d][1] for d in r[1][1:]] or [1]) * np.dtype(TYPES[r[2]][0]).itemsize
-    record_bytes = sum(length(r) if single else length(r) + -length(r) % 4 for r in on_records)
-    return [
-        Variable(name, tuple(records if i == 0 and dims[d][1] == 0 else dims[d][1] for i, d in enumerate(own)), tuple(dims[d][0] for d in own), kind, begin, record_bytes if own and dims[own[0]][1] == 0 else None)
-        for name, own, kind, _, begin in raw
-    ]
-
-
-def _open(path: str):
-    fs, inner = pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
-    return fs.open_input_file(inner)
-
-
-def read_header(path: str) -> list[Variable]:
-    with _open(path) as f:
-        n = 1 << 16
-        while True:
-            data = f.read_at(min(n, f.size()), 0)
-            try:
-                return parse_header(data)
-            except EOFError:
-                if n >= f.size():
-                    raise HeaderError(f"{path} ends inside its header") from None
-                n *= 4
-
-
-def list_files(path: str) -> list[str]:
-    """Files of a path, a folder, or a pattern, in order; hidden ones aren't data."""
-    if "://" in path or path.startswith("file:"):
-        pattern = re.search(r"[^/]*[*?\[].*$", path)
-        if pattern:  # in any store: the folder before the first part with a pattern is listed, and what is below matched part by part
-            folder = path[: pattern.start()].rstrip("/")
-            fs, base = pafs.FileSystem.from_uri(folder)
-            parts = pattern[0].split("/")
-            below = [i for i in fs.get_file_info(pafs.FileSelector(base, recursive=len(parts) > 1)) if i.type == pafs.FileType.File]
-            inner = [i.path[len(base.rstrip("/")) + 1 :] for i in below]
-            fits = lambda name: len(name) == len(parts) and all(map(fnmatch.fnmatchcase, name, parts)) and name[-1][0] not in "._"
-            return sorted(f"{folder}/{x}" for x in inner if fits(x.split("/")))
-        fs, inner = pafs.FileSystem.from_uri(path)
-        info = fs.get_file_info(inner)
-        if info.type != pafs.FileType.Directory:
-            return [path]
-        prefix = path.rstrip("/")
-        return sorted(f"{prefix}/{i.base_name}" for i in fs.get_file_info(pafs.FileSelector(inner)) if i.type == pafs.FileType.File and i.base_name[0] not in "._")
-    found = sorted(glob.glob(f"{path.rstrip('/')}/*") if not any(x in path for x in "*?[") and os.path.isdir(path) else glob.glob(path))
-    return [f for f in found if os.path.isfile(f) and os.path.basename(f)[0] not in "._"]
+# --- Which files, and where their records are
 
 
 def choose(variables: list[Variable], name: str) -> Variable:
@@ -168,15 +50,56 @@ def choose(variables: list[Variable], name: str) -> Variable:
     return found[0]
 
 
-class Piece(InputPartition):
-    """Rectangles of one file; offset: the records of the files before."""
+MANIFEST = "number long, file string, name string, shape array<long>, dims array<string>, kind int, begin long, record_bytes long, records long"
+#: Files whose record counts are summed in one task.
+STRETCH = 1 << 12
 
-    def __init__(self, path: str, variable: Variable, offset: int, rectangles: tuple[plan.Rectangle, ...]) -> None:
-        self.path, self.variable, self.offset, self.rectangles = path, variable, offset, rectangles
 
+def manifest(spark: SparkSession, path: str, query: TileQuery = TileQuery(), skip_invalid: bool = True) -> DataFrame:
+    """A row for each NetCDF file of a path: number (its place in the order of names), file, the chosen variable's name, shape, dims, kind, begin and record_bytes, records, and start, the records before it (0 for the multi-file mode "combine").
 
-def located(path: str, query: TileQuery, skip_invalid: bool = True) -> list[tuple[str, Variable, int]]:
-    """(file, variable, records before it); files that aren't NetCDF are skipped or fail. Headers are read 32 at a time."""
+    Headers are parsed in tasks, each once; other files are left out, or fail.
+    Written as Parquet, it serves as the option manifest of later reads."""
+
+    def parsed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for number, file in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                try:
+                    v = choose(read_header(file), query.variable)
+                except HeaderError:
+                    if not skip_invalid:
+                        raise
+                    continue
+                rows.append({"number": number, "file": file, "name": v.name, "shape": list(v.shape), "dims": list(v.dims), "kind": v.kind, "begin": v.begin, "record_bytes": v.record_bytes, "records": v.shape[0]})
+            yield pa.RecordBatch.from_pylist(rows, schema)
+
+    lists = {"array<long>": pa.list_(pa.int64()), "array<string>": pa.list_(pa.string()), "long": pa.int64(), "int": pa.int32(), "string": pa.string()}
+    schema = pa.schema([(n, lists[t]) for n, t in (c.split() for c in MANIFEST.split(", "))])
+    files = list(enumerate(list_files(path)))
+    tasks = max(1, min(len(files) // 16, spark.sparkContext.defaultParallelism * 4))
+    found = spark.createDataFrame(files, "number long, file string").repartition(tasks).mapInArrow(parsed, MANIFEST)
+    if query.multi_file_mode != "concat":
+        return found.withColumn("start", F.lit(0).cast("long"))
+    # Prefix sums in two steps, so that no task gets a row for each file.
+    found = found.withColumn("_stretch", sh.div("number", STRETCH))
+    sums = found.groupBy("_stretch").agg(F.sum("records").alias("_n"))
+    before = sums.select("_stretch", F.coalesce(F.sum("_n").over(Window.orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    inside = F.coalesce(F.sum("records").over(Window.partitionBy("_stretch").orderBy("number").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return found.join(before, "_stretch").withColumn("start", F.col("_before") + inside).drop("_stretch", "_before", "_n")
+
+
+Located = list[tuple[str, Variable, int]]  # (file, variable, records before it)
+
+
+def from_manifest(folder: str) -> Located:
+    fs, inner = store_of(folder)
+    rows = sorted(pads.dataset(inner, filesystem=fs, format="parquet").to_table().to_pylist(), key=lambda r: r["number"])
+    return [(r["file"], Variable(r["name"], tuple(r["shape"]), tuple(r["dims"]), r["kind"], r["begin"], r["record_bytes"]), r["start"]) for r in rows]
+
+
+def located(path: str, query: TileQuery, skip_invalid: bool = True) -> Located:
+    """What manifest() has, read by the driver, headers 32 at a time: for a read without a manifest."""
 
     def header_of(f: str) -> list[Variable] | HeaderError:
         try:
@@ -200,20 +123,38 @@ def located(path: str, query: TileQuery, skip_invalid: bool = True) -> list[tupl
     return out
 
 
-def pieces(files: list[tuple[str, Variable, int]], query: TileQuery, block_bytes: int, low: int, high: int) -> list[Piece]:
-    """What each task reads: neighbouring rectangles of a file, of about block_bytes together."""
+class Piece(InputPartition):
+    """Rectangles of one file; offset: the records of the files before."""
+
+    def __init__(self, path: str, variable: Variable, offset: int, rectangles: tuple[plan.Rectangle, ...]) -> None:
+        self.path, self.variable, self.offset, self.rectangles = path, variable, offset, rectangles
+
+
+def window_of(query: TileQuery) -> tuple[list[tuple[int, int]], bool]:
+    """(first, end) of each dimension that a query asks for, of the first one at least; and whether a dimension beyond the first is limited."""
+    low, high = (query.low, query.high) if query.noscan else (0, INT_MAX)
+    out = [(low, high)]
+    if query.slice_corner is not None:
+        inner = [(c, c + s) for c, s in zip(query.slice_corner, query.slice_shape, strict=True)]
+        out = [(max(low, inner[0][0]), min(high, inner[0][1])), *inner[1:]]
+    return out, len(out) > 1
+
+
+def pieces(files: Located, query: TileQuery, block_bytes: int) -> list[Piece]:
+    """What each task reads: neighbouring rectangles of a file, of about block_bytes together; parts outside the query's records and slice aren't in them."""
     out = []
+    window, _ = window_of(query)
     extraction = query.extraction_shape[0] if query.query_dependent and query.extraction_shape else None
     for path, v, before in files:
         bytes_ = sh.byte_size(v.shape, v.cell_bytes)
-        lo, hi = low - before, high - before
+        own = [(window[0][0] - before, window[0][1] - before), *window[1:]]
         if query.partition_mode == "calculated" and v.record_bytes is None:
-            found = (clip for _, r in plan.by_blocks(v.shape, v.begin, v.cell_bytes, block_bytes) if (clip := plan.clip_records(r, lo, hi)))
+            found = (r for _, r in plan.by_blocks(v.shape, v.begin, v.cell_bytes, block_bytes))
         else:
             step = plan.record_step("record" if query.partition_mode == "record" else "proportional", v.shape, -(-bytes_ // block_bytes), extraction)
-            found = plan.by_records(v.shape, step, max(lo, 0), hi)
+            found = plan.by_records(v.shape, step, max(own[0][0], 0), own[0][1])
         group, held = [], 0
-        for r in found:
+        for r in filter(None, (plan.clip(r, own) for r in found)):
             n = sh.size(r[1]) * v.cell_bytes
             if group and held + n > block_bytes:
                 out.append(Piece(path, v, before, tuple(group)))
@@ -225,58 +166,60 @@ def pieces(files: list[tuple[str, Variable, int]], query: TileQuery, block_bytes
     return out
 
 
-def read_piece(p: Piece) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(flattened index inside the file, values), at most BATCH_CELLS at a time. All rectangles are runs of cells, in each record at least."""
-    v = p.variable
-    per_record = sh.size(v.shape[1:])
-    kind = np.dtype(TYPES[v.kind][0])
-    with _open(p.path) as f:
-        for corner, shape in p.rectangles:
-            first, n = sh.flatten(v.shape, corner), sh.size(shape)
-            while n:
-                m = min(n, BATCH_CELLS)
-                if v.record_bytes is None:
-                    at = v.begin + first * kind.itemsize
-                else:
-                    record, inner = divmod(first, per_record)
-                    m = min(m, per_record - inner)
-                    at = v.begin + record * v.record_bytes + inner * kind.itemsize
-                data = f.read_at(m * kind.itemsize, at)
-                if len(data) < m * kind.itemsize:
-                    raise OSError(f"{p.path} ends at byte {at + len(data)}, inside {v.name}")
-                values = np.frombuffer(data, "i1" if v.kind == 2 else kind)
-                yield np.arange(first, first + m), values.astype(values.dtype.newbyteorder("="))
-                first, n = first + m, n - m
+# --- The source
 
 
 class NetCDF3Reader(DataSourceReader):
-    def __init__(self, path: str, query: TileQuery, block_bytes: int, skip_invalid: bool, fill: float | None) -> None:
-        self.query, self.block_bytes, self.fill = query, block_bytes, fill
-        self.files = located(path, query, skip_invalid)
-        self.low, self.high = (query.low, query.high) if query.noscan else (0, 2**31 - 1)
+    def __init__(self, files: Located, query: TileQuery, options: Mapping[str, str]) -> None:
+        self.files, self.query = files, query
+        self.block_bytes, self.fill = int(options.get("block_size") or 64 << 20), float(options["fill_value"]) if options.get("fill_value") else None
+        self.blocks, self.offsets = options.get("blocks") == "true", options.get("offsets") == "true"
 
     def partitions(self) -> list[Piece]:
-        return pieces(self.files, self.query, self.block_bytes, self.low, self.high) or [Piece(*self.files[0][:2], 0, ())]
+        return pieces(self.files, self.query, self.block_bytes) or [Piece(*self.files[0][:2], 0, ())]
 
     def read(self, partition: Piece) -> Iterator[pa.RecordBatch]:
-        shape = partition.variable.shape
+        v, tile = partition.variable, self.query.extraction_shape
+        tile = tile if tile and len(tile) == len(v.shape) else None
+        with open_file(partition.path) as f:
+            for whole in partition.rectangles:
+                for corner, shape in split(*whole, BATCH_CELLS, tile):
+                    values = read_rectangle(f, v, corner, shape)
+                    moved = (corner[0] + partition.offset, *corner[1:])
+                    yield self._block(moved, shape, values) if self.blocks else self._cells(partition, corner, moved, shape, values)
+
+    def _block(self, corner: tuple[int, ...], shape: tuple[int, ...], values: np.ndarray) -> pa.RecordBatch:
+        ints, bounds = pa.list_(pa.int32()), pa.array([0, len(values)], pa.int32())
+        held = pa.array(values, mask=values == self.fill if self.fill is not None else None)
+        return pa.RecordBatch.from_arrays([pa.array([corner], ints), pa.array([shape], ints), pa.ListArray.from_arrays(bounds, held)], names=["corner", "shape", "values"])
+
+    def _cells(self, p: Piece, corner: tuple[int, ...], moved: tuple[int, ...], shape: tuple[int, ...], values: np.ndarray) -> pa.RecordBatch:
+        at = np.indices(shape, np.int32, sparse=True)
+        columns = [pa.array(np.broadcast_to(a + np.int32(c), shape).ravel()) for a, c in zip(at, moved, strict=True)]
+        columns.append(pa.array(values, mask=values == self.fill if self.fill is not None else None))
         names = [*(f"c{i}" for i in range(len(shape))), "value"]
-        for at, values in read_piece(partition):
-            coordinates = [(at // s % d if i else at // s).astype(np.int32) for i, (s, d) in enumerate(zip(sh.strides(shape), shape, strict=True))]
-            coordinates[0] = coordinates[0] + np.int32(partition.offset)
-            mask = values == self.fill if self.fill is not None else None
-            yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in coordinates), pa.array(values, mask=mask)], names=names)
+        if self.offsets:
+            v = p.variable
+            steps = [s * v.cell_bytes for s in sh.strides(v.shape)]
+            if v.record_bytes is not None:
+                steps[0] = v.record_bytes
+            bytes_ = v.begin + sum((a.astype(np.int64) + c) * s for a, c, s in zip(at, corner, steps, strict=True))
+            columns += [pa.array([p.path] * len(values), pa.string()), pa.array(np.broadcast_to(bytes_, shape).ravel())]
+            names += ["file", "offset"]
+        return pa.RecordBatch.from_arrays(columns, names=names)
 
 
 class NetCDF3(DataSource):
-    """Options: path, those of TileQuery.from_conf (variable, low, high, partition_mode, ...), block_size, skip_invalid and fill_value (such cells are null).
+    """Options: path, those of TileQuery.from_conf (variable, low, high, slice_corner, slice_shape, partition_mode, ...), block_size, skip_invalid, fill_value (such cells are null), manifest (a folder with what manifest() gives, instead of path), blocks (rows of corner, shape and values in place of cells), offsets (file and offset of each cell's bytes).
 
     A variable along the unlimited dimension lies in the file with gaps, so for
     it the mode "calculated", which cuts at the file's blocks, is "proportional".
 
-    The range of records is pruned by the options low and high, not by filters
-    that Spark pushes: in Spark 4.1 what is pushed for one query stays with the
-    DataFrame for the next one."""
+    Records and slice are pruned by options, not by filters that Spark pushes: in
+    Spark 4.1 what is pushed for one query stays with the DataFrame for the next
+    one.
+
+    As a sink: see NetCDF3Writer."""
 
     @classmethod
     def name(cls) -> str:
@@ -285,41 +228,99 @@ class NetCDF3(DataSource):
     def _query(self) -> TileQuery:
         return TileQuery.from_conf({k: v for k, v in self.options.items() if v})
 
+    def _files(self) -> Located:
+        if self.options.get("manifest"):
+            return from_manifest(self.options["manifest"])
+        return located(self.options["path"], self._query(), self.options.get("skip_invalid", "true") == "true")
+
     def schema(self) -> str:
-        query = self._query()
-        variable = located(self.options["path"], query, self.options.get("skip_invalid", "true") == "true")[0][1]
+        variable = self._files()[0][1]
+        kind = TYPES[variable.kind][1]
+        if self.options.get("blocks") == "true":
+            return f"corner array<int>, shape array<int>, values array<{kind}>"
         fields = [f"c{i} int" for i in range(len(variable.shape))]
-        return ", ".join([*fields, f"value {TYPES[variable.kind][1]}"])
+        return ", ".join([*fields, f"value {kind}", *(["file string", "offset long"] if self.options.get("offsets") == "true" else [])])
 
     def reader(self, schema: StructType) -> NetCDF3Reader:
-        o = self.options
-        return NetCDF3Reader(o["path"], self._query(), int(o.get("block_size") or 64 << 20), o.get("skip_invalid", "true") == "true", float(o["fill_value"]) if o.get("fill_value") else None)
+        return NetCDF3Reader(self._files(), self._query(), self.options)
+
+    def writer(self, schema: StructType, overwrite: bool) -> NetCDF3Writer:
+        return NetCDF3Writer(schema, self.options, overwrite)
 
 
-def read_array(spark: SparkSession, path: str, query: TileQuery, options: dict[str, str]) -> NDArray:
+def _scan(spark: SparkSession, path: str, query: TileQuery, options: Mapping[str, str]) -> tuple[DataFrame, Located]:
+    """The scan, and the files it reads: from a manifest that is made first where there is a shared folder to keep it in."""
     spark.dataSource.register(NetCDF3)
-    settings = {"variable": query.variable, "low": query.low, "high": query.high, "partition_mode": query.partition_mode, "multi_file_mode": query.multi_file_mode, "noscan": query.noscan, "query_dependent": query.query_dependent}
-    if query.extraction_shape:
-        settings["extraction_shape"] = ",".join(map(str, query.extraction_shape))
-    df = spark.read.format("netcdf3").options(**{k: str(v).lower() if isinstance(v, bool) else str(v) for k, v in settings.items()}, **options).load(path)
-    files = located(path, query, options.get("skip_invalid", "true") == "true")
+    settings = {k: getattr(query, k) for k in ("variable", "low", "high", "partition_mode", "multi_file_mode", "noscan", "query_dependent")}
+    settings |= {k: ",".join(map(str, x)) for k in ("extraction_shape", "slice_corner", "slice_shape") if (x := getattr(query, k))}
+    options = dict(options)
+    skip = options.get("skip_invalid", "true") == "true"
+    if "manifest" not in options and (folder := shared_folder(spark, "manifest", required=False)):
+        manifest(spark, path, query, skip).write.parquet(folder)
+        options["manifest"] = folder
+    files = from_manifest(options["manifest"]) if "manifest" in options else located(path, query, skip)
+    if not files:
+        raise ValueError(f"no NetCDF classic file in {path}")
+    return spark.read.format("netcdf3").options(**{k: str(v).lower() if isinstance(v, bool) else str(v) for k, v in settings.items()}, **options).load(path), files
+
+
+def _shape(files: Located) -> tuple[int, ...]:
     inner = tuple(map(max, zip(*(v.shape[1:] for _, v, _ in files), strict=True)))
-    records = max(v.shape[0] + before for _, v, before in files)
-    array = NDArray(df.dropna(), len(inner) + 1, (records, *inner), files[0][1].name)
-    return array.where_records(query.low, query.high)
+    return (max(v.shape[0] + before for _, v, before in files), *inner)
+
+
+def read_array(spark: SparkSession, path: str, query: TileQuery, options: Mapping[str, str]) -> NDArray:
+    df, files = _scan(spark, path, query, options)
+    shape = _shape(files)
+    keep = [f"c{i}" for i in range(len(shape))] + ["value"]
+    array = NDArray(df.dropna(subset=keep), len(shape), shape, files[0][1].name).where_records(query.low, query.high)
+    return array if query.slice_corner is None else array.slice(query.slice_corner, query.slice_shape)
+
+
+def read_blocks(spark: SparkSession, path: str, query: TileQuery = TileQuery(), options: Mapping[str, str] | None = None) -> tuple[DataFrame, tuple[int, ...]]:
+    """Blocks (corner, shape, values) of the records and the slice that the query asks for, and the whole array's shape. No cell is a row."""
+    df, files = _scan(spark, path, query.with_(noscan=True), dict(options or {}) | {"blocks": "true"})
+    return df, _shape(files)
+
+
+def cells_with_offsets(spark: SparkSession, path: str, query: TileQuery = TileQuery(), options: Mapping[str, str] | None = None) -> DataFrame:
+    """c0, c1, ..., value, file, offset: where the bytes of each cell begin in its file, from the begin and the record size of its header."""
+    return _scan(spark, path, query, dict(options or {}) | {"offsets": "true"})[0]
+
+
+def values_at(cells: DataFrame, kind: str) -> DataFrame:
+    """cells (with file and offset, next to each other by file) and found: the value that stands there, of an SQL type of TYPES."""
+    stored = np.dtype(next(t for t, sql in TYPES.values() if sql == kind))
+    names = [*cells.columns, "found"]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            files = np.array(batch.column(names.index("file")).to_pylist(), object)
+            at = batch.column(names.index("offset")).to_numpy()
+            out = np.empty(len(at), stored)
+            for first, end in _segments(np.unique(files, return_inverse=True)[1] if len(files) else np.zeros(0, int)):
+                order = np.argsort(at[first:end], kind="stable") + first
+                with open_file(files[first]) as f:
+                    for i, j in reads(at[order], stored.itemsize):
+                        data = np.frombuffer(f.read_at(int(at[order[j - 1]] - at[order[i]]) + stored.itemsize, int(at[order[i]])), np.uint8)
+                        places = (at[order[i:j]] - at[order[i]])[:, None] + np.arange(stored.itemsize)
+                        out[order[i:j]] = data[places].view(stored).ravel()
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out.astype(stored.newbyteorder("=")))], names=names)
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cells.schema)
+    return cells.mapInArrow(run, f"{fields}, found {kind}")
 
 
 def explain_splits(spark: SparkSession, path: str, query: TileQuery, block_bytes: int = 64 << 20) -> DataFrame:
     """One row for each rectangle that read_array() would read: split, file, variable, corner, shape, offset of the file's records."""
-    low, high = (query.low, query.high) if query.noscan else (0, 2**31 - 1)
-    rows = [(i, p.path, p.variable.name, list(c), list(s), p.offset) for i, p in enumerate(pieces(located(path, query), query, block_bytes, low, high)) for c, s in p.rectangles]
+    rows = [(i, p.path, p.variable.name, list(c), list(s), p.offset) for i, p in enumerate(pieces(located(path, query), query, block_bytes)) for c, s in p.rectangles]
     return spark.createDataFrame(rows, "split int, file string, variable string, corner array<int>, shape array<int>, start_offset int")
 
 
-# --- Writing
+# --- The sink
 
-#: Bytes of cells in one file, which one task holds in memory.
-FILE_BYTES = 64 << 20
+#: Bytes of cells in one file, unless records_per_file says otherwise; and of the records that a task holds.
+FILE_BYTES, HELD_BYTES = 64 << 20, 1 << 20
 
 
 @dataclass(frozen=True)
@@ -331,76 +332,197 @@ class Column1D:
     units: str = ""
 
 
-def header(dims: Sequence[tuple[str, int]], variables: Sequence[tuple], records: int = 0, version: int = 2) -> tuple[bytes, list[int], int]:
-    """A header's bytes, where each variable begins, and the distance of records. dims: (name, length, 0 for the unlimited one); variables: (name, numbers of dims, type), and a dict of text attributes if any."""
-    word = lambda n: struct.pack(">I", n)
-    padded_text = lambda raw: raw + b"\0" * (-len(raw) % 4)
-    name = lambda s: word(len(s.encode())) + padded_text(s.encode())
-    tagged = lambda tag, items: word(tag) + word(len(items)) + b"".join(items) if items else word(0) * 2
-    cell = lambda kind: np.dtype(TYPES[kind][0]).itemsize
-    on_records = [bool(v[1] and dims[v[1][0]][1] == 0) for v in variables]
-    bytes_ = [sh.size([dims[d][1] for d in v[1][on:]] or [1]) * cell(v[2]) for v, on in zip(variables, on_records, strict=True)]
-    padded = [b + -b % 4 for b in bytes_]
-    record_bytes = bytes_[on_records.index(True)] if sum(on_records) == 1 else sum(p for p, on in zip(padded, on_records, strict=True) if on)
-
-    def made(begins: list[int]) -> bytes:
-        rows = []
-        for v, p, at in zip(variables, padded, begins, strict=True):
-            texts = [name(k) + word(2) + word(len(t.encode())) + padded_text(t.encode()) for k, t in (v[3] if len(v) > 3 else {}).items()]
-            rows.append(name(v[0]) + word(len(v[1])) + b"".join(map(word, v[1])) + tagged(ATTRIBUTE, texts) + word(v[2]) + word(min(p, 2**32 - 1)) + struct.pack(">Q" if version == 2 else ">I", at))
-        return b"CDF" + bytes([version]) + word(records) + tagged(DIMENSION, [name(n) + word(k) for n, k in dims]) + word(0) * 2 + tagged(VARIABLE, rows)
-
-    at, begins = len(made([0] * len(variables))), [0] * len(variables)
-    for turn in (False, True):  # fixed variables first, then the records
-        for i, on in enumerate(on_records):
-            if on == turn:
-                begins[i], at = at, at + padded[i]
-    return made(begins), begins, record_bytes
-
-
-def write(array: NDArray, folder: str, variable: str = "value", records_per_file: int | None = None, record_dimension: bool = True, fill: int = 0, coordinates: Sequence[Column1D] | None = None, others: Sequence[str] = ()) -> DataFrame:
-    """Write an INT array as files of records_per_file records each (one task each, in memory), by default as many as FILE_BYTES hold; returns (file, records) once written.
-
-    Read as one array again by the multi-file mode "concat". Missing cells get
-    the fill value, and of repeated ones any stays. coordinates names the
-    dimensions and adds a variable for each: INT along the records, FLOAT along
-    the others. others are INT columns of the array's cells beside value, a
-    variable each; the array's variable is the last one. A task that runs again
-    writes the same file anew."""
-    shape = array.measured_shape()
-    inner = shape[1:]
-    if records_per_file is None:
-        records_per_file = max(1, FILE_BYTES // max(1, 4 * sh.size(inner) * (1 + len(others))))
-    stored = [*((name, name) for name in others), (variable, "value")]
-
-    def save(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        first = int(key[0]) * records_per_file
-        n = min(records_per_file, shape[0] - first)
-        at = [rows[f"c{i}"].to_numpy() for i in range(len(shape))]
-        blocks = [np.full((n, *inner), fill, ">i4") for _ in stored]
-        for block, (_, column) in zip(blocks, stored, strict=True):
-            block[(at[0] - first, *at[1:])] = rows[column].to_numpy()
-        names = [c.name for c in coordinates] if coordinates else [f"d{i}" for i in range(len(shape))]
-        dims = [(names[0], 0 if record_dimension else n), *zip(names[1:], map(int, inner), strict=True)]
-        lines = [np.arange(first, first + n).astype(">i4"), *(np.arange(d).astype(">f4") for d in inner)] if coordinates else []
-        extra = [(c.name, (i,), 5 if i else 4, {k: v for k, v in (("long_name", c.long_name), ("units", c.units)) if v}) for i, c in enumerate(coordinates or ())]
-        head, _, _ = header(dims, [*extra, *((name, range(len(shape)), 4) for name, _ in stored)], n if record_dimension else 0)
-        raw = lambda x: x.reshape(n, -1).view(np.uint8)
-        if record_dimension:  # the record's number and its cells of each variable, record by record
-            body = np.concatenate([x.view(np.uint8) for x in lines[1:]] + [np.hstack([raw(x) for x in (*lines[:1], *blocks)]).ravel()])
+@dataclass
+class Written(WriterCommitMessage):
+    files: list[tuple[int, str]]  # number, temporary name
+
+
+class NetCDF3Writer(DataSourceArrowWriter):
+    """Cells (c0, c1, ..., and a column for each variable) to files of records_per_file records each, number k from record k * records_per_file on.
+
+    Options: path, shape (of the array), variable (the name of the column value,
+    the last variable; other columns keep theirs), records_per_file, fill,
+    record_dimension (true: records are along the unlimited dimension),
+    coordinates (JSON: name, long_name and units of each dimension).
+
+    A task's rows have to be sorted by record, and all rows of one file be in one
+    task; write() sees to both. Records are written as they come, HELD_BYTES at a
+    time; with several variables and no record dimension a task holds one file.
+    A row without a coordinate or value is no cell: it only makes its file exist.
+    Missing cells get the fill value. A file of no rows at all fails the write.
+
+    Files appear under their names when all tasks are done; until then, and
+    after a failure for good, they are in a hidden folder that goes."""
+
+    def __init__(self, schema: StructType, options: Mapping[str, str], overwrite: bool) -> None:
+        self.shape = tuple(int(x) for x in options["shape"].split(","))
+        rank = len(self.shape)
+        inner = self.shape[1:]
+        dims = [f"c{i}" for i in range(rank)]
+        columns = [f for f in schema.fields if f.name not in dims]
+        columns = [f for f in columns if f.name != "value"] + [f for f in columns if f.name == "value"]
+        kinds = {sql: number for number, (_, sql) in TYPES.items() if number != 2}
+        if not columns or any(f.dataType.simpleString() not in kinds for f in columns) or not {*dims} <= {*schema.fieldNames()}:
+            raise ValueError(f"columns {', '.join(dims)} and variables of types {', '.join(kinds)} are needed, not {schema.simpleString()}")
+        self.columns = [(f.name, kinds[f.dataType.simpleString()]) for f in columns]
+        self.names = [options.get("variable") or n if n == "value" else n for n, _ in self.columns]
+        cells = sum(np.dtype(TYPES[k][0]).itemsize for _, k in self.columns) * sh.size(inner or (1,))
+        self.records = int(options.get("records_per_file") or max(1, FILE_BYTES // max(1, cells)))
+        self.held = max(1, HELD_BYTES // max(1, cells))
+        self.fill, self.along, self.overwrite = float(options.get("fill") or 0), options.get("record_dimension", "true") == "true", overwrite
+        self.lines = [Column1D(*x) for x in json.loads(options["coordinates"])] if options.get("coordinates") else None
+        self.fs, self.base = store_of(options["path"])
+        self.temporary = f"{self.base}/_temporary-{uuid4().hex}"
+
+    def _head(self, number: int) -> tuple[bytes, bytes, np.ndarray | None]:
+        """A file's header, the values of its fixed coordinate variables, and of the one along the records."""
+        first = number * self.records
+        n, inner = min(self.records, self.shape[0] - first), self.shape[1:]
+        names = [c.name for c in self.lines] if self.lines else [f"d{i}" for i in range(len(self.shape))]
+        dims = [(names[0], 0 if self.along else n), *zip(names[1:], inner, strict=True)]
+        extra = [(c.name, (i,), 5 if i else 4, {k: v for k, v in (("long_name", c.long_name), ("units", c.units)) if v}) for i, c in enumerate(self.lines or ())]
+        head, _, _ = header(dims, [*extra, *((name, range(len(self.shape)), kind) for name, (_, kind) in zip(self.names, self.columns, strict=True))], n if self.along else 0)
+        if not self.lines:
+            return head, b"", None
+        records = np.arange(first, first + n).astype(">i4")
+        fixed = [np.arange(d).astype(">f4").tobytes() for d in inner]
+        return (head, b"".join(fixed), records) if self.along else (head, b"".join([records.tobytes(), *fixed]), None)
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
+        done: list[tuple[int, str]] = []
+        file = None
+        try:
+            for batch in iterator:
+                at = [batch.column(batch.schema.get_field_index(f"c{i}")) for i in range(len(self.shape))]
+                c0 = at[0].to_numpy(zero_copy_only=False).astype(np.int64)
+                cells = np.logical_and.reduce([x.is_valid().to_numpy(zero_copy_only=False) for x in (*at[1:], *(batch.column(batch.schema.get_field_index(n)) for n, _ in self.columns))])
+                for first, end in _segments(c0 // self.records):
+                    number = int(c0[first] // self.records)
+                    if file is None or file.number != number:
+                        if file is not None:
+                            done.append(file.close())
+                        if any(number == k for k, _ in done):
+                            raise ValueError(f"rows aren't sorted by record: record {c0[first]} comes late")
+                        file = _File(self, number)
+                    keep = np.flatnonzero(cells[first:end]) + first
+                    inner = [x.take(pa.array(keep)).to_numpy(zero_copy_only=False) for x in at[1:]]
+                    file.add(c0[keep], inner, [batch.column(batch.schema.get_field_index(n)).take(pa.array(keep)).to_numpy(zero_copy_only=False) for n, _ in self.columns])
+            if file is not None:
+                done.append(file.close())
+        except BaseException:
+            if file is not None:
+                file.out.close()
+            raise
+        return Written(done)
+
+    def commit(self, messages: list[Written | None]) -> None:
+        files = sorted(f for m in messages if m for f in m.files)
+        numbers = [k for k, _ in files]
+        expected = -(-self.shape[0] // self.records)
+        if numbers != list(range(expected)):
+            self.abort(messages)
+            raise ValueError(f"{expected} files of {self.records} records are expected, each from one task; there are {len(numbers)}, of {len(set(numbers))} numbers")
+        if self.overwrite:
+            for info in self.fs.get_file_info(pafs.FileSelector(self.base, allow_not_found=True)):
+                if info.is_file and info.base_name.endswith(".nc"):
+                    self.fs.delete_file(info.path)
+        with ThreadPoolExecutor(16) as pool:
+            list(pool.map(lambda f: self.fs.move(f[1], f"{self.base}/part-{f[0]:09d}.nc"), files))
+        self._clear()
+
+    def abort(self, messages: list[Written | None]) -> None:
+        self._clear()
+
+    def _clear(self) -> None:
+        if self.fs.get_file_info(self.temporary).type == pafs.FileType.Directory:
+            self.fs.delete_dir(self.temporary)
+
+
+def _segments(keys: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Runs of equal keys."""
+    edges = [0, *(np.flatnonzero(np.diff(keys)) + 1).tolist(), len(keys)]
+    yield from ((a, b) for a, b in zip(edges, edges[1:], strict=False) if a < b)
+
+
+class _File:
+    """One file while it is written: records from first on, so many at a time."""
+
+    def __init__(self, w: NetCDF3Writer, number: int) -> None:
+        self.w, self.number = w, number
+        self.first = number * w.records
+        self.n = min(w.records, w.shape[0] - self.first)
+        if self.n <= 0 or number < 0:
+            raise ValueError(f"record {self.first} is outside the shape {w.shape}")
+        streams = w.along or len(w.columns) == 1
+        self.step = min(self.n, w.held) if streams else self.n
+        w.fs.create_dir(w.temporary, recursive=True)
+        self.name = f"{w.temporary}/{number:09d}-{uuid4().hex}"
+        self.out = w.fs.open_output_stream(self.name)
+        head, fixed, self.records = w._head(number)
+        self.out.write(head)
+        self.out.write(fixed)
+        self.at = 0  # records written
+        self._begin()
+
+    def _begin(self) -> None:
+        self.blocks = [np.full((min(self.step, self.n - self.at), *self.w.shape[1:]), self.w.fill, TYPES[kind][0]) for _, kind in self.w.columns]
+
+    def add(self, c0: np.ndarray, inner: list[np.ndarray], values: list[np.ndarray]) -> None:
+        local = c0 - self.first
+        for a, b in _segments(local // self.step):
+            begin = int(local[a]) // self.step * self.step
+            if begin < self.at:
+                raise ValueError(f"rows aren't sorted by record: record {c0[a]} comes late")
+            while self.at < begin:
+                self._flush()
+            for block, column in zip(self.blocks, values, strict=True):
+                block[(local[a:b] - self.at, *(x[a:b] for x in inner))] = column[a:b]
+
+    def _flush(self) -> None:
+        n = len(self.blocks[0])
+        raw = [b.reshape(n, -1).view(np.uint8) if b.size else np.zeros((n, 0), np.uint8) for b in self.blocks]
+        if self.w.along:  # the record's number and its cells of each variable, record by record, each padded to four bytes if there are several
+            raw = [self.records[self.at : self.at + n].reshape(n, 1).view(np.uint8), *raw] if self.records is not None else raw
+            if len(raw) > 1:
+                raw = [np.pad(x, ((0, 0), (0, -x.shape[1] % 4))) for x in raw]
+            self.out.write(np.ascontiguousarray(np.hstack(raw)).tobytes())
         else:
-            body = np.concatenate([x.view(np.uint8) for x in lines] + [raw(x).ravel() for x in blocks])
-        fs, base = pafs.FileSystem.from_uri(folder) if ":" in folder else (pafs.LocalFileSystem(), folder)
-        fs.create_dir(base, recursive=True)
-        name, done = f"{base}/_part-{key[0]:09d}.tmp", f"{base}/part-{key[0]:09d}.nc"
-        with fs.open_output_stream(name) as out:
-            out.write(head)
-            out.write(body.tobytes())
-        fs.move(name, done)
-        return pd.DataFrame([{"file": done, "records": n}])
-
-    numbered = array.df.withColumn("_file", sh.div("c0", records_per_file).cast("int"))
-    written = numbered.groupBy("_file").applyInPandas(save, "file string, records int")
-    files = sorted(map(tuple, written.collect()))  # a row for each file
-    return array.df.sparkSession.createDataFrame(files, "file string, records int")
+            for x in raw:
+                self.out.write(x.tobytes())
+                if self.at + n == self.n:  # the end of a variable
+                    self.out.write(b"\0" * (-(self.n * x.shape[1]) % 4))
+        self.at += n
+        self._begin()
+
+    def close(self) -> tuple[int, str]:
+        while self.at < self.n:
+            self._flush()
+        self.out.close()
+        return self.number, self.name
 
+
+def write(array: NDArray, folder: str, variable: str = "value", records_per_file: int | None = None, record_dimension: bool = True, fill: float = 0, coordinates: Sequence[Column1D] | None = None, others: Sequence[str] = ()) -> DataFrame:
+    """Write an array as files of records_per_file records each, by default as many as FILE_BYTES hold; returns (file, records), once written.
+
+    Read as one array again by the multi-file mode "concat". Cells are shuffled
+    to their file and sorted by record, and streamed into it (see NetCDF3Writer).
+    Missing cells get the fill value, and of repeated ones any stays. coordinates
+    names the dimensions and adds a variable for each: INT along the records,
+    FLOAT along the others. others are columns of the array's cells beside value,
+    a variable each; the array's variable is the last one."""
+    spark, shape = array.df.sparkSession, array.measured_shape()
+    spark.dataSource.register(NetCDF3)
+    inner, columns = shape[1:], [*others, "value"]
+    sizes = {f.name: np.dtype(TYPES[next(n for n, (_, sql) in TYPES.items() if sql == f.dataType.simpleString())][0]).itemsize for f in array.df.schema.fields if f.name in columns}
+    records = records_per_file or max(1, FILE_BYTES // max(1, sum(sizes.values()) * sh.size(inner or (1,))))
+    files = -(-shape[0] // records)
+    cells = array.df.select(*array.dims, *columns)
+    every = spark.range(files).select((F.col("id") * records).cast("int").alias("c0"), *(F.lit(None).cast(f.dataType).alias(f.name) for f in cells.schema.fields[1:]))
+    number = sh.div("c0", records)
+    laid = cells.unionByName(every).repartition(number).sortWithinPartitions("c0")
+    options = {"shape": ",".join(map(str, shape)), "variable": variable, "records_per_file": records, "record_dimension": str(record_dimension).lower(), "fill": fill}
+    if coordinates:
+        options["coordinates"] = json.dumps([(c.name, c.long_name, c.units) for c in coordinates])
+    laid.write.format("netcdf3").options(**options).mode("append").save(folder)
+    file = F.concat(F.lit(f"{folder.rstrip('/')}/part-"), F.lpad(F.col("id").cast("string"), 9, "0"), F.lit(".nc"))
+    return spark.range(files).select(file.alias("file"), F.least(F.lit(records), F.lit(shape[0]) - F.col("id") * records).cast("int").alias("records"))
