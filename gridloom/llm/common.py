@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from uuid import uuid4
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -48,6 +49,35 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+class Scratch:
+    """Relations written as Parquet in a folder of their own under the shared one: computed once, there after an executor is lost, and gone when they are dropped. What isn't dropped stays for whoever reads the result."""
+
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        ensure_shared_dir(spark)
+        self.spark, self.base = spark, f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid4().hex}"
+        self.kept: dict[int, tuple[DataFrame, str]] = {}
+        self.made = 0
+
+    def cut(self, df: DataFrame) -> DataFrame:
+        folder = f"{self.base}/{self.made}"
+        self.made += 1
+        df.write.parquet(folder)
+        out = self.spark.read.schema(df.schema).parquet(folder)
+        self.kept[id(out)] = (out, folder)
+        return out
+
+    def drop(self, *relations: DataFrame) -> None:
+        """Nothing may read these any more."""
+        for df in relations:
+            remove_folder(self.spark, self.kept.pop(id(df))[1])
+
+
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a folder in any store that Spark writes to."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def utf8(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
     """The texts of an Arrow string column as UTF-8."""
     large = pa.types.is_large_string(column.type)
@@ -73,6 +103,10 @@ def map_text(docs: DataFrame, function, schema: str, key: str = "doc_id") -> Dat
     return docs.select(key, F.col("text")).mapInArrow(run, f"{key} {key_type}, {schema}")
 
 
-def code_points(text: bytes, upto: int) -> int:
-    """Code points in text[:upto]; upto must not be inside one."""
-    return len(text[:upto].decode("utf-8", "replace"))
+def code_points(text: bytes, places: Iterable[int]) -> dict[int, int]:
+    """For each place in a UTF-8 text, none of which may be inside a code point: the code points before it."""
+    out, before, n = {}, 0, 0
+    for p in sorted(places):
+        n += len(text[before:p].decode("utf-8", "replace"))
+        out[p], before = n, p
+    return out

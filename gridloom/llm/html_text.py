@@ -5,7 +5,8 @@ characters of it that lie in links and what encloses it. Pass one decides
 blocks: those in menus, footers, adverts, comments and the like, or made of
 links, are boilerplate; long ones with enough stop words are content. Short or
 otherwise ambiguous blocks take, in pass two, the label of the nearest decided
-block around them."""
+block around them. Inside an article element, what isn't boilerplate by what
+encloses it is content, but for lists and tables of links."""
 
 from __future__ import annotations
 
@@ -38,6 +39,7 @@ BOILERPLATE_NAMES = frozenset(
 )
 #: Of these, those that don't mark the layout of a page around its article, but other texts.
 OTHER_TEXTS = frozenset("comment comments discussion replies respond disqus related recommended recommendations sponsored promo promotion ad ads advert adverts advertisement advertising".split())
+LISTS = frozenset("ul ol dl table".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _IMPLIED_END = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "option": {"option"}}
 _STOP = frozenset(STOP_WORDS)
@@ -50,6 +52,7 @@ class Block:
     boilerplate: bool  # by what encloses it
     article: bool  # inside article or main
     heading: bool
+    listed: bool  # in a list or table
     label: bool | None = None
 
 
@@ -82,8 +85,9 @@ def _marks(tag: str, attributes: str, article: bool) -> tuple[int, bool]:
 def blocks(page: str) -> list[Block]:
     """The page's blocks in order, without empty ones. Tags that aren't closed end where HTML lets them."""
     out: list[Block] = []
-    stack: list[tuple[str, int, bool, bool, bool, bool]] = []  # tag, boilerplate, hidden, article, link, heading
-    state = ("", 0, False, False, False, False)
+    stack: list[tuple] = []  # tag, boilerplate, hidden, article, link, heading, listed
+    open_at: dict[str, list[int]] = {}  # where each tag's open elements are in the stack
+    outside = state = ("", 0, False, False, False, False, False)
     parts: list[str] = []
     links, first, begun = 0, state, False
 
@@ -91,7 +95,7 @@ def blocks(page: str) -> list[Block]:
         nonlocal parts, links, begun
         text = " ".join("".join(parts).split())
         if text:
-            out.append(Block(text, links, bool(first[1]), first[3], first[5]))
+            out.append(Block(text, links, bool(first[1]), first[3], first[5], first[6]))
         parts, links, begun = [], 0, False
 
     def say(text: str) -> None:
@@ -107,13 +111,13 @@ def blocks(page: str) -> list[Block]:
 
     def close(tags: set[str] | frozenset[str], stop: frozenset[str] = frozenset()) -> None:
         nonlocal state
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] in tags:
-                state = stack[i - 1] if i else ("", 0, False, False, False, False)
-                del stack[i:]
-                return
-            if stack[i][0] in stop:
-                return
+        last = max((open_at[t][-1] for t in tags if open_at.get(t)), default=-1)
+        if last < 0 or any(open_at[t][-1] > last for t in stop if open_at.get(t)):
+            return
+        for element in stack[last:]:
+            open_at[element[0]].pop()
+        del stack[last:]
+        state = stack[-1] if stack else outside
 
     at, n = 0, len(page)
     while at < n:
@@ -153,7 +157,8 @@ def blocks(page: str) -> list[Block]:
         boilerplate, hidden = _marks(tag, attributes, state[3])
         opens = tag in ("article", "main")
         around = 0 if opens and state[1] == 1 else state[1]
-        state = (tag, max(around, boilerplate), state[2] or hidden, state[3] or opens, state[4] or tag == "a", state[5] or tag in HEADINGS)
+        state = (tag, max(around, boilerplate), state[2] or hidden, state[3] or opens, state[4] or tag == "a", state[5] or tag in HEADINGS, tag not in ("article", "main") and (state[6] or tag in LISTS))
+        open_at.setdefault(tag, []).append(len(stack))
         stack.append(state)
     end_block()
     return out
@@ -168,7 +173,9 @@ def decide(found: list[Block], rules: Rules = Rules()) -> None:
     inside = [b for b in found if b.label is None]
     for b in inside:
         n = len(b.text)
-        if b.links > rules.link_density * len(b.text.replace(" ", "")):
+        if b.article and not b.listed:
+            b.label = True
+        elif b.links > rules.link_density * len(b.text.replace(" ", "")):
             b.label = False
         elif n >= rules.long_chars:
             words = _WORD.findall(b.text.lower())

@@ -30,7 +30,11 @@ _HEX = re.compile(rb"[0-9a-f]{32,}")
 _CHECKED = re.compile(rb"(?:gh[pousr]|npm)_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])")
 _WEB = re.compile(rb"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+")
 _WALLET = re.compile(rb"[5KL][1-9A-HJ-NP-Za-km-z]{50,51}(?![1-9A-HJ-NP-Za-km-z])")
-_PRIVATE = re.compile(rb"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----(?:[A-Za-z0-9+/=\s:,-]*?-----END \1-----|[A-Za-z0-9+/=\s]*+)")
+_BEGIN = re.compile(rb"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----")
+_END = re.compile(rb"-----END ((?:[A-Z0-9]+ )*PRIVATE KEY)-----")
+_BODY = re.compile(rb"[A-Za-z0-9+/=\s:,-]*+")
+_SHORT_BODY = re.compile(rb"[A-Za-z0-9+/=\s]*+")
+_WEB_RUN = re.compile(rb"[A-Za-z0-9_-]*+")
 _BASE62 = b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 _BASE58 = b"123456789ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz"
 #: How far from a keyword a wallet key may begin.
@@ -39,7 +43,7 @@ _WORD58 = re.compile(rb"[1-9A-HJ-NP-Za-km-z]+")
 #: Keyword (lower case) -> kind whose expression is tried where the keyword begins.
 _KEYWORDS = {
     **dict.fromkeys(("password", "passwd", "secret", "token", "apikey", "api_key"), "assign"), "akia": "access",
-    **dict.fromkeys(("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "npm_"), "checked_token"), "eyj": "web_token", "-----begin": "private_key",
+    **dict.fromkeys(("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "npm_"), "checked_token"), "eyj": "web_token", "-----begin": "begin", "-----end": "end",
     **dict.fromkeys(("key", "wallet", "bitcoin", "btc", "wif", "private", "privkey", "import"), "wallet_key"),
 }
 
@@ -73,7 +77,6 @@ _RULES = {
     "access": (_ACCESS, lambda m: len(m[0]) >= 16),
     "checked_token": (_CHECKED, _crc62_ok),
     "web_token": (_WEB, _web_ok),
-    "private_key": (_PRIVATE, lambda m: True),
 }
 
 
@@ -86,13 +89,19 @@ def _automaton() -> ahocorasick.Automaton:
 
 
 def find_secrets(text: bytes, words: ahocorasick.Automaton) -> list[tuple[str, int, int]]:
-    """(kind, start, end) in bytes, unordered. Matches of a kind don't overlap, leftmost first; one that fails its check still uses up its place."""
-    found, last, near = [], {}, []
+    """(kind, start, end) in bytes, unordered. Matches of a kind don't overlap, leftmost first; one that fails its check still uses up its place.
+
+    Each part of a text is read a fixed number of times, whatever stands in it."""
+    found, last, near, marks = [], {}, [], {"begin": [], "end": []}
     for end, (length, kind) in words.iter(text.lower().decode("latin-1")):  # bytes.lower() keeps all places
         start = end - length + 1
         if kind == "wallet_key":
             near.append(start)
             continue
+        if kind in marks:
+            if m := (_BEGIN if kind == "begin" else _END).match(text, start):
+                marks[kind].append(m)
+            continue
         if start < last.get(kind, 0):
             continue
         rule, good = _RULES[kind]
@@ -100,6 +109,9 @@ def find_secrets(text: bytes, words: ahocorasick.Automaton) -> list[tuple[str, i
             last[kind] = m.end()
             if good(m):
                 found.append((kind, m.start(), m.end()))
+        elif kind == "web_token":  # nor does one begin later in this run
+            last[kind] = _WEB_RUN.match(text, start).end()
+    found += _private_keys(text, **marks)
     found += [("hex", m.start(), m.end()) for m in _HEX.finditer(text)]
     done = 0
     for at in near:  # in order
@@ -110,6 +122,23 @@ def find_secrets(text: bytes, words: ahocorasick.Automaton) -> list[tuple[str, i
     return found
 
 
+def _private_keys(text: bytes, begin: list[re.Match], end: list[re.Match]) -> list[tuple[str, int, int]]:
+    """From each BEGIN line to the END line of the same label before the next BEGIN, with nothing but a key's characters between, or else to the end of what may be one."""
+    found, k = [], 0
+    for i, b in enumerate(begin):
+        limit = begin[i + 1].start() if i + 1 < len(begin) else len(text)
+        while k < len(end) and end[k].start() < b.end():
+            k += 1
+        j = k
+        while j < len(end) and end[j].start() < limit and end[j][1] != b[1]:
+            j += 1
+        if j < len(end) and end[j].start() < limit and _BODY.match(text, b.end(), end[j].start()).end() == end[j].start():
+            found.append(("private_key", b.start(), end[j].end()))
+        else:
+            found.append(("private_key", b.start(), _SHORT_BODY.match(text, b.end(), limit).end()))
+    return found
+
+
 def scan_secrets(docs: DataFrame) -> DataFrame:
     """Secrets in each whole text.
 
@@ -129,7 +158,8 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
         if not found:
             return 0, 0, 0, "", ""
         if not text.isascii():
-            found = [(k, code_points(text, a), code_points(text, b)) for k, a, b in found]
+            at = code_points(text, {x for _, a, b in found for x in (a, b)})
+            found = [(k, at[a], at[b]) for k, a, b in found]
         found.sort(key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
         n = [sum(k == kind for k, _, _ in found) for kind in KINDS[:3]]
         say = lambda spans: ",".join(f"{k}:{a}:{b}" for k, a, b in spans)

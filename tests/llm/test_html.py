@@ -2,6 +2,7 @@ import html as escapes
 import re
 
 import edges
+import pytest
 from compare import DATA
 from gridloom.llm import html_text, queries
 
@@ -59,3 +60,34 @@ def test_edges(spark):
     assert out == [(0, GOOD, len(GOOD)), (1, "", 0), (2, "", 0), (3, GOOD, len(GOOD)), (3, GOOD, len(GOOD))]
     assert html_text.extract(pages.where("false")).collect() == []
     assert edges.TEXTS
+
+
+ENGLISH = "It was the best of all the ways in which a person could go on with the work that they had to do, and so it went on."
+RUSSIAN = "Длинный текст на языке, для которого нет списка частых слов, но который занимает в статье целый абзац, как и другие."
+
+
+def test_an_article_keeps_all_that_it_says():
+    page = f'<nav>Home</nav><article><p>{ENGLISH}</p><p><a href="x">Read the whole report of the commission here</a></p><p>{RUSSIAN}</p><p>More next week.</p><ul><li><a href="a">One</a></li><li><a href="b">Two</a></li></ul></article><footer>Imprint</footer>'
+    assert html_text.main_text(page) == "\n\n".join([ENGLISH, "Read the whole report of the commission here", RUSSIAN, "More next week."])
+    inside = f'<article><p>{ENGLISH}</p><div class="share"><p>{RUSSIAN}</p></div><aside><p>{ENGLISH}</p></aside><p>The end.</p></article>'
+    assert html_text.main_text(inside) == f"{ENGLISH}\n\nThe end."
+
+
+def seconds(make, n, repeat=3):
+    import time
+
+    took = []
+    for _ in range(repeat):
+        page, began = make(n), time.perf_counter()
+        html_text.main_text(page)
+        took.append(time.perf_counter() - began)
+    return min(took)
+
+
+@pytest.mark.parametrize(
+    "make",
+    [lambda n: "<b>" * n + "</i>" * n, lambda n: "<p><button>" + "<b>" * n + "<hr>" * n, lambda n: "<div>" * n + "</span>" * n, lambda n: "<ul>" + "<li><b>x" * n, lambda n: "<!" * n, lambda n: "<a href='" * n],
+    ids=["unmatched ends", "rules over open elements", "deep", "items", "comments", "quotes"],
+)
+def test_time_grows_with_a_hostile_page(make):
+    assert seconds(make, 40_000) < 12 * max(seconds(make, 4000), 0.005)

@@ -238,3 +238,32 @@ def test_edges(spark, make):
         assert any((r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) == brute.licenses(t) for t in by_text[r["doc_id"]])
     assert secret_scan.scan_secrets(docs).count() == license_scan.scan_licenses(docs).count() == quality_rules.judge(docs).count() == n
     assert pii.learn(make(spark).where(F.col("doc_id") < 3)).ensemble == ()
+
+
+def test_private_keys_end_where_the_next_begins():
+    words = secret_scan._automaton()
+    text = b"-----BEGIN PRIVATE KEY-----\nAAAA\n-----BEGIN RSA PRIVATE KEY-----\nBBBB\n-----END PRIVATE KEY-----\nCC==\n-----END RSA PRIVATE KEY-----\n-----BEGIN EC PRIVATE KEY-----\nDD!\n-----END EC PRIVATE KEY-----"
+    found = [(text[a:b]) for k, a, b in secret_scan.find_secrets(text, words) if k == "private_key"]
+    assert found == [b"-----BEGIN PRIVATE KEY-----\nAAAA\n", text[text.index(b"-----BEGIN RSA") : text.index(b"\n-----BEGIN EC")], b"-----BEGIN EC PRIVATE KEY-----\nDD"]
+
+
+@pytest.mark.parametrize(
+    "line",
+    [b"-----BEGIN PRIVATE KEY-----\n", b"-----BEGIN PRIVATE KEY-----\nab", b"eyJ", b"eyJa.b", b"token = ", b"password" + b" " * 50, b"key K", b"AKIA", b"-----BEGIN A A A A ", b"-----END PRIVATE KEY-----", "é token=abcdefgh ".encode(), b"abcdefabcdefabcdefabcdefabcdefabcdef "],
+    ids=repr,
+)
+def test_time_grows_with_a_hostile_text(line):
+    import time
+
+    words = secret_scan._automaton()
+
+    def seconds(n):
+        took = []
+        for _ in range(3):
+            began = time.perf_counter()
+            found = secret_scan.find_secrets(line * n, words)
+            secret_scan.code_points(line * n, {x for _, a, b in found for x in (a, b)})
+            took.append(time.perf_counter() - began)
+        return min(took)
+
+    assert seconds(20_000) < 12 * max(seconds(2000), 0.003)
