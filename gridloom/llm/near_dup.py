@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, cut, skew_join, small_batches, utf8
+from .common import SPACE, Scratch, skew_join, small_batches, utf8
 
 _U = np.uint64
 _LOW32 = _U(0xFFFFFFFF)
@@ -254,6 +254,8 @@ def _with_hashes(docs: DataFrame, seed: int = 1) -> DataFrame:
 
 # --- Pairs
 
+#: Shingles that go along with each addition of a text, so that a pair needn't meet again.
+FIRST = 32
 #: Texts that meet a pivot's text in one group of rows; a pivot of more has several groups.
 GROUP = 256
 
@@ -297,23 +299,23 @@ def compare(pairs: DataFrame, bodies: DataFrame, weights: Weights, s: Settings)
 
 
 def added_shingles(pairs: DataFrame, bodies: DataFrame, weights: Weights, s: Settings) -> DataFrame:
-    """(a, id, h, w): the shingles with more weight in id's text than in its pivot a's, and how much more; pairs: (a, b)."""
+    """(a, b, h, w): arrays of the shingles with more weight in b's text than in its pivot a's, and of how much more, for each pair (a, b)."""
 
     def found(x, y):
         h, w = additions(x, y)
         return h.view(np.int64), w
 
-    rows = cut(beside_pivots(pairs, bodies, weights, s, found, "h array<long>, w array<double>"))
-    return rows.select("a", F.col("b").alias("id"), F.explode(F.arrays_zip("h", "w")).alias("x")).select("a", "id", "x.h", "x.w")
+    return beside_pivots(pairs, bodies, weights, s, found, "h array<long>, w array<double>")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """(id, class): the smallest id of the connected component, for each id in the edges (a, b) but the smallest ones.
 
     Alternating stars: each round, every id points to the smallest around it,
     first from larger neighbours, then from smaller ones, until all point to a
-    smallest one. Each round is written to the shared folder."""
-    now = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    smallest one. Each round is written, and takes the place of the one before."""
+    scratch = scratch or Scratch(edges.sparkSession, "components")
+    now = scratch.cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
 
     def done(e: DataFrame) -> bool:
         twice = e.groupBy("u").count().where("count > 1").select("u")
@@ -326,7 +328,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = skew_join(around, least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = skew_join(large, least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        now = cut(small.distinct())
+        before, now = now, scratch.cut(small.distinct())
+        scratch.drop(before)
     return now.select(F.col("u").alias("id"), F.col("v").alias("class"))
 
 
@@ -337,6 +340,8 @@ def linked_texts(docs: DataFrame, s: Settings = Settings()) -> tuple[DataFrame,
     texts: (id, rep, x1, x2, component): each distinct text, the smallest doc_id that holds it, and a number of its class.
     links: (a, b, similarity): texts found to be near duplicates, a and b as in texts.id; these links connect each class."""
     small_batches(docs.sparkSession)
+    scratch = Scratch(docs.sparkSession, "near-dup")
+    cut, drop = scratch.cut, scratch.drop
     ids = docs.select("doc_id", "text")
     weights = learn_weights(ids, s)
     signed = cut(signatures(ids.where("doc_id IS NOT NULL"), weights, s))
@@ -348,12 +353,17 @@ def linked_texts(docs: DataFrame, s: Settings = Settings()) -> tuple[DataFrame,
     buckets = rows.groupBy("band", "hash").agg(F.min(F.struct("rep", "id", "total")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     buckets = cut(buckets.select("band", "hash", F.col("first.id").alias("a"), F.col("first.total").alias("pivot")))
     met = cut(rows.drop("rep").join(buckets, ["band", "hash"]))  # id, total, band, hash, a, pivot: the weight of a
+    drop(buckets)
+    signed_all, texts_all = signed, texts
+    signed, texts = cut(signed.select("doc_id", "x1", "x2")), cut(texts.drop("bands"))
+    drop(signed_all, texts_all)
     pairs = cut(met.where("id <> a").select("a", F.col("id").alias("b")).distinct())
     involved = skew_join(texts, met.select("id").distinct(), "id").select("id", F.col("rep").alias("doc_id"), "x1", "x2")
     bodies = cut(_with_hashes(ids).join(involved, ["doc_id", "x1", "x2"]).select("id", "text").dropDuplicates(["id"]))
     compared = cut(compare(pairs, bodies, weights, s))
+    drop(pairs)
     links = compared.where(F.col("similarity") >= s.threshold)
-    classes = components(links.select("a", "b"))
+    classes = components(links.select("a", "b"), scratch)
 
     # Copies edited each in its own way are less like each other than like what they come from: of those that met a pivot, the one most like it
     # is compared with those of other classes, so that few classes are left for what follows.
@@ -362,8 +372,9 @@ def linked_texts(docs: DataFrame, s: Settings = Settings()) -> tuple[DataFrame,
     nearest = skew_join(nearest.withColumnRenamed("near", "id"), classes, "id", "left").select("a", F.col("id").alias("near"), F.coalesce("class", "id").alias("main"))
     again = cut(skew_join(labelled, nearest, "a").where("class <> main").select(F.col("near").alias("a"), "b").distinct())
     central = cut(compare(again, bodies, weights, s).where(F.col("similarity") >= s.threshold))
+    drop(again)
     links = links.unionByName(central)
-    classes = components(classes.select(F.col("id").alias("a"), F.col("class").alias("b")).unionByName(central.select("a", "b")))
+    classes = components(classes.select(F.col("id").alias("a"), F.col("class").alias("b")).unionByName(central.select("a", "b")), scratch)
 
     # Buckets that are still several groups: lost and added are the weights of what a text lacks of the pivot and has besides.
     own = F.col("id") == F.col("a")
@@ -373,10 +384,13 @@ def linked_texts(docs: DataFrame, s: Settings = Settings()) -> tuple[DataFrame,
     group = met.join(classes, "id", "left").withColumn("class", F.coalesce("class", "id")).join(about, ["a", "id"], "left")
     group = group.select("band", "hash", "a", "pivot", "id", "class", "total", similarity.alias("similarity"), (F.col("pivot") - shared).alias("lost"), (F.col("total") - shared).alias("added"))
     group = cut(group)
+    drop(met)
     several = group.groupBy("band", "hash").agg(F.max_by("class", own).alias("main"), (F.min("class") != F.max("class")).alias("several"), F.count(F.lit(1)).alias("n")).where("several AND n > 2")
-    still = group.join(cut(several.select("band", "hash", "main")), ["band", "hash"]).where(~own)
+    several = cut(several.select("band", "hash", "main"))
+    still = group.join(several, ["band", "hash"]).where(~own)
     bit = F.expr("shiftleft(1L, band)")
     still = cut(still.withColumn("same", F.bit_or(bit).over(Window.partitionBy("a", "id"))))  # a bit for each band where id meets this pivot
+    drop(group, several)
     t, slack = s.threshold, 1e-6
     far = (F.abs(F.col("x_similarity") - F.col("y_similarity")) > 1 - t + 1e-9) | (F.least("x_total", "y_total") < (t - 1e-9) * F.greatest("x_total", "y_total"))
     sides = ("id", "class", "total", "similarity", "lost", "added")
@@ -397,39 +411,48 @@ def linked_texts(docs: DataFrame, s: Settings = Settings()) -> tuple[DataFrame,
     # With one: of the additions that several classes hold, rarest first, each keeps those up to which the rest (its own weight counted) is
     # enough for a link to any other, so the first that a linked pair shares is kept by both, and what both have left there bounds what they share.
     members = cut(still.dropDuplicates(["a", "id"]).select("a", "pivot", *sides))
-    # A pair meets once for each pivot: at the first shingle, in that order, that both keep.
-    added = skew_join(added_shingles(members.select("a", F.col("id").alias("b")), bodies, weights, s), members.select("id", "class").distinct(), "id")
-    common = added.groupBy("a", "h").agg(F.count(F.lit(1)).alias("n"), F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("a", "h", "n")
-    held = added.drop("class").join(cut(common), ["a", "h"])
+    # A pair meets once for each pivot, at the first shingle in that order that both keep, unless that comes after the first FIRST ones that either keeps:
+    # only these go along with each shingle, so that what a text needs grows with its length.
+    lists = cut(added_shingles(members.select("a", F.col("id").alias("b")), bodies, weights, s))
+    added = lists.select("a", F.col("b").alias("id"), F.explode(F.arrays_zip("h", "w")).alias("x")).select("a", "id", "x.h", "x.w")
+    labelled = skew_join(added, members.select("id", "class").distinct(), "id")
+    common = labelled.groupBy("a", "h").agg(F.count(F.lit(1)).alias("n"), F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("a", "h", "n")
+    common = cut(common)
+    held = added.join(common, ["a", "h"])
     held = held.withColumn("rest", F.sum("w").over(Window.partitionBy("a", "id").orderBy(F.desc("n"), F.desc("h")).rowsBetween(Window.unboundedPreceding, 0)))
     least = t * F.col("added") - (1 - t) * (F.col("pivot") - F.col("lost"))
     held = held.join(members, ["a", "id"]).where(F.col("rest") + slack >= least)
-    earlier = Window.partitionBy("a", "id").orderBy("n", "h").rowsBetween(Window.unboundedPreceding, -1)
-    held = cut(held.withColumn("before", F.collect_list("h").over(earlier)).select("a", "h", "pivot", "rest", "before", *sides))
+    in_order = Window.partitionBy("a", "id").orderBy("n", "h")
+    held = held.withColumn("place", F.row_number().over(in_order))
+    first_ones = F.collect_list(F.when(F.col("place") <= FIRST, F.col("h"))).over(in_order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    held = cut(held.withColumn("before", F.slice(first_ones, 1, F.least(F.col("place") - 1, F.lit(FIRST)))).select("a", "h", "pivot", "rest", "before", *sides))
+    drop(lists, common, members)
     reach = needed <= (1 + t) * (F.least("x_lost", "y_lost") + F.least("x_rest", "y_rest")) + slack
     own_too = lambda k: (F.col("rest").alias(f"{k}_rest"), F.col("before").alias(f"{k}_before"))
     left, right = side(held, "x", "a", "h", "pivot", *own_too("x")), side(held, "y", "a", "h", *own_too("y"))
     met_again = left.join(right, ["a", "h"]).where((F.col("x_id") < F.col("y_id")) & ~F.arrays_overlap("x_before", "y_before") & (F.col("x_class") != F.col("y_class")) & ~far & reach).select(*pair)
     more = cut(bare.unionByName(met_again).distinct())
+    drop(still, held)
     if not more.isEmpty():
         new = cut(compare(more, bodies, weights, s).where(F.col("similarity") >= s.threshold))
         links = links.unionByName(new)
-        classes = components(classes.select(F.col("id").alias("a"), F.col("class").alias("b")).unionByName(new.select("a", "b")))
+        classes = components(classes.select(F.col("id").alias("a"), F.col("class").alias("b")).unionByName(new.select("a", "b")), scratch)
+    drop(more, bodies)
     named = texts.select("id", "rep", "x1", "x2").join(classes, "id", "left").select("id", "rep", "x1", "x2", F.coalesce("class", "id").alias("component"))
-    return signed.select("doc_id", "x1", "x2"), named, links
+    return signed, named, links
 
 
 def _classes(docs: DataFrame, s: Settings) -> DataFrame:
-    """(doc_id, x1, x2, class_id, n_links) of each row with a doc_id."""
+    """(doc_id, x1, x2, class_id, n_links_found) of each row with a doc_id."""
     signed, texts, links = linked_texts(docs, s)
     smallest = texts.groupBy("component").agg(F.min("rep").alias("class_id"))
-    degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
-    labelled = skew_join(texts, smallest, "component").join(degree, "id", "left").select("x1", "x2", "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n_links_found"))
+    labelled = skew_join(texts, smallest, "component").join(degree, "id", "left").select("x1", "x2", "class_id", F.coalesce("n_links_found", F.lit(0)).cast("long").alias("n_links_found"))
     return signed.join(labelled, ["x1", "x2"])
 
 
 def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """(doc_id, class_id, n_links) for each row of docs: class_id is the smallest doc_id of its class of near duplicates, its own if it has none; n_links counts the other texts that its text was compared with and is linked to.
+    """(doc_id, class_id, n_links_found) for each row of docs: class_id is the smallest doc_id of its class of near duplicates, its own if it has none; n_links_found counts the other texts that its text was compared with and is linked to, which need not be all.
 
     Equal texts are in one class (null counts as empty); so are texts linked, if
     only through others, by a weighted Jaccard similarity of at least the
@@ -437,8 +460,8 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     doc_id with several texts are classed each by its own text, and don't join
     those texts' classes. A row with a null doc_id has a null class. An
     empty table gives an empty result. Only doc_id and text are read."""
-    nulls = docs.where("doc_id IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
-    return _classes(docs, s).select("doc_id", "class_id", "n_links").unionByName(nulls)
+    nulls = docs.where("doc_id IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links_found"))
+    return _classes(docs, s).select("doc_id", "class_id", "n_links_found").unionByName(nulls)
 
 
 def keep_one(docs: DataFrame, s: Settings = Settings()) -> DataFrame:

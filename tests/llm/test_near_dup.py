@@ -154,7 +154,7 @@ def test_edges(spark):
     out = near_dup.near_duplicates(edges.table(spark)).collect()
     assert len(out) == len(edges.TEXTS)
     classes = {(r["doc_id"], r["class_id"]) for r in out}
-    assert all(r["n_links"] >= 0 for r in out)
+    assert all(r["n_links_found"] >= 0 for r in out)
     assert {(1, 1), (2, 1), (3, 3), (4, 4), (5, 4), (6, 6), (None, None), (9, 9), (10, 10)} <= classes
     assert near_dup.near_duplicates(edges.empty(spark)).collect() == []
     kept = near_dup.keep_one(edges.table(spark))
