@@ -10,7 +10,7 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 
 from gridloom.llm import decontaminate, line_dedup, near_dup, packing, quality_rules
-from gridloom.llm.common import ensure_shared_dir, read
+from gridloom.llm.common import ensure_shared_dir, read, remove_folder
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,11 +45,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written to the shared folder and read again."""
+    """All stages over documents, each written to the shared folder and read again; what a stage wrote goes when the next one is there, and the last one's stays."""
     ensure_shared_dir(spark)
     folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid4().hex}"
     docs = read(spark, sf_dir, "documents")
+    before = None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            remove_folder(spark, before)
+        before = f"{folder}/{name}"
     return docs
