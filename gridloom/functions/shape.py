@@ -57,22 +57,32 @@ def _column(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def div(c: Column | str, by: int) -> Column:
+def div(c: Column | str, by: int | Column) -> Column:
     """Integer division that drops the fraction."""
+    if isinstance(by, Column):
+        return F.call_function("div", _column(c), by)
     return F.call_function("div", _column(c), F.lit(int(by))) if by != 1 else _column(c)
 
 
-def flat_column(shape: Sequence[int], at: Sequence[Column | str]) -> Column:
+def stride_columns(shape: Sequence[int | Column]) -> list[int | Column]:
+    """strides() of a shape that may be known only when the query runs."""
+    if not any(isinstance(d, Column) for d in shape):
+        return list(strides(shape))
+    wide = [d.cast("bigint") if isinstance(d, Column) else d for d in shape]
+    return [reduce(lambda a, b: a * b, wide[i + 1 :], 1) for i in range(len(wide))]
+
+
+def flat_column(shape: Sequence[int | Column], at: Sequence[Column | str]) -> Column:
     """flatten() of columns, as BIGINT."""
-    return reduce(lambda a, b: a + b, (_column(c).cast("bigint") * F.lit(s) for c, s in zip(at, strides(shape), strict=True)))
+    return reduce(lambda a, b: a + b, (_column(c).cast("bigint") * (s if isinstance(s, Column) else F.lit(s)) for c, s in zip(at, stride_columns(shape), strict=True)))
 
 
-def inflated_columns(shape: Sequence[int], number: Column | str) -> list[Column]:
+def inflated_columns(shape: Sequence[int | Column], number: Column | str) -> list[Column]:
     """inflate() of a column, each INT."""
     out = []
-    for i, (s, d) in enumerate(zip(strides(shape), checked(shape), strict=True)):
+    for i, (s, d) in enumerate(zip(stride_columns(shape), shape, strict=True)):
         c = div(number, s)
-        out.append((c % F.lit(d) if i else c).cast("int"))
+        out.append((c % (d if isinstance(d, Column) else F.lit(d)) if i else c).cast("int"))
     return out
 
 

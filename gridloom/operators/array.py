@@ -82,22 +82,28 @@ class NDArray:
             df = df.where(k)
         return replace(self, df=df)
 
-    def shifted(self, records: int) -> NDArray:
+    def shifted(self, records: int | Column) -> NDArray:
         """The same cells, so many records later."""
         others = [c for c in self.df.columns if c != "c0"]
-        shape = None if self.shape is None else (self.shape[0] + records, *self.shape[1:])
+        shape = None if self.shape is None or isinstance(records, Column) else (self.shape[0] + records, *self.shape[1:])
         return replace(self, df=self.df.select((F.col("c0") + records).cast("int").alias("c0"), *others), shape=shape)
 
+    def shape_columns(self) -> list[int | Column]:
+        """The shape, or scalar subqueries for the least one that holds all cells: nothing runs before the query does."""
+        if self.shape is not None:
+            return list(self.shape)
+        return [self.df.agg((F.coalesce(F.max(d), F.lit(-1)) + 1).alias("n")).scalar() for d in self.dims]
+
     def measured_shape(self) -> tuple[int, ...]:
-        """The shape, or the least one that holds all cells (one pass over the coordinates)."""
+        """The shape, or the least one that holds all cells, in numbers: one pass over the coordinates, now."""
         if self.shape is not None:
             return self.shape
         row = self.df.agg(*(F.max(d) for d in self.dims)).first()
         return tuple(0 if x is None else x + 1 for x in row)
 
-    def with_flat_id(self, shape: Sequence[int] | None = None) -> DataFrame:
+    def with_flat_id(self, shape: Sequence[int | Column] | None = None) -> DataFrame:
         """df and gid: the flattened coordinate."""
-        return self.df.withColumn("gid", sh.flat_column(shape or self.measured_shape(), self.dims))
+        return self.df.withColumn("gid", sh.flat_column(shape or self.shape_columns(), self.dims))
 
     def tile(self, extraction: Sequence[int] | None = None) -> TiledArray:
         from .tile import TiledArray

@@ -20,12 +20,13 @@ from .array import NDArray
 
 def to_chunks(array: NDArray, chunk: Sequence[int]) -> DataFrame:
     """Chunks of one shape (smaller at the array's end). Needs a dense array without repeated coordinates: cells that are missing would close up."""
-    whole = array.measured_shape()
+    whole = array.shape_columns()
     tiles = array.tile(chunk)
     corner = sh.corner_columns(tiles.keys, chunk)
-    extent = [F.least(F.lit(c), F.lit(d) - at).cast("int") for c, d, at in zip(chunk, whole, corner, strict=True)]
+    extent = [F.least(F.lit(c), (F.lit(d) if isinstance(d, int) else d) - at).cast("int") for c, d, at in zip(chunk, whole, corner, strict=True)]
     place = sh.flat_column(whole, array.dims)  # its order is row-major inside a chunk, too
-    grouped = tiles.cells.groupBy(*tiles.keys).agg(F.array_sort(F.collect_list(F.struct(place.alias("at"), F.col("value").alias("v")))).alias("cells"))
+    placed = tiles.cells.withColumn("_at", place)
+    grouped = placed.groupBy(*tiles.keys).agg(F.array_sort(F.collect_list(F.struct(F.col("_at").alias("at"), F.col("value").alias("v")))).alias("cells"))
     return grouped.select(F.array(*corner).alias("corner"), F.array(*extent).alias("shape"), F.transform("cells", lambda x: x["v"]).alias("values"))
 
 

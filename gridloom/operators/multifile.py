@@ -24,10 +24,10 @@ def combine(arrays: Sequence[NDArray]) -> NDArray:
 
 def concat(arrays: Sequence[NDArray]) -> NDArray:
     """Each array begins at the record where the one before it ends; tiles may span both."""
-    out, offset = [], 0
+    out, offset = [], 0  # a number, or a sum of scalar subqueries
     for a in arrays:
         out.append(a.shifted(offset))
-        offset += a.measured_shape()[0]
+        offset = offset + a.shape_columns()[0]
     known = all(a.shape for a in arrays)
     return replace(combine(out), shape=(offset, *map(max, zip(*(a.shape[1:] for a in arrays), strict=True))) if known else None)
 

@@ -66,7 +66,7 @@ class TiledArray:
 
     def max_by_flat_id(self) -> DataFrame:
         """max() grouped by one BIGINT, the flattened tile index over the array's shape."""
-        shape = self.array.measured_shape()
+        shape = self.array.shape_columns()
         gid = sh.flat_column(shape, sh.tile_columns(self.array.dims, self.extraction)).alias("gid")
         grouped = self.array.df.select(gid, "value").groupBy("gid").agg(F.max("value").alias("value"))
         return grouped.select("gid", *(c.alias(k) for k, c in zip(self.keys, sh.inflated_columns(shape, "gid"), strict=True)), "value")
@@ -153,7 +153,7 @@ class TiledArray:
 
     def catalog(self) -> DataFrame:
         """Each tile with cells: its index, corner and flattened id."""
-        shape = self.array.measured_shape()
+        shape = self.array.shape_columns()
         tiles = self.cells.select(*self.keys).distinct()
         corner = [c.alias(f"corner{i}") for i, c in enumerate(sh.corner_columns(self.keys, self.extraction))]
         return tiles.select(*self.keys, *corner, sh.flat_column(shape, self.keys).alias("gid"))

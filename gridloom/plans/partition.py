@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import shape as sh
@@ -63,37 +63,7 @@ def clip(r: Rectangle, window: Sequence[tuple[int, int]]) -> Rectangle | None:
     return tuple(corner), tuple(shape)
 
 
-def record_plan(spark: SparkSession, shape: Sequence[int], step: int) -> DataFrame:
-    """by_records() as a relation (split, corner, shape), made by Spark: for arrays of very many records."""
-    first = F.col("id") * step
-    corner = F.array(first.cast("int"), *(F.lit(0) for _ in shape[1:]))
-    extent = F.array(F.least(F.lit(step), F.lit(shape[0]) - first).cast("int"), *(F.lit(int(d)) for d in shape[1:]))
-    return spark.range(-(-shape[0] // step)).select(F.col("id").alias("split"), corner.alias("corner"), extent.alias("shape"))
-
-
-def block_plan(spark: SparkSession, shape: Sequence[int], begin: int, cell_bytes: int, block_bytes: int) -> DataFrame:
-    """by_blocks() as a relation (block, corner, shape): each block is cut up on its own."""
-    shape = sh.checked(shape)
-    total = sh.size(shape)
-    last = (begin + max(total - 1, 0) * cell_bytes) // block_bytes
-
-    def run(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            rows = []
-            for block in batch.column(0).to_pylist():
-                a = max(0, -(-(block * block_bytes - begin) // cell_bytes))
-                b = min(total, -(-((block + 1) * block_bytes - begin) // cell_bytes))
-                rows += [(block, c, s) for c, s in of_range(shape, a, b)]
-            lists = pa.list_(pa.int32())
-            columns = list(zip(*rows, strict=True)) or [[], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], lists), pa.array(columns[2], lists)], names=["block", "corner", "shape"])
-
-    return spark.range(begin // block_bytes, last + 1).mapInArrow(run, "block long, corner array<int>, shape array<int>")
-
-
-def cell_offsets(cells: DataFrame, shape: Sequence[int], begin: int, cell_bytes: int, record_bytes: int | None = None) -> DataFrame:
+def cell_offsets(cells: DataFrame, shape: Sequence[int | Column], begin: int, cell_bytes: int, record_bytes: int | Column | None = None) -> DataFrame:
     """cells (c0, c1, ...) with offset: where a cell's bytes begin in its file. record_bytes is the distance of records for a variable with an unlimited dimension."""
     dims = [f"c{i}" for i in range(len(shape))]
     if record_bytes is None:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import shape as sh
-from .operators import blocks, chunks, multifile
+from .operators import blocks, chunks, multifile, store
 from .operators.array import NDArray
 from .operators.tile import run_query
 from .plans import partition
@@ -184,6 +184,25 @@ def tile_median_by_refining(spark, sf_dir):
     return lineitem(spark, sf_dir).tile(L_TILE).median(plan="refine", counters=8)
 
 
+@query("tile_store_median", _sql("L", L_TILE, MEDIAN))
+def tile_store_median(spark, sf_dir):
+    """From a store of 32 buckets by tile: the aggregate has no shuffle."""
+    return store.save_bucketed(lineitem(spark, sf_dir).tile(L_TILE), store.table_name(), 32).median()
+
+
+@query("tile_store_range", _sql("L", L_TILE, AVERAGE, "c0 // 100 >= 3 AND c0 // 100 < 12 AND c1 // 2 >= 1 AND c1 // 2 < 3"))
+def tile_store_range(spark, sf_dir):
+    """From an ordered store: the files that have the tiles alone are read."""
+    kept = store.save_ordered(lineitem(spark, sf_dir).tile(L_TILE), shared_folder(spark, "tiles"), 16)
+    return kept.tiles((3, 1), (12, 3)).average()
+
+
+@query("tile_store_slice", f"SELECT c0::INTEGER AS c0, c1::INTEGER AS c1, value FROM ({CELLS['L']}) WHERE c0 BETWEEN 250 AND 1200 AND c1 BETWEEN 2 AND 3")
+def tile_store_slice(spark, sf_dir):
+    kept = store.save_ordered(lineitem(spark, sf_dir).tile(L_TILE), shared_folder(spark, "tiles"), 16)
+    return kept.slice((250, 2), (951, 2)).df
+
+
 @query("median_counters", f"SELECT count(*) AS n_tiles, count(*) FILTER (is_full) AS n_full, count(*) FILTER (NOT is_full) AS n_not_full, sum(value)::BIGINT AS total FROM ({_sql('W', ODD_TILE, MEDIAN + ', ' + COUNTS.format(n=108))})")
 def median_counters(spark, sf_dir):
     """What one run of the median counts beside its result, and the sum of the result as it was written."""
@@ -350,47 +369,54 @@ def bounding_tiles(spark, sf_dir):
 @query("flatten_unflatten", f"WITH s AS (SELECT max(c1) + 1 AS d1, max(c2) + 1 AS d2, max(c3) + 1 AS d3 FROM ({CELLS['W']})) SELECT ((c0::BIGINT * d1 + c1) * d2 + c2) * d3 + c3 AS gid, c0::INTEGER AS u0, c1::INTEGER AS u1, c2::INTEGER AS u2, c3::INTEGER AS u3 FROM ({CELLS['W']}), s")
 def flatten_unflatten(spark, sf_dir):
     array = four(spark, sf_dir)
-    shape = array.measured_shape()
+    shape = array.shape_columns()
     return array.with_flat_id(shape).select("gid", *(c.alias(f"u{i}") for i, c in enumerate(sh.inflated_columns(shape, "gid"))))
 
 
-def _spread(plan: DataFrame) -> DataFrame:
-    parts = [F.get(c, F.lit(i)).alias(f"{c}{i}") for c in ("corner", "shape") for i in range(2)]
-    return plan.select(plan.columns[0], *parts)
+# What a reader's cuts hold of the table's cells: slabs of records, and blocks of a file in which the cells lie one after another
+
+
+def _slabs(spark: SparkSession, sf_dir: str, step: int | Column) -> DataFrame:
+    cells = embeddings(spark, sf_dir).df
+    split = sh.div("c0", step).cast("bigint").alias("split")
+    return cells.groupBy(split).agg(F.min("c0").alias("corner0"), F.min("c1").alias("corner1"), F.count_distinct("c0").cast("int").alias("shape0"), F.count_distinct("c1").cast("int").alias("shape1"), F.count(F.lit(1)).alias("n_cells"))
 
 
-def _plan_sql(step: str) -> str:
-    return f"""WITH s AS (SELECT max(vec_id) + 1 AS d0, max(len(embedding)) AS d1 FROM embeddings), p AS (SELECT *, {step} AS step FROM s), q AS (SELECT *, unnest(range(0, CAST(ceil(d0 / step) AS BIGINT))) AS split FROM p)
-        SELECT split, (split * step)::INTEGER AS corner0, 0 AS corner1, least(step, d0 - split * step)::INTEGER AS shape0, d1::INTEGER AS shape1 FROM q"""
+def _slab_sql(step: str) -> str:
+    return f"SELECT c0 // ({step}) AS split, min(c0)::INTEGER AS corner0, min(c1)::INTEGER AS corner1, count(DISTINCT c0)::INTEGER AS shape0, count(DISTINCT c1)::INTEGER AS shape1, count(*) AS n_cells FROM ({CELLS['V']}) GROUP BY 1"
 
 
-@query("split_plan_record", _plan_sql("7"))
+@query("split_plan_record", _slab_sql("7"))
 def split_plan_record(spark, sf_dir):
-    shape = embeddings(spark, sf_dir).measured_shape()
-    return _spread(partition.record_plan(spark, shape, partition.record_step("record", shape, first_extraction=7)))
+    return _slabs(spark, sf_dir, partition.record_step("record", (0,), first_extraction=7))
 
 
-@query("split_plan_proportional", _plan_sql("greatest((greatest(d0 // 12, 1)) // 10, 1) * 10"))
+@query("split_plan_proportional", _slab_sql("SELECT greatest(greatest((max(vec_id) + 1) // 12, 1) // 10, 1) * 10 FROM embeddings"))
 def split_plan_proportional(spark, sf_dir):
-    shape = embeddings(spark, sf_dir).measured_shape()
-    return _spread(partition.record_plan(spark, shape, partition.record_step("proportional", shape, 12, first_extraction=10)))
+    records = embeddings(spark, sf_dir).shape_columns()[0]
+    return _slabs(spark, sf_dir, F.greatest(sh.div(F.greatest(sh.div(records, 12), F.lit(1)), 10), F.lit(1)) * 10)
 
 
-@query("split_plan_calculated")
+@query("split_plan_calculated", f"SELECT (100 + (c0 * (SELECT max(len(embedding)) FROM embeddings) + c1) * 4) // 4096 AS block, min(c0)::INTEGER AS first0, max(c0)::INTEGER AS last0, count(*) AS n_cells, sum(value)::BIGINT AS total FROM ({CELLS['V']}) GROUP BY 1")
 def split_plan_calculated(spark, sf_dir):
-    return _spread(partition.block_plan(spark, embeddings(spark, sf_dir).measured_shape(), 100, 4, 4096))
+    v = embeddings(spark, sf_dir)
+    placed = partition.cell_offsets(v.df, v.shape_columns(), 100, 4)
+    return placed.groupBy(sh.div("offset", 4096).alias("block")).agg(F.min("c0").alias("first0"), F.max("c0").alias("last0"), F.count(F.lit(1)).alias("n_cells"), F.sum("value").alias("total"))
 
 
 @query("cell_offsets", f"WITH s AS (SELECT max(c1) + 1 AS d1 FROM ({CELLS['V']})) SELECT c0::INTEGER AS c0, c1::INTEGER AS c1, 100 + c0 * (d1 * 4 + 8) + c1 * 4 AS offset FROM ({CELLS['V']}), s")
 def cell_offsets(spark, sf_dir):
     v = embeddings(spark, sf_dir)
-    shape = v.measured_shape()
+    shape = v.shape_columns()
     return partition.cell_offsets(v.df.drop("value"), shape, 100, 4, record_bytes=shape[1] * 4 + 8)
 
 
-@query("netcdf_splits")
+@query("netcdf_splits", f"SELECT 'part-' || lpad((c0 // 100)::VARCHAR, 9, '0') || '.nc' AS file, min(c0)::INTEGER AS first0, max(c0)::INTEGER AS last0, count(*) AS n_cells, 4 * count(*) AS n_bytes FROM ({CELLS['V']}) GROUP BY 1")
 def netcdf_splits(spark, sf_dir):
-    return netcdf3.explain_splits(spark, _as_netcdf(spark, sf_dir), TileQuery(partition_mode="record", low=50, high=350, extraction_shape=V_TILE, query_dependent=True)).drop("file")
+    """The records, cells and bytes of V that are read from each file."""
+    cells = netcdf3.cells_with_offsets(spark, _as_netcdf(spark, sf_dir), TileQuery(partition_mode="record", extraction_shape=V_TILE, query_dependent=True))
+    file = F.substring_index("file", "/", -1).alias("file")
+    return cells.groupBy(file).agg(F.min("c0").alias("first0"), F.max("c0").alias("last0"), F.count(F.lit(1)).alias("n_cells"), (F.max("offset") - F.min("offset") + 4).alias("n_bytes"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

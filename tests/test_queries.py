@@ -22,14 +22,13 @@ def test_entry(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-def test_calculated_plan_covers_all_cells_once(spark):
+def test_blocks_of_a_file_hold_all_cells_once(spark):
     plan = queries.QUERIES["split_plan_calculated"](spark, f"{DATA}/sf0.001").toPandas()
-    assert (plan.shape0 * plan.shape1).sum() == queries.embeddings(spark, f"{DATA}/sf0.001").df.count()
-    # A block has at most 1024 cells, and a rectangle is whole rows or part of one.
-    assert (plan.assign(n=plan.shape0 * plan.shape1).groupby("block").n.sum() <= 1024).all()
+    assert plan.n_cells.sum() == queries.embeddings(spark, f"{DATA}/sf0.001").df.count()
+    assert (plan.n_cells <= 1024).all() and plan.block.is_unique  # a block has at most 1024 cells
 
 
-def test_netcdf_splits_hold_the_range_alone(spark):
+def test_splits_hold_all_records_once(spark):
     splits = queries.QUERIES["netcdf_splits"](spark, f"{DATA}/sf0.001").toPandas()
-    records = sorted(o + c[0] + i for o, c, s in zip(splits.start_offset, splits.corner, splits["shape"], strict=True) for i in range(s[0]))
-    assert records == list(range(50, 350))
+    records = sorted(i for a, b in zip(splits.first0, splits.last0, strict=True) for i in range(a, b + 1))
+    assert records == list(range(len(records))) and splits.n_cells.sum() * 4 == splits.n_bytes.sum()
