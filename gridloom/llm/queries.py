@@ -91,6 +91,19 @@ QUERIES = {
     "op13_merkle": op13_merkle,
 }
 
+
+def _crc32_sql(text: str) -> str:
+    """The unsigned CRC-32 of a text's UTF-8 bytes in DuckDB's SQL, bit by bit."""
+    data = f"hex(encode({text}))"
+    taken = f"list_transform(range(1, length({data}) // 2 + 1), lambda p: ('0x' || substr({data}, (2 * p - 1)::INTEGER, 2))::BIGINT)"
+    step = "list_reduce(list_prepend(xor(c, b), range(8)), lambda r, j: xor(r >> 1, 3988292384 * (r & 1)))"
+    return f"xor(list_reduce(list_prepend(4294967295, {taken}), lambda c, b: {step}), 4294967295)"
+
+
+def _leaf_sql(*fields: str) -> str:
+    return "sha256(" + " || ".join(f"coalesce(strlen({f}::VARCHAR)::VARCHAR || ':' || {f}::VARCHAR, '-')" for f in fields) + ")"
+
+
 #: DuckDB.
 ORACLE_SQL = {
     "op7_quality_rules": rf"""
@@ -142,4 +155,55 @@ ORACLE_SQL = {
             sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
             sum(length('<|turn|>' || role || '<|text|>' || safe || '<|end|>'))::BIGINT AS formatted_chars
         FROM e GROUP BY conv_id""",
+    "op11_spelling": rf"""
+        WITH RECURSIVE runs AS (
+            SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS k
+            FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS run FROM documents) GROUP BY ALL),
+        hashed AS (
+            SELECT *, CASE WHEN doc_id IS NULL THEN 1 ELSE {_crc32_sql("doc_id || ':' || run")} END AS h FROM runs),
+        vocabulary AS (
+            SELECT CASE WHEN h % 97 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, sum(k)::BIGINT AS n
+            FROM hashed GROUP BY 1 HAVING length(word) >= 5 AND sum(k) >= 3),
+        places AS (
+            SELECT word, left(word, i) || '*' || substr(word, i + 2) AS masked, left(word, i) || substr(word, i + 2) AS shorter FROM (SELECT word, unnest(range(0, length(word))) AS i FROM vocabulary)),
+        pairs AS (
+            SELECT a.word AS word, b.word AS near FROM places AS a JOIN places AS b ON a.masked = b.masked AND a.word <> b.word
+            UNION SELECT a.word, b.word FROM places AS a JOIN vocabulary AS b ON a.shorter = b.word
+            UNION SELECT b.word, a.word FROM places AS a JOIN vocabulary AS b ON a.shorter = b.word),
+        best AS (
+            SELECT p.word, count(*) AS n_near, arg_min(p.near, (-v.n, p.near)) AS near, max(v.n) AS near_n FROM pairs AS p JOIN vocabulary AS v ON p.near = v.word GROUP BY 1),
+        named AS (
+            SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 2 * v.n THEN near END AS form, CASE WHEN near_n >= 2 * v.n THEN near_n END AS form_n FROM vocabulary AS v LEFT JOIN best USING (word)),
+        chain AS (
+            SELECT word, word AS last, form AS next FROM named UNION ALL SELECT c.word, n.word, n.form FROM chain AS c JOIN named AS n ON c.next = n.word)
+        SELECT word, form, last AS root, n, n_near, form_n FROM named JOIN (SELECT word, last FROM chain WHERE next IS NULL) USING (word)""",
+    "op13_merkle": rf"""
+        WITH RECURSIVE shown AS (
+            SELECT *, CASE WHEN {_crc32_sql("doc_id::VARCHAR")} % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS claim FROM documents),
+        leaves AS (
+            SELECT doc_id, source, {_leaf_sql("doc_id", "source", "lang", "n_chars", "text")} AS leaf, {_leaf_sql("doc_id", "source", "lang", "n_chars", "claim")} AS claimed FROM shown),
+        placed AS (
+            SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY source) AS n, row_number() OVER () AS id FROM leaves),
+        nodes AS (
+            SELECT 0 AS level, source, i, n, leaf AS h FROM placed
+            UNION ALL SELECT level + 1, source, i // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY i)) FROM nodes WHERE n > 1 GROUP BY level, source, n, i // 3),
+        subroots AS (
+            SELECT source, h, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM nodes WHERE n = 1),
+        tops AS (
+            SELECT 0 AS level, i, n, h FROM subroots UNION ALL SELECT level + 1, i // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY i)) FROM tops WHERE n > 1 GROUP BY level, n, i // 3),
+        beside AS (
+            SELECT a.level, a.source, a.i, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i < a.i), '') AS l, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i > a.i), '') AS r
+            FROM nodes AS a JOIN nodes AS b ON a.level = b.level AND a.source IS NOT DISTINCT FROM b.source AND a.i // 3 = b.i // 3 WHERE a.n > 1 GROUP BY ALL),
+        above AS (
+            SELECT a.level, a.i, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i < a.i), '') AS l, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i > a.i), '') AS r
+            FROM tops AS a JOIN tops AS b ON a.level = b.level AND a.i // 3 = b.i // 3 WHERE a.n > 1 GROUP BY ALL),
+        steps AS (
+            SELECT id, row_number() OVER (PARTITION BY id ORDER BY level) AS k, l, r FROM (
+                SELECT p.id, b.level, b.l, b.r FROM placed AS p JOIN beside AS b ON p.source IS NOT DISTINCT FROM b.source AND b.i = p.i // pow(3, b.level)::BIGINT
+                UNION ALL SELECT p.id, 100 + a.level, a.l, a.r FROM placed AS p JOIN subroots AS s ON p.source IS NOT DISTINCT FROM s.source JOIN above AS a ON a.i = s.i // pow(3, a.level)::BIGINT)),
+        folded AS (
+            SELECT id, 0 AS k, claimed AS h FROM placed UNION ALL SELECT f.id, f.k + 1, sha256(s.l || f.h || s.r) FROM folded AS f JOIN steps AS s ON s.id = f.id AND s.k = f.k + 1)
+        SELECT p.doc_id, p.leaf, s.h AS subroot, t.h AS root, sha256(coalesce(q.proof, '')) AS proof_sha256, f.h AS folded_root, f.h = t.h AS verified
+        FROM placed AS p JOIN subroots AS s ON p.source IS NOT DISTINCT FROM s.source CROSS JOIN (SELECT h FROM tops WHERE n = 1) AS t
+            LEFT JOIN (SELECT id, string_agg(l || r, '' ORDER BY k) AS proof, max(k) AS last FROM steps GROUP BY id) AS q ON q.id = p.id JOIN folded AS f ON f.id = p.id AND f.k = coalesce(q.last, 0)""",
 }

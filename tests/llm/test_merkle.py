@@ -5,7 +5,7 @@ import edges
 import pytest
 from pyspark.sql import functions as F
 
-from compare import DATA
+from compare import DATA, connect
 from gridloom.llm import merkle, queries
 from gridloom.llm.merkle import Shape
 
@@ -69,6 +69,8 @@ def test_query_against_plain_version(spark):
     assert got.columns == ["doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"]
     got = sorted(map(tuple, got.collect()), key=repr)
     assert got == plain(docs)
+    sql = connect("sf0.01").sql(f"SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, verified FROM ({queries.ORACLE_SQL['op13_merkle']})")
+    assert sorted(sql.fetchall(), key=repr) == got
     assert {x[-1] for x in got} == {True, False}
 
 

@@ -1,5 +1,8 @@
 import brute
 import corpus_pipeline
+import edges
+from pyspark.sql import functions as F
+
 from compare import DATA
 from gridloom.llm import decontaminate, near_dup
 from test_near_dup import brute as classes
@@ -37,5 +40,38 @@ def test_stages_against_plain_versions(spark):
     verify(packed, last)
 
 
+def test_awkward_tables(spark, tmp_path):
+    """Null and empty texts, repeated rows, ties, very long texts and columns whose names stages use: each stage keeps the columns, and what is clean comes out whole."""
+    sf = f"{DATA}/sf0.001"
+    docs = edges.table(spark, ("n_links", "pivot", "hash")).withColumn("n_chars", F.length("text").cast("long")).withColumn("source", F.lit("s"))
+    columns = docs.columns
+    for n, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, sf).write.parquet(str(tmp_path / str(n)))
+        docs = spark.read.parquet(str(tmp_path / str(n)))
+        if n < len(corpus_pipeline.STAGES) - 1:
+            assert docs.columns == columns
+            assert all(brute.rules(r["text"])[0] >= 20 for r in docs.collect())
+    assert {r["doc_id"] for r in docs.collect()} <= {d for d, _ in edges.TEXTS} and 4 in {r["doc_id"] for r in docs.collect()}
+
+
+def test_empty_table(spark, tmp_path):
+    sf = f"{DATA}/sf0.001"
+    docs = edges.empty(spark).withColumn("n_chars", F.lit(0).cast("long")).withColumn("source", F.lit("s"))
+    for n, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, sf).write.parquet(str(tmp_path / str(n)))
+        docs = spark.read.parquet(str(tmp_path / str(n)))
+        assert docs.count() == 0
+
+
+def test_run_leaves_the_last_stage_alone(spark):
+    import glob
+
+    folder = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    before = set(glob.glob(f"{folder}/pipeline-*"))
+    corpus_pipeline.run(spark, f"{DATA}/sf0.001").count()
+    (new,) = set(glob.glob(f"{folder}/pipeline-*")) - before
+    assert [p.rsplit("/", 1)[1] for p in glob.glob(f"{new}/*")] == ["packing"]
+
+
 def test_names():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "line_dedup", "near_dup", "decontaminate", "packing"]

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from compare import DATA
+from compare import DATA, connect
 from gridloom.llm import queries, spelling
 from gridloom.llm.spelling import Settings
 
@@ -70,6 +70,7 @@ def test_query_against_brute_force(spark):
     docs = [tuple(r) for r in spark.read.parquet(f"{DATA}/sf0.01/documents.parquet").select("doc_id", "text").collect()]
     want = variants(docs)
     assert found(queries.op11_spelling(spark, f"{DATA}/sf0.01")) == want
+    assert set(connect("sf0.01").sql(f"SELECT word, form, root, n, n_near, form_n FROM ({queries.ORACLE_SQL['op11_spelling']})").fetchall()) == want
     assert len(want) > 3000 and sum(x[1] is not None for x in want) > 300
 
 
