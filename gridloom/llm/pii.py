@@ -274,8 +274,7 @@ def _rewritten(kind: str, m: Column) -> tuple[list[Column], list[Column]]:
         return out
 
     styles = [(f, g, by) for f in ("0", "00") for g in ((3, 6), (2, 4, 4), (3, 3, 3), (3, 3, 4), (4, 6), (2, 2, 2, 2, 2)) for by in (" ", "-", "/", ".")]
-    national = [cut(50 + k, *style) for k, style in enumerate(styles)]
-    some = [F.element_at(F.array(*national), (_draw(90 + k, len(national), m) + 1).cast("int")) for k in range(6)]
+    some = [cut(50 + k, *styles[k * 11 % len(styles)]) for k in range(8)]  # each with its own lengths and separators
     true = pick(F.concat(F.lit("00"), rest), F.when(F.length(_digits(inner)) >= 8, inner).otherwise(F.concat(F.lit("00"), rest)), F.concat(F.lit("+"), slashes(rest)), F.concat(F.lit("00"), digits), F.concat(F.lit("00 "), digits), grouped("-"), grouped("."), grouped(" "), *some)
     wrong = pick(F.concat(F.lit("00"), digits, digits), F.concat(F.lit("("), F.left(digits, F.lit(4)), F.lit(") "), F.substring(digits, 5, 3)), F.concat(F.lit("+"), slashes(F.concat(rest, F.lit("-"), F.left(digits, F.lit(8))))), F.concat(F.lit("00"), digits, F.left(digits, F.lit(7))))
     return [F.coalesce(x, F.concat(F.lit("00"), digits)) for x in true], wrong
@@ -385,7 +384,7 @@ def learn(docs: DataFrame, sample_docs: int = 2000, sample_candidates: int = 20_
     rows = chosen.select("label", "features", F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(4)).alias("part")).collect()
     data = np.array([[r["part"], r["label"], *r["features"]] for r in rows], float).reshape(-1, len(FEATURES) + 3)
     held, y, x = data[:, 0] == 0, data[:, 1], data[:, 2:]
-    start, ensemble = trees.boost(x[~held], y[~held], n_trees=96, depth=4)
+    start, ensemble = trees.boost(x[~held], y[~held], n_trees=48, depth=4)
     odds = start + sum((trees.apply(t, x[held]) for t in ensemble), np.zeros(held.sum()))
     thresholds = {}
     for i, kind in enumerate(KINDS):
