@@ -119,7 +119,7 @@ def test_forms_that_no_template_wrote(spark, judge):
         hits = sum(t and f for t, f, _ in own)
         recall, precision = hits / sum(t for t, _, _ in own), hits / max(1, sum(f for _, f, _ in own))
         print(kind, round(recall, 2), round(precision, 2), [x for t, f, x in own if t != f])
-        weak += [] if recall >= 0.75 and precision >= 0.9 else [kind]
+        weak += [] if recall >= 0.8 and precision >= 0.9 else [kind]
     assert not weak
 
 
