@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gridloom.llm import near_dup
+from gridloom.llm import common, near_dup
 
 
 def plain_shingles(text):
@@ -216,3 +216,32 @@ def test_members_that_only_a_few_additions_link(spark, monkeypatch):
 def test_more_bands_than_bits():
     with pytest.raises(ValueError, match="64 bands"):
         near_dup.Settings(bands=65)
+
+
+def test_files_grow_with_the_texts(spark, monkeypatch):
+    """Nine long texts that differ by many words each: what is written, at most at one time, grows as the texts do."""
+    import glob
+    import os
+
+    def most_written(n):
+        rng = random.Random(n)
+        words = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+        shared = {i: f"s{i}" for i in rng.sample(range(n), n * 15 // 1000)}
+        docs = []
+        for d in range(9):
+            own = {i: f"o{d}x{i}" for i in rng.sample(range(n), n * 15 // 1000)}
+            edits = own if d == 0 else shared | own
+            docs.append((d, " ".join(edits.get(i, w) for i, w in enumerate(words))))
+        seen, plain = [], common.Scratch.cut
+
+        def cut(self, df):
+            out = plain(self, df)
+            seen.append(sum(os.path.getsize(f) for f in glob.glob(f"{self.base.removeprefix('file:')}/**/*.parquet", recursive=True)))
+            return out
+
+        monkeypatch.setattr(common.Scratch, "cut", cut)
+        near_dup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+        monkeypatch.setattr(common.Scratch, "cut", plain)
+        return max(seen)
+
+    assert most_written(20_000) < 6 * most_written(5000)
