@@ -16,7 +16,9 @@ def connect(sf):
 
 
 def rows(frame: pd.DataFrame):
-    """Rows as sorted tuples, columns by name, missing values as None."""
+    """Rows as sorted tuples, columns by name, missing values as None. pandas makes floats of whole numbers beside missing ones; these are whole numbers again."""
     frame = frame[sorted(frame.columns)]
+    lost = [c for c in frame.columns if frame[c].dtype.kind == "f" and frame[c].isna().any() and (frame[c].dropna() % 1 == 0).all()]
+    frame = frame.astype({c: "Int64" for c in lost})
     frame = frame.astype(object).where(frame.notna(), None)
     return list(frame.columns), sorted(map(repr, frame.itertuples(index=False, name=None)))
