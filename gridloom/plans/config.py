@@ -15,7 +15,9 @@ class TileQuery:
 
     variable: "" is the last one in a file. low and high: records low <= c0 < high.
     slice_corner and slice_shape: a rectangle, of which alone a source reads.
-    extraction_shape: None is one cell for each tile. ordered: results come in the
+    multi_file_mode: "concat" puts files one after another along the records,
+    "combine" overlays them, "combine_folders" overlays folders, the files of each
+    one after another. extraction_shape: None is one cell for each tile. ordered: results come in the
     order of their tile's index, over all partitions. sample_ratio, placement_mode,
     use_combiner, holistic and logfile are accepted and change nothing: Spark
     places tasks, always aggregates partially and finishes tiles exactly."""
@@ -84,6 +86,6 @@ _PARSERS = {f.name: {"str": str, "int": int, "float": float, "bool": _truth}.get
     "operator": lambda raw: raw.lower() if raw.lower() in OPERATORS else "",
     "partition_mode": _one_of(("proportional", "record", "calculated"), "proportional"),
     "placement_mode": _one_of(("roundrobin", "sampling", "implicit"), "roundrobin"),
-    "multi_file_mode": _one_of(("combine", "concat"), "combine"),
+    "multi_file_mode": _one_of(("combine", "combine_folders", "concat"), "combine"),
     "num_partitions": _count,
 }

@@ -10,6 +10,7 @@ files that appear when the whole write has been done."""
 from __future__ import annotations
 
 import json
+from collections import defaultdict
 from collections.abc import Iterable, Iterator, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
@@ -56,7 +57,7 @@ STRETCH = 1 << 12
 
 
 def manifest(spark: SparkSession, path: str, query: TileQuery = TileQuery(), skip_invalid: bool = True) -> DataFrame:
-    """A row for each NetCDF file of a path: number (its place in the order of names), file, the chosen variable's name, shape, dims, kind, begin and record_bytes, records, and start, the records before it (0 for the multi-file mode "combine").
+    """A row for each NetCDF file of a path: number (its place in the order of names), file, the chosen variable's name, shape, dims, kind, begin and record_bytes, records, and start, the records before it (0 for the multi-file mode "combine"; in its folder for "combine_folders").
 
     Headers are parsed in tasks, each once; other files are left out, or fail.
     Written as Parquet, it serves as the option manifest of later reads."""
@@ -79,14 +80,15 @@ def manifest(spark: SparkSession, path: str, query: TileQuery = TileQuery(), ski
     files = list(enumerate(list_files(path)))
     tasks = max(1, min(len(files) // 16, spark.sparkContext.defaultParallelism * 4))
     found = spark.createDataFrame(files, "number long, file string").repartition(tasks).mapInArrow(parsed, MANIFEST)
-    if query.multi_file_mode != "concat":
+    if query.multi_file_mode not in ("concat", "combine_folders"):
         return found.withColumn("start", F.lit(0).cast("long"))
     # Prefix sums in two steps, so that no task gets a row for each file.
-    found = found.withColumn("_stretch", sh.div("number", STRETCH))
-    sums = found.groupBy("_stretch").agg(F.sum("records").alias("_n"))
-    before = sums.select("_stretch", F.coalesce(F.sum("_n").over(Window.orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    inside = F.coalesce(F.sum("records").over(Window.partitionBy("_stretch").orderBy("number").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return found.join(before, "_stretch").withColumn("start", F.col("_before") + inside).drop("_stretch", "_before", "_n")
+    one_array = F.regexp_replace("file", "[^/]*$", "") if query.multi_file_mode == "combine_folders" else F.lit("")
+    found = found.withColumn("_array", one_array).withColumn("_stretch", sh.div("number", STRETCH))
+    sums = found.groupBy("_array", "_stretch").agg(F.sum("records").alias("_n"))
+    before = sums.select("_array", "_stretch", F.coalesce(F.sum("_n").over(Window.partitionBy("_array").orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    inside = F.coalesce(F.sum("records").over(Window.partitionBy("_array", "_stretch").orderBy("number").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return found.join(before, ["_array", "_stretch"]).withColumn("start", F.col("_before") + inside).drop("_array", "_stretch", "_before", "_n")
 
 
 Located = list[tuple[str, Variable, int]]  # (file, variable, records before it)
@@ -107,7 +109,7 @@ def located(path: str, query: TileQuery, skip_invalid: bool = True) -> Located:
         except HeaderError as e:
             return e
 
-    out, before, files = [], 0, list_files(path)
+    out, before, files = [], defaultdict(int), list_files(path)
     with ThreadPoolExecutor(32) as pool:
         headers = list(pool.map(header_of, files))
     for f, found in zip(files, headers, strict=True):
@@ -116,8 +118,9 @@ def located(path: str, query: TileQuery, skip_invalid: bool = True) -> Located:
                 continue
             raise found
         v = choose(found, query.variable)
-        out.append((f, v, before if query.multi_file_mode == "concat" else 0))
-        before += v.shape[0]
+        one_array = {"concat": "", "combine_folders": f.rpartition("/")[0]}.get(query.multi_file_mode, f)
+        out.append((f, v, before[one_array]))
+        before[one_array] += v.shape[0]
     if not out:
         raise ValueError(f"no NetCDF classic file in {path}")
     return out
@@ -321,6 +324,8 @@ def explain_splits(spark: SparkSession, path: str, query: TileQuery, block_bytes
 
 #: Bytes of cells in one file, unless records_per_file says otherwise; and of the records that a task holds.
 FILE_BYTES, HELD_BYTES = 64 << 20, 1 << 20
+#: Bytes of cells of the small files that one task writes.
+TASK_BYTES = 16 << 20
 
 
 @dataclass(frozen=True)
@@ -506,7 +511,8 @@ def write(array: NDArray, folder: str, variable: str = "value", records_per_file
 
     Read as one array again by the multi-file mode "concat". Cells are shuffled
     to their file and sorted by record, and streamed into it (see NetCDF3Writer).
-    Missing cells get the fill value, and of repeated ones any stays. coordinates
+    A task writes one file, or neighbouring ones of TASK_BYTES together where
+    there are more files than cores. Missing cells get the fill value, and of repeated ones any stays. coordinates
     names the dimensions and adds a variable for each: INT along the records,
     FLOAT along the others. others are columns of the array's cells beside value,
     a variable each; the array's variable is the last one."""
@@ -514,12 +520,14 @@ def write(array: NDArray, folder: str, variable: str = "value", records_per_file
     spark.dataSource.register(NetCDF3)
     inner, columns = shape[1:], [*others, "value"]
     sizes = {f.name: np.dtype(TYPES[next(n for n, (_, sql) in TYPES.items() if sql == f.dataType.simpleString())][0]).itemsize for f in array.df.schema.fields if f.name in columns}
-    records = records_per_file or max(1, FILE_BYTES // max(1, sum(sizes.values()) * sh.size(inner or (1,))))
+    record_bytes = max(1, sum(sizes.values()) * sh.size(inner or (1,)))
+    records = records_per_file or max(1, FILE_BYTES // record_bytes)
     files = -(-shape[0] // records)
+    together = max(1, min(TASK_BYTES // (records * record_bytes), files // spark.sparkContext.defaultParallelism))
     cells = array.df.select(*array.dims, *columns)
     every = spark.range(files).select((F.col("id") * records).cast("int").alias("c0"), *(F.lit(None).cast(f.dataType).alias(f.name) for f in cells.schema.fields[1:]))
-    number = sh.div("c0", records)
-    laid = cells.unionByName(every).repartition(number).sortWithinPartitions("c0")
+    task = sh.div("c0", records * together).cast("int")
+    laid = cells.unionByName(every).repartitionById(max(1, -(-files // together)), task).sortWithinPartitions("c0")
     options = {"shape": ",".join(map(str, shape)), "variable": variable, "records_per_file": records, "record_dimension": str(record_dimension).lower(), "fill": fill}
     if coordinates:
         options["coordinates"] = json.dumps([(c.name, c.long_name, c.units) for c in coordinates])
