@@ -36,6 +36,8 @@ __all__ = ["Column1D", "HeaderError", "NetCDF3", "Variable", "explain_splits", "
 
 #: Cells of one batch, and of one block.
 BATCH_CELLS = 1 << 18
+#: Small pieces are dealt to so many tasks, each of TASK_BYTES of cells at most; the small files that one task writes have TASK_BYTES together, too.
+TASKS, TASK_BYTES = 128, 16 << 20
 
 
 # --- Which files, and where their records are
@@ -126,11 +128,38 @@ def located(path: str, query: TileQuery, skip_invalid: bool = True) -> Located:
     return out
 
 
-class Piece(InputPartition):
+@dataclass(frozen=True)
+class Piece:
     """Rectangles of one file; offset: the records of the files before."""
 
-    def __init__(self, path: str, variable: Variable, offset: int, rectangles: tuple[plan.Rectangle, ...]) -> None:
-        self.path, self.variable, self.offset, self.rectangles = path, variable, offset, rectangles
+    path: str
+    variable: Variable
+    offset: int
+    rectangles: tuple[plan.Rectangle, ...]
+
+    @property
+    def bytes_(self) -> int:
+        return sum(sh.size(shape) for _, shape in self.rectangles) * self.variable.cell_bytes
+
+
+class Task(InputPartition):
+    """Neighbouring pieces, of one file or several."""
+
+    def __init__(self, pieces: Sequence[Piece]) -> None:
+        self.pieces = tuple(pieces)
+
+
+def tasks_of(found: Sequence[Piece]) -> list[Task]:
+    """A task costs more than a small piece does: each gets as many pieces as have a TASKS-th of all bytes, or TASK_BYTES where that is less, and one at least."""
+    sizes = [p.bytes_ for p in found]
+    most = min(-(-sum(sizes) // TASKS), TASK_BYTES)
+    out, first, held = [], 0, 0
+    for i, n in enumerate(sizes):
+        if i > first and held + n > most:
+            out.append(Task(found[first:i]))
+            first, held = i, 0
+        held += n
+    return [*out, Task(found[first:])]
 
 
 def window_of(query: TileQuery) -> tuple[list[tuple[int, int]], bool]:
@@ -144,7 +173,7 @@ def window_of(query: TileQuery) -> tuple[list[tuple[int, int]], bool]:
 
 
 def pieces(files: Located, query: TileQuery, block_bytes: int) -> list[Piece]:
-    """What each task reads: neighbouring rectangles of a file, of about block_bytes together; parts outside the query's records and slice aren't in them."""
+    """Neighbouring rectangles of a file, of about block_bytes together, which one task reads; parts outside the query's records and slice aren't in them."""
     out = []
     window, _ = window_of(query)
     extraction = query.extraction_shape[0] if query.query_dependent and query.extraction_shape else None
@@ -178,10 +207,18 @@ class NetCDF3Reader(DataSourceReader):
         self.block_bytes, self.fill = int(options.get("block_size") or 64 << 20), float(options["fill_value"]) if options.get("fill_value") else None
         self.blocks, self.offsets = options.get("blocks") == "true", options.get("offsets") == "true"
 
-    def partitions(self) -> list[Piece]:
-        return pieces(self.files, self.query, self.block_bytes) or [Piece(*self.files[0][:2], 0, ())]
+    def __getstate__(self) -> dict:
+        """What each task is sent: all but the files, of which its pieces say what it needs."""
+        return self.__dict__ | {"files": []}
+
+    def partitions(self) -> list[Task]:
+        return tasks_of(pieces(self.files, self.query, self.block_bytes))
+
+    def read(self, partition: Task) -> Iterator[pa.RecordBatch]:
+        for piece in partition.pieces:
+            yield from self._read(piece)
 
-    def read(self, partition: Piece) -> Iterator[pa.RecordBatch]:
+    def _read(self, partition: Piece) -> Iterator[pa.RecordBatch]:
         v, tile = partition.variable, self.query.extraction_shape
         tile = tile if tile and len(tile) == len(v.shape) else None
         with open_file(partition.path) as f:
@@ -324,8 +361,6 @@ def explain_splits(spark: SparkSession, path: str, query: TileQuery, block_bytes
 
 #: Bytes of cells in one file, unless records_per_file says otherwise; and of the records that a task holds.
 FILE_BYTES, HELD_BYTES = 64 << 20, 1 << 20
-#: Bytes of cells of the small files that one task writes.
-TASK_BYTES = 16 << 20
 
 
 @dataclass(frozen=True)

@@ -1,6 +1,7 @@
 """What a task holds or does stays the same when the tables grow."""
 
 import glob
+import pickle
 
 import numpy as np
 import pytest
@@ -44,3 +45,29 @@ def test_folders_overlaid(spark, tmp_path, monkeypatch, stretch):
     array = NDArray.read(spark, path, query)
     assert array.shape == (7, 2) and array.with_flat_id().where("gid = value").count() == array.df.count() == 2 * (7 + 4 + 3)
     assert TileQuery.from_conf({"multi_file_mode": "combine_folders"}) == query
+
+
+def test_many_small_files_are_read_by_a_bounded_number_of_tasks(spark, tmp_path, monkeypatch):
+    """netcdf_block_average had two tasks for each file of 100 records, and each task was sent the names of all files."""
+    monkeypatch.setattr(netcdf3, "TASKS", 5)
+    out = str(tmp_path)
+    netcdf3.write(NDArray.from_range(spark, (60, 3)), out, "v", records_per_file=1)
+    query = TileQuery(partition_mode="proportional")
+    files = netcdf3.located(out, query)
+    reader = netcdf3.NetCDF3Reader(files, query, {"block_size": "4"})
+    found = netcdf3.pieces(files, query, 4)
+    tasks = reader.partitions()
+    assert len(found) == 60 and len(tasks) == 5
+    assert [p for t in tasks for p in t.pieces] == found
+    assert pickle.loads(pickle.dumps(reader)).files == [] and reader.files == files
+    sent = pickle.loads(pickle.dumps(reader))
+    assert sorted(x for t in tasks for b in sent.read(t) for x in b.column("value").to_pylist()) == list(range(180))
+
+
+@pytest.mark.parametrize("sizes,most,expected", [([], 100, [0]), ([4] * 3, 100, [1, 1, 1]), ([4] * 10, 100, [5, 5]), ([4] * 10, 8, [2] * 5), ([400, 4, 4, 400], 100, [1, 2, 1])])
+def test_tasks_are_bounded_by_bytes(monkeypatch, sizes, most, expected):
+    monkeypatch.setattr(netcdf3, "TASKS", 2 if len(sizes) != 3 else 4)
+    monkeypatch.setattr(netcdf3, "TASK_BYTES", most)
+    v = netcdf3.Variable("v", (100, 1), ("a", "b"), 4, 0, None)
+    found = [netcdf3.Piece("f", v, 0, (((0, 0), (n // 4, 1)),)) for n in sizes]
+    assert [len(t.pieces) for t in netcdf3.tasks_of(found)] == expected
